@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .jaccard import near_duplicates
 from .licenses import scan_documents
 from .media import media_documents
 from .packing import pack_documents
@@ -29,8 +30,12 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_license_scan, op3_sharding, op4_best_fit_packing, op9_media_columns)
+    f.__name__: f for f in (op2_license_scan, op3_sharding, op4_best_fit_packing, op9_media_columns, op10_ngram_jaccard_join)
 }
 
 ORACLES: dict[str, str] = {}
