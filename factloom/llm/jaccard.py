@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bloom import id_filter, mix
 from .common import materialize, texts
 from .components import connected_components
 
@@ -39,17 +40,10 @@ N = 5
 PERCENT = 75
 BUCKETS = 1 << 20
 SLOTS = 16
-BLOOM_BITS = 1 << 27
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def ngram_set(raw: bytes, n: int = N) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams of UTF-8 ``raw``; words are split at ASCII white space and A-Z lower-cased."""
     words = raw.lower().split()
@@ -60,7 +54,7 @@ def ngram_set(raw: bytes, n: int = N) -> np.ndarray:
     total = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
         total += h[i : len(h) - k + 1 + i] * _FACTORS[i % len(_FACTORS)] * np.uint64(2 * (i // len(_FACTORS)) + 1)
-    return np.unique(_mix(total))
+    return np.unique(mix(total))
 
 
 def prefix_size(size: int, percent: int = PERCENT) -> int:
@@ -152,42 +146,12 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int = N, percent: int = PERCENT
     Sets are computed again for the documents that some pair names. A bit table, of bounded size, lets the
     scan leave out nearly all others before the shuffle; false hits only cost work.
     """
-    spark = docs.sparkSession
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bits = 1 << 16
-    while bits < min(BLOOM_BITS, 8 * named.count()):
-        bits *= 2
-        if bits >= BLOOM_BITS:
-            break
-    slots, width = 64, bits // 64 // 8
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at = (_mix(batch.column(0).to_numpy().astype(np.uint64)) % np.uint64(bits)).astype(np.int64)
-            for slot in np.unique(at // (8 * width)):
-                own = at[at // (8 * width) == slot] - slot * 8 * width
-                table = tables.setdefault(int(slot), np.zeros(8 * width, bool))
-                table[own] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(tables), pa.int32()), pa.array([np.packbits(t).tobytes() for t in tables.values()], pa.binary())], ["slot", "bits"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for slot, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tables.setdefault(slot, np.zeros(width, np.uint8))[:] |= np.frombuffer(part.as_py(), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array(list(tables), pa.int32()), pa.array([t.tobytes() for t in tables.values()], pa.binary())], ["slot", "bits"])
-
-    table = np.zeros(bits // 8, np.uint8)
-    for slot, part in named.mapInArrow(mark, "slot int, bits binary").repartition(16, "slot").mapInArrow(merge, "slot int, bits binary").collect():
-        table[slot * width : (slot + 1) * width] = np.frombuffer(part, np.uint8)
-    shared = spark.sparkContext.broadcast(table)
+    possible = id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = (_mix(ids.astype(np.uint64)) % np.uint64(bits)).astype(np.int64)
-            hit = np.flatnonzero((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+            hit = np.flatnonzero(possible(ids))
             column = batch.column(1)
             for low in range(0, len(hit), 256):
                 part = hit[low : low + 256]

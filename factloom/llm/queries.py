@@ -12,6 +12,7 @@ from .licenses import scan_documents
 from .media import media_documents
 from .packing import pack_documents
 from .sharding import shard_documents
+from .suffix import remove_repeats
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_documents(read_table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_license_scan, op3_sharding, op4_best_fit_packing, op9_media_columns, op10_ngram_jaccard_join)
+    f.__name__: f for f in (op2_license_scan, op3_sharding, op4_best_fit_packing, op5_suffix_array_dedup, op9_media_columns, op10_ngram_jaccard_join)
 }
 
 ORACLES: dict[str, str] = {}
