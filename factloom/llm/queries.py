@@ -7,14 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .imatch import fingerprint_documents
 from .jaccard import near_duplicates
 from .licenses import scan_documents
 from .media import media_documents
 from .packing import pack_documents
+from .quality import score_quality
 from .sharding import shard_documents
 from .suffix import remove_repeats
 
 
+def op1_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(read_table(spark, sf_dir, "documents"))
 
@@ -31,6 +37,10 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_documents(read_table(spark, sf_dir, "documents"))
 
@@ -40,7 +50,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_license_scan, op3_sharding, op4_best_fit_packing, op5_suffix_array_dedup, op9_media_columns, op10_ngram_jaccard_join)
+    f.__name__: f for f in (op1_imatch_fingerprints, op2_license_scan, op3_sharding, op4_best_fit_packing, op5_suffix_array_dedup, op7_quality_classifier, op9_media_columns, op10_ngram_jaccard_join)
 }
 
 ORACLES: dict[str, str] = {}
