@@ -12,6 +12,7 @@ rows of their own; an empty table gives an empty result; extra columns are ignor
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from .common import texts
 
 CAPACITY = 2048
 OPEN_BINS = 65_536
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_000_000
 
 
 class BestFit:
@@ -64,31 +65,49 @@ class BestFit:
 class WordTokenizer:
     """Whole-text ids through a cache of chunks between blanks.
 
-    The tokenizer drops white space and never joins text across it, so the ids of a text are those of its
-    chunks, one after another. Only blanks and line ends are cut here; the tokenizer treats any other white
-    space inside a chunk itself. The cache is emptied when it holds ``CACHED_WORDS`` chunks.
+    The tokenizer lower-cases, drops white space and never joins text across it, so the ids of a text are
+    those of its chunks, one after another; a word and the comma or stop after it are apart as well. Only
+    blanks and line ends are cut here; the tokenizer treats any other white space inside a chunk itself. A
+    worker keeps its cache from task to task and empties it when it holds ``CACHED_WORDS`` chunks.
     """
 
+    _kept: dict[str, WordTokenizer] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordTokenizer:
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
+
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
 
+    def _learn(self, chunks: set[str]) -> None:
+        cache = self.cache
+        stems = {c[:-1] if c[-1:] in (",", ".") and c[:-1].isalpha() else c for c in chunks}
+        new = [c for c in stems | {",", "."} if c not in cache]
+        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            ids = e.ids
+            cache[c] = struct.pack(f"<{len(ids)}I", *ids)
+        for c in chunks:
+            if c not in cache:
+                cache[c] = cache[c[:-1]] + cache[c[-1]]
+
     def encode_packed(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        chunks = text.replace("\n", " ").split(" ")
+        chunks = text.encode().lower().decode().replace("\n", " ").split(" ")
         try:
             return b"".join(map(self.cache.__getitem__, chunks))
         except KeyError:
             pass
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
-        new = [c for c in set(chunks) if c not in self.cache]
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.cache[c] = struct.pack(f"<{len(ids)}I", *ids)
+        self._learn({c for c in chunks if c not in self.cache})
         return b"".join(map(self.cache.__getitem__, chunks))
 
 
@@ -102,7 +121,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
     """doc_id, piece, start, length, ids_crc32 of each document's ids followed by the end mark 0."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(vocabulary)
+        words = WordTokenizer.of(vocabulary)
         for batch in batches:
             out: list[tuple[int, int, int, int, int]] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
