@@ -15,6 +15,7 @@ from .packing import pack_documents
 from .quality import score_quality
 from .sharding import shard_documents
 from .suffix import remove_repeats
+from .toxicity import score_toxicity
 
 
 def op1_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,10 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -50,7 +55,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_imatch_fingerprints, op2_license_scan, op3_sharding, op4_best_fit_packing, op5_suffix_array_dedup, op7_quality_classifier, op9_media_columns, op10_ngram_jaccard_join)
+    f.__name__: f for f in (op1_imatch_fingerprints, op2_license_scan, op3_sharding, op4_best_fit_packing, op5_suffix_array_dedup, op6_toxicity, op7_quality_classifier, op9_media_columns, op10_ngram_jaccard_join)
 }
 
 ORACLES: dict[str, str] = {}
