@@ -13,6 +13,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 @lru_cache(maxsize=1)
 def _own_folder() -> str:
@@ -37,7 +39,12 @@ def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame
     """Write ``df`` once to the shared folder and return it reread: cuts lineage and recomputation."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")  # the shuffle files of this write are of no use afterwards
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
