@@ -13,6 +13,8 @@ Only components are wanted, so no group is expanded into all its pairs:
    In the others, every pair from *different* components that passes the filters and was not met before is
    compared. A link inside a component changes nothing, so the result is exact.
 
+Before texts are fetched, pairs pass a small parity table of each set, which bounds the overlap from above.
+
 The order uses n-gram counts over all documents in a counting table of fixed size (``BUCKETS``); any fixed
 order gives the same result, counts only make prefixes selective. N-grams and words are 64-bit hashes.
 
@@ -38,8 +40,10 @@ from .components import connected_components
 
 N = 5
 PERCENT = 75
-BUCKETS = 1 << 20
-SLOTS = 16
+BUCKETS = 1 << 24
+PARITY_BITS = 1 << 16
+SLOTS = 32
+LARGEST_COUNT = 40_000  # of one partition and bucket; leaves room for a batch more
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -66,38 +70,33 @@ def count_classes(docs: DataFrame, n: int = N) -> np.ndarray:
     width = BUCKETS // SLOTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.uint32)
+        total = np.zeros(BUCKETS, np.uint16)
         for batch in batches:
-            held, size = [], 0
             for text in batch.column(0):
-                held.append(ngram_set(text.as_py().encode(), n))
-                size += len(held[-1])
-                if size > 1 << 20:
-                    total += np.bincount((np.concatenate(held) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
-                    held, size = [], 0
-            if size:
-                total += np.bincount((np.concatenate(held) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(SLOTS), pa.int32()), pa.array([total[i * width : (i + 1) * width].tobytes() for i in range(SLOTS)], pa.binary())], ["slot", "counts"]
-        )
+                np.add.at(total, (ngram_set(text.as_py().encode(), n) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+            total = np.minimum(total, LARGEST_COUNT)
+        for i in range(SLOTS):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i * width : (i + 1) * width].astype("<u2").tobytes()], pa.binary())], ["slot", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for slot, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums.setdefault(slot, np.zeros(width, np.uint64))[:] += np.frombuffer(counts.as_py(), np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["slot", "counts"])
+                sums.setdefault(slot, np.zeros(width, np.uint32))[:] += np.frombuffer(counts.as_py(), "<u2")
+        for slot, v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["slot", "counts"])
 
     parts = docs.select("text").mapInArrow(count, "slot int, counts binary").repartition(SLOTS, "slot").mapInArrow(add, "slot int, counts binary")
-    total = np.zeros(BUCKETS, np.uint64)
-    for slot, counts in parts.collect():  # SLOTS rows, BUCKETS numbers
-        total[slot * width : (slot + 1) * width] += np.frombuffer(counts, np.uint64)
+    total = np.zeros(BUCKETS, np.uint32)
+    for slot, counts in parts.toLocalIterator():  # SLOTS rows, BUCKETS numbers
+        total[slot * width : (slot + 1) * width] += np.frombuffer(counts, np.uint32)
     mean = max(1.0, float(total.mean()))
-    return np.clip(np.ceil(np.log2(np.maximum(total / mean, 1.0))) - 1, 0, 63).astype(np.uint8)
+    scaled = (total / np.float32(mean)).astype(np.float32)
+    return np.clip(np.ceil(np.log2(np.maximum(scaled, 1, out=scaled), out=scaled)) - 1, 0, 63).astype(np.uint8)
 
 
 def signatures(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, size, set_hash, group_hash and the prefix of every document."""
+    """doc_id, size, set_hash, group_hash, parity table and prefix of every document."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(count_classes(docs, n))  # BUCKETS bytes
 
@@ -108,24 +107,24 @@ def signatures(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = ngram_set(text.as_py().encode(), n)
                 if not len(s):
-                    rows.append((doc, 0, b"", 0, np.empty(0, np.int64)))
+                    rows.append((doc, 0, b"", 0, np.empty(0, np.int64), b""))
                     continue
                 kept = prefix_size(len(s), percent)
                 key = (classes[(s & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
                 prefix = np.sort(key)[:kept] if kept >= len(key) else np.sort(np.partition(key, kept - 1)[:kept])
                 group = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=len(s)) >> 1
-                rows.append((doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), group, prefix.view(np.int64)))
+                rows.append((doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), group, prefix.view(np.int64), parity_table(s)))
             if not rows:
                 continue
             columns = list(zip(*rows, strict=True))
             ends = np.cumsum([0, *map(len, columns[4])]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns[4]), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.int64()), prefix],
-                ["doc_id", "size", "set_hash", "group_hash", "prefix"],
+                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.int64()), prefix, pa.array(columns[5], pa.binary())],
+                ["doc_id", "size", "set_hash", "group_hash", "prefix", "parity"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, size long, set_hash binary, group_hash long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, size long, set_hash binary, group_hash long, prefix array<long>, parity binary")
 
 
 def _fits(size_a: Column, pos_a: Column, size_b: Column, pos_b: Column, percent: int) -> Column:
@@ -140,44 +139,70 @@ def _fits(size_a: Column, pos_a: Column, size_b: Column, pos_b: Column, percent:
     )
 
 
+def parity_table(grams: np.ndarray) -> bytes:
+    """One bit per hash bucket: whether an odd number of n-grams falls there; about four buckets an n-gram."""
+    bits = min(PARITY_BITS, max(512, 1 << (4 * len(grams) - 1).bit_length()))
+    return np.packbits(np.bincount((grams >> np.uint64(40) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def largest_overlap(size_a: int, a: bytes, size_b: int, b: bytes) -> float:
+    """An upper bound of two sets' overlap: every bucket of unlike parity holds an n-gram that only one set has.
+
+    The larger table folds onto the smaller one.
+    """
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    width = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(t.reshape(-1, width), axis=0) for t in (x, y))
+    return (size_a + size_b - int(np.bitwise_count(x ^ y).sum())) / 2
+
+
+def prune(signed: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs whose parity tables leave the similarity possible."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in (2, 4)]
+            kept = [
+                i
+                for i, (n_a, n_b, x, y) in enumerate(zip(*columns, batch.column(3), batch.column(5), strict=True))
+                if largest_overlap(n_a, x.as_py(), n_b, y.as_py()) * (100 + percent) >= percent * (n_a + n_b)
+            ]
+            yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
+
+    side = lambda c: signed.where("size > 0").select(F.col("doc_id").alias(c), F.col("size").alias(f"size_{c}"), F.col("parity").alias(f"parity_{c}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "size_a", "parity_a", "size_b", "parity_b")
+    return both.mapInArrow(possible, "a long, b long").distinct()
+
+
 def verify(docs: DataFrame, pairs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of doc_ids whose whole sets meet the similarity.
 
-    Sets are computed again for the documents that some pair names. A bit table, of bounded size, lets the
-    scan leave out nearly all others before the shuffle; false hits only cost work.
+    Texts travel to their pairs, not sets: they are smaller and compress. A bit table, of bounded size, lets the
+    scan leave out nearly all documents that no pair names; false hits only cost work.
     """
     possible = id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            hit = np.flatnonzero(possible(ids))
-            column = batch.column(1)
-            for low in range(0, len(hit), 256):
-                part = hit[low : low + 256]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[part]), pa.array([ngram_set(column[int(i)].as_py().encode(), n).tobytes() for i in part], pa.binary())], ["id", "grams"]
-                )
-
-    named_sets = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(sets, "id long, grams binary")
-    known = materialize(named_sets, "sets", "none")
+            yield batch.filter(pa.array(possible(batch.column(0).to_numpy())))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, left = None, np.empty(0, np.uint64)
         for batch in batches:
-            kept, left_raw, left = [], None, None
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                raw = x.as_py()
-                if raw != left_raw:
-                    left_raw, left = raw, np.frombuffer(raw, np.uint64)
-                right = np.frombuffer(y.as_py(), np.uint64)
+            kept = []
+            for i, (a, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True)):
+                if lead is None or lead != (a, x):
+                    lead, left = (a, x), ngram_set(x.as_py().encode(), n)
+                right = ngram_set(y.as_py().encode(), n)
                 both = len(left) + len(right) - len(np.union1d(left, right))
                 if 100 * both >= percent * (len(left) + len(right) - both):
                     kept.append(i)
             yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
 
-    with_b = pairs.join(known.select(F.col("id").alias("b"), F.col("grams").alias("grams_b")), "b")
-    with_both = with_b.join(known.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), "a")
-    return with_both.select("a", "b", "grams_a", "grams_b").mapInArrow(compare, "a long, b long")
+    named = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(sieve, "id long, text string")
+    with_b = pairs.join(named.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    with_both = with_b.join(named.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    return with_both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -218,6 +243,7 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
         .select((-F.col("best.l")).alias("a"), F.col("gid").alias("b"))
     )
     first = materialize(led.unionByName(members.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))), "pairs")
+    first = materialize(prune(signed, first, percent), "pairs")
     links = materialize(verify(docs, first, n, percent), "links")
     found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
@@ -236,7 +262,7 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
         .distinct()
         .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
-    rest = materialize(rest, "pairs")
+    rest = materialize(prune(signed, materialize(rest, "pairs"), percent), "pairs")
     more = materialize(verify(docs, rest, n, percent), "links")
     if not more.isEmpty():
         edges = found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
