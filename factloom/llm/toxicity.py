@@ -38,7 +38,8 @@ from .quality import score_texts
 SPAN, DECAY = 6, 0.5
 TABLE = 1 << 20
 LANDMARKS, ROUNDS = 256, 4
-TRAIN_ROWS, TRAIN_BYTES = 6000, 60_000
+TRAIN_ROWS, TRAIN_BYTES = 4000, 60_000
+WORDS_AT_ONCE = 10_000
 HELD_WORDS = 600_000
 LONGEST = 40
 TOP = 3
@@ -101,15 +102,6 @@ class Subsequences:
     def times(self, table: np.ndarray) -> np.ndarray:
         return np.bincount(self.owner, self.value * table[self.gram], self.count)
 
-    def rows(self, chosen: np.ndarray) -> Subsequences:
-        """The same for a selection of words, in its order."""
-        out = object.__new__(Subsequences)
-        place = np.full(self.count, -1)
-        place[chosen] = np.arange(len(chosen))
-        mine = place[self.owner] >= 0
-        out.owner, out.gram, out.value, out.count = place[self.owner[mine]], self.gram[mine], self.value[mine], len(chosen)
-        return out
-
 
 def nystroem(grams: Subsequences, landmarks: Subsequences) -> np.ndarray:
     """Kernel values of all words to all landmarks."""
@@ -175,21 +167,29 @@ def fit(bags: list[set[str]], labels: np.ndarray, seed: int = 11) -> Model:
     words = sorted({w for bag in bags for c in bag for w in word_of(c)})
     index = {w: i for i, w in enumerate(words)}
     own = [np.unique([index[w] for c in bag for w in word_of(c)]) if bag else np.empty(0, np.int64) for bag in bags]
-    grams = Subsequences(words)
-    starts = np.searchsorted(grams.owner, np.arange(len(words) + 1))
+    parts = range(0, len(words), WORDS_AT_ONCE)
+
+    def times(*tables: np.ndarray) -> list[np.ndarray]:
+        """Each table's value for every word, a part of the words at a time."""
+        out = [np.empty(len(words), np.float32) for _ in tables]
+        for low in parts:
+            grams = Subsequences(words[low : low + WORDS_AT_ONCE])
+            for o, t in zip(out, tables, strict=True):
+                o[low : low + WORDS_AT_ONCE] = grams.times(t)
+        return out
 
     # grams by how many toxic and clean documents hold them
     seen = np.zeros((2, TABLE), np.float32)
     for ids, y in zip(own, labels, strict=True):
-        held = np.unique(np.concatenate([grams.gram[starts[i] : starts[i + 1]] for i in ids])) if len(ids) else np.empty(0, np.int64)
-        seen[y, held] += 1
+        seen[y, np.unique(Subsequences([words[i] for i in ids]).gram)] += 1
     n1, n0 = labels.sum(), len(labels) - labels.sum()
     # evidence of a gram: its log odds ratio over its standard error, without one toxic document, so that a word
     # that only its own document holds has none
     others = np.maximum(seen[1] - 1, 0)
     odds = np.log((others + 0.5) / (n1 + 1)) - np.log((seen[0] + 0.5) / (n0 + 1))
     evidence = odds / np.sqrt(1 / (others + 0.5) + 1 / (seen[0] + 0.5))
-    score = grams.times(evidence) / np.sqrt(np.maximum(1, grams.times(np.ones(TABLE))))
+    score, size = times(evidence, np.ones(TABLE))
+    score /= np.sqrt(np.maximum(1, size))
     proof = score.copy()
     table, offset = np.zeros(TABLE), 0.0
     positive_docs = [ids for ids, y in zip(own, labels, strict=True) if y == 1 and len(ids)]
@@ -215,7 +215,7 @@ def fit(bags: list[set[str]], labels: np.ndarray, seed: int = 11) -> Model:
         marks = np.concatenate([rng.permutation(positive)[:half], rng.permutation(negative)[: LANDMARKS - half]])
         weight = np.concatenate([np.sqrt(seen_in[positive]), np.ones(len(negative))])
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        landmarks = grams.rows(marks)
+        landmarks = Subsequences([words[i] for i in marks])
         k_zz = nystroem(landmarks, landmarks).astype(np.float64)
         values, vectors = np.linalg.eigh(k_zz)
         values = np.maximum(values, 1e-6)
@@ -225,11 +225,11 @@ def fit(bags: list[set[str]], labels: np.ndarray, seed: int = 11) -> Model:
         for i in positive:
             at, what = int(rng.integers(1, max(2, len(words[i])))), INSERTED[int(rng.integers(len(INSERTED)))]
             changed.append(words[i][:at] + what + words[i][at:])
-        x = np.vstack([nystroem(grams.rows(positive), landmarks), nystroem(grams.rows(negative), landmarks), nystroem(Subsequences(changed), landmarks)]) @ root
+        x = np.vstack([nystroem(Subsequences([words[i] for i in positive]), landmarks), nystroem(Subsequences([words[i] for i in negative]), landmarks), nystroem(Subsequences(changed), landmarks)]) @ root
         y, weight = np.append(y, np.ones(len(changed))), np.append(weight, 0.5 * weight[: len(changed)])
         w, offset = svm(x, y, 0.5 * weight / np.where(y > 0, weight[y > 0].sum(), weight[y < 0].sum()))
         table = np.bincount(landmarks.gram, landmarks.value * (root @ w)[landmarks.owner], TABLE)
-        score = grams.times(table) + offset
+        score = times(table)[0] + offset
     curve = logistic(np.array([summary(score[ids]) for ids in own]), labels)
     return table.astype(np.float32), offset, curve
 
