@@ -24,18 +24,36 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import mix
 from .common import label_rows, texts
 
 BUCKETS, DIM = 1 << 18, 16
 TRAIN_ROWS, TRAIN_BYTES = 4000, 60_000
 HELD_WORDS = 600_000
+MARKED = 40
 AGAIN = "\0="
 
 
-def word_features(word: str) -> list[int]:
-    marked = f"<{word[:40]}>"  # character n-grams of the first 40 letters; the word itself counts whole
-    grams = [word, *(marked[i : i + k] for k in (3, 4, 5) for i in range(len(marked) - k + 1))]
-    return [xxhash.xxh3_64_intdigest(g) & (BUCKETS - 1) for g in grams]
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the word, feature) of every feature of ``words``: the word, and its character n-grams.
+
+    N-grams are taken from the first ``MARKED`` characters and the word's ends; the word counts whole.
+    """
+    marked = [f"<{w[:MARKED]}>" for w in words]
+    owner = np.repeat(np.arange(len(words)), [len(m) for m in marked])
+    codes = mix(np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64))
+    owners = [np.arange(len(words))]
+    hashed = [np.fromiter((xxhash.xxh3_64_intdigest(w.encode(errors="surrogatepass")) for w in words), np.uint64, len(words))]
+    grams = codes
+    for k in range(2, 6):
+        if len(codes) < k:
+            break
+        grams = grams[: len(codes) - k + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[k - 1 :]
+        if k > 2:
+            inside = owner[: len(codes) - k + 1] == owner[k - 1 :]
+            owners.append(owner[: len(codes) - k + 1][inside])
+            hashed.append(mix(grams[inside] + np.uint64(k)))
+    return np.concatenate(owners), (np.concatenate(hashed) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def word_counts(text: str) -> Counter[str]:
@@ -81,25 +99,22 @@ class Embeddings:
         return (self.vectors @ (self.layer[:, 1] - self.layer[:, 0])).astype(np.float32)
 
 
-def as_features(text: str, cache: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    ids: list[int] = []
-    weights: list[int] = []
-    for w, c in word_counts(text).items():
-        if w not in cache:
-            cache[w] = word_features(w)
-        ids += cache[w]
-        weights += [c] * len(cache[w])
-    features, inverse = np.unique(np.array(ids, np.int64), return_inverse=True)
-    shares = np.bincount(inverse, np.array(weights, np.float64), len(features)) if len(ids) else np.empty(0)
-    return features.astype(np.int32), (shares / max(1.0, shares.sum())).astype(np.float32)
+def as_features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features of a text and their shares."""
+    counts = word_counts(text)
+    if not counts:
+        return np.empty(0, np.int64), np.empty(0, np.float32)
+    owner, ids = word_features(list(counts))
+    features, inverse = np.unique(ids, return_inverse=True)
+    shares = np.bincount(inverse, np.fromiter(counts.values(), np.float64, len(counts))[owner], len(features))
+    return features, (shares / shares.sum()).astype(np.float32)
 
 
 def train(sample: DataFrame, fit: dict | None = None) -> tuple[np.ndarray, float]:
     """``sample``: text and label, bounded by the caller. Bucket scores and the bias."""
-    cache: dict[str, list[int]] = {}
     documents, labels = [], []
     for row in sample.select("doc_id", "label", "text").orderBy("doc_id", "text").toLocalIterator():
-        documents.append(as_features(row["text"], cache))
+        documents.append(as_features(row["text"]))
         labels.append(row["label"])
     model = Embeddings()
     if documents:
@@ -131,10 +146,9 @@ class WordScorer:
         counts = word_counts(text)
         new = [w for w in counts if w not in cache]
         if new:
-            features = [word_features(w) for w in new]
-            ends = np.cumsum([0, *map(len, features)])
-            sums = np.add.reduceat(self.scores[np.fromiter((x for f in features for x in f), np.int64, ends[-1])].astype(np.float64), ends[:-1])
-            cache.update(zip(new, zip(sums.tolist(), map(len, features), strict=True), strict=True))
+            owner, ids = word_features(new)
+            sums, sizes = np.bincount(owner, self.scores[ids], len(new)), np.bincount(owner, minlength=len(new))
+            cache.update(zip(new, zip(sums.tolist(), sizes.tolist(), strict=True), strict=True))
         for w, c in counts.items():
             s, n = cache[w]
             total += c * s
