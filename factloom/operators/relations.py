@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.functions.canonical import CHILD_REVENUE, dimensions_compatible, numeric_amount, value_dimension
 from factloom.functions.text import PERIOD_PLAIN_QUARTER, first_match, fmt_g, merge_reasons, normalize_token, squash, statement, strip_period_tokens, text
@@ -223,7 +224,7 @@ def part_of(f: DataFrame, summing: DataFrame | None = None, window: int = PAGE_W
     )
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def summing_subset(amounts: pd.Series, totals: pd.Series) -> pd.Series:
     """Indices of the first subset, largest sizes first, whose amounts sum to the total; null when there is none.
 
