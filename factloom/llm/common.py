@@ -13,6 +13,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_SIZE, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -52,8 +53,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts cross to Python in batches of ``BATCH_ROWS`` rows unless the session asks for another number:
+    a batch of 10,000 long texts is too much memory for a task."""
+    if spark.conf.get(BATCH_SIZE) == "10000":
+        spark.conf.set(BATCH_SIZE, str(BATCH_ROWS))
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns, ``doc_id`` and ``text`` (null text: empty); whatever else ``docs`` holds is left out."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
@@ -73,3 +82,19 @@ def label_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, hel
         .limit(max_rows)
     )
     return texts(docs).where(F.octet_length("text") <= max_bytes).join(F.broadcast(picked), "doc_id")
+
+
+_KEPT: dict[str, tuple[str, object]] = {}
+
+
+def kept(kind: str, key: str, make):
+    """An object that a worker process keeps from task to task, one of each kind."""
+    if _KEPT.get(kind, ("",))[0] != key:
+        _KEPT[kind] = (key, make())
+    return _KEPT[kind][1]
+
+
+def keep_only(*kinds: str) -> None:
+    """Drop what earlier stages left in this worker; caches of different stages need not fit together."""
+    for kind in [k for k in _KEPT if k not in kinds]:
+        del _KEPT[kind]

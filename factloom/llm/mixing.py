@@ -1,8 +1,8 @@
 """Soft-membership mixing of documents to target weights.
 
-Domains are the classes of the ``labels`` table: clean (good and not toxic), toxic, junk (of low quality). The
-quality and toxicity classifiers, each trained on a bounded labelled sample, give a document's domain posteriors
-p. Non-negative document rates r are fitted so that the expected domain token totals, the sums of
+Domains are the classes of the ``labels`` table: clean (good and not toxic), toxic, junk (of low quality). A
+subword-embedding classifier of these classes, trained on a bounded labelled sample, gives a document's domain
+posteriors p. Non-negative document rates r are fitted so that the expected domain token totals, the sums of
 ``r * tokens * p``, come as near as possible to target totals, in the least-squares sense, by projected
 gradient steps.
 
@@ -23,33 +23,98 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, texts
-from .quality import quality_scorer
-from .toxicity import toxicity_scorer
+from .common import keep_only, kept, materialize, texts
+from .quality import AGAIN, HELD_WORDS, TEXTS_AT_ONCE, TRAIN_BYTES, TRAIN_ROWS, WORDS_AT_ONCE, Embeddings, as_features, word_counts, word_features
 
 DOMAINS = ["clean", "toxic", "junk"]
-WEIGHTS = {"clean": 0.965, "toxic": 0.03, "junk": 0.005}
+WEIGHTS = {"clean": 0.93, "toxic": 0.06, "junk": 0.01}
 ANCHOR = "clean"
 STEPS, TOLERANCE, RIDGE = 40, 2e-3, 0.01
 
 
+def domain_sample(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """doc_id, text and domain index of at most ``max_rows`` labelled documents, chosen by seeded hash."""
+    domain = F.when(F.col("quality") == 0, 2).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 0)
+    picked = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain.alias("label"))
+        .where("label is not null and doc_id is not null")
+        .orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id")
+        .limit(max_rows)
+    )
+    return texts(docs).where(F.octet_length("text") <= max_bytes).join(F.broadcast(picked), "doc_id")
+
+
+def train(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Each bucket's part of each domain's logit, and the bias."""
+    documents, labels = [], []
+    for row in sample.orderBy("doc_id", "text").toLocalIterator():
+        documents.append(as_features(row["text"]))
+        labels.append(row["label"])
+    model = Embeddings(len(DOMAINS))
+    if documents:
+        model.fit(documents, np.array(labels))
+    else:
+        model.layer[:] = 0
+    return (model.vectors @ model.layer).astype(np.float32), model.bias.astype(np.float64)
+
+
+class DomainScorer:
+    """Posteriors of texts; a worker process keeps the words it has met."""
+
+    @classmethod
+    def of(cls, table: np.ndarray, bias: np.ndarray) -> DomainScorer:
+        keep_only("domains")
+        return kept("domains", xxhash.xxh3_64_hexdigest(table.tobytes() + bias.tobytes()), lambda: cls(table, bias))
+
+    def __init__(self, table: np.ndarray, bias: np.ndarray):
+        self.table, self.bias = table, bias
+        self.cache: dict[str, int] = {}
+        self.rows = np.zeros((WORDS_AT_ONCE, len(bias) + 1))
+
+    def _learn(self, new: list[str]) -> None:
+        for low in range(0, len(new), WORDS_AT_ONCE):
+            part = new[low : low + WORDS_AT_ONCE]
+            owner, ids = word_features(part)
+            first = len(self.cache)
+            if first + len(part) > len(self.rows):
+                self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+            mine = self.rows[first : first + len(part)]
+            for k in range(len(self.bias)):
+                mine[:, k] = np.bincount(owner, self.table[ids, k], len(part))
+            mine[:, -1] = np.bincount(owner, minlength=len(part))
+            self.cache.update(zip(part, range(first, first + len(part)), strict=True))
+
+    def posteriors(self, texts: list[str]) -> tuple[list[int], list[list[float]]]:
+        """Numbers of words, and softmax over domains; new words of all texts are learnt at once."""
+        if len(self.cache) > HELD_WORDS:
+            self.cache.clear()
+        counted = [word_counts(t) for t in texts]
+        self._learn(list(set().union(*counted).difference(self.cache)))
+        place = self.cache.__getitem__
+        logits = np.tile(self.bias, (len(texts), 1))
+        for i, counts in enumerate(counted):
+            if n := len(counts):
+                share = np.fromiter(counts.values(), np.float64, n) @ self.rows[np.fromiter(map(place, counts), np.int64, n)]
+                logits[i] += share[:-1] / share[-1]
+        e = np.exp(logits - logits.max(axis=1, keepdims=True))
+        return [counts.total() - counts[AGAIN] for counts in counted], (e / e.sum(axis=1, keepdims=True)).tolist()
+
+
 def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text), n_tokens (words) and the posteriors p (array) of every row."""
-    quality, toxicity = quality_scorer(docs, labels), toxicity_scorer(docs, labels)
+    model = docs.sparkSession.sparkContext.broadcast(train(domain_sample(docs, labels)))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good, bad = quality(), toxicity()
+        scorer = DomainScorer.of(*model.value)
         for batch in batches:
-            held = [t.as_py() for t in batch.column(2)]
-            q, t = (1 / (1 + np.exp(-np.clip([f(x) for x in held], -30, 30))) for f in (good, bad))
-            p = np.stack([q * (1 - t), q * t, 1 - q], 1) if held else np.empty((0, 3))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(x.split()) for x in held], pa.int64()), pa.array(list(p), pa.list_(pa.float64()))],
-                ["doc_id", "h", "n_tokens", "p"],
-            )
+            for low in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(low, TEXTS_AT_ONCE)
+                tokens, p = scorer.posteriors(part.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(tokens, pa.int64()), pa.array(p, pa.list_(pa.float64()))], ["doc_id", "h", "n_tokens", "p"])
 
     rows = texts(docs).select("doc_id", F.xxhash64("text").alias("h"), "text")
     return rows.mapInArrow(run, "doc_id long, h long, n_tokens long, p array<double>")

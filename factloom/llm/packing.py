@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import keep_only, kept, texts
 
 CAPACITY = 2048
 OPEN_BINS = 65_536
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 
 
 class BestFit:
@@ -71,13 +71,10 @@ class WordTokenizer:
     worker keeps its cache from task to task and empties it when it holds ``CACHED_WORDS`` chunks.
     """
 
-    _kept: dict[str, WordTokenizer] = {}
-
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
+        keep_only("tokenizer")
+        return kept("tokenizer", path, lambda: cls(path))
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -16,7 +16,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import pairwise
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import mix
-from .common import label_rows, texts
+from .common import keep_only, kept, label_rows, texts
 
 BUCKETS, DIM = 1 << 18, 16
+SPREAD = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 TRAIN_ROWS, TRAIN_BYTES = 4000, 60_000
-HELD_WORDS = 600_000
+HELD_WORDS, WORDS_AT_ONCE = 250_000, 20_000
 MARKED = 40
 AGAIN = "\0="
 
@@ -43,23 +45,23 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(words)), [len(m) for m in marked])
     codes = mix(np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64))
     owners = [np.arange(len(words))]
-    hashed = [np.fromiter((xxhash.xxh3_64_intdigest(w.encode(errors="surrogatepass")) for w in words), np.uint64, len(words))]
+    hashed = [np.fromiter((xxhash.xxh3_64_intdigest(w.encode(errors="surrogatepass")) >> 46 for w in words), np.int64, len(words))]
     grams = codes
     for k in range(2, 6):
         if len(codes) < k:
             break
         grams = grams[: len(codes) - k + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[k - 1 :]
         if k > 2:
-            inside = owner[: len(codes) - k + 1] == owner[k - 1 :]
-            owners.append(owner[: len(codes) - k + 1][inside])
-            hashed.append(mix(grams[inside] + np.uint64(k)))
-    return np.concatenate(owners), (np.concatenate(hashed) & np.uint64(BUCKETS - 1)).astype(np.int64)
+            inside = np.flatnonzero(owner[: len(codes) - k + 1] == owner[k - 1 :])
+            owners.append(owner[inside])
+            hashed.append(((grams[inside] * SPREAD[k - 3]) >> np.uint64(46)).astype(np.int64))  # the top 18 bits
+    return np.concatenate(owners), np.concatenate(hashed)
 
 
 def word_counts(text: str) -> Counter[str]:
     words = text.split()
     counts = Counter(words)
-    if again := sum(a == b for a, b in pairwise(words)):
+    if again := sum(map(eq, words, islice(words, 1, None))):
         counts[AGAIN] = 3 * again
     return counts
 
@@ -125,50 +127,66 @@ def train(sample: DataFrame, fit: dict | None = None) -> tuple[np.ndarray, float
 class WordScorer:
     """Log odds of texts; a worker process keeps the words it has met."""
 
-    _kept: dict[str, WordScorer] = {}
-
     @classmethod
     def of(cls, scores: np.ndarray, bias: float) -> WordScorer:
-        key = xxhash.xxh3_64_hexdigest(scores.tobytes() + str(bias).encode())
-        if key not in cls._kept:
-            cls._kept.clear()
-            cls._kept[key] = cls(scores, bias)
-        return cls._kept[key]
+        keep_only("quality", "toxicity")
+        return kept("quality", xxhash.xxh3_64_hexdigest(scores.tobytes() + str(bias).encode()), lambda: cls(scores, bias))
 
     def __init__(self, scores: np.ndarray, bias: float):
         self.scores, self.bias = scores, bias
-        self.cache: dict[str, tuple[float, int]] = {}
-
-    def log_odds(self, text: str) -> float:
-        cache, total, size = self.cache, 0.0, 0
-        if len(cache) > HELD_WORDS:
-            cache.clear()
-        counts = word_counts(text)
-        new = [w for w in counts if w not in cache]
-        if new:
-            owner, ids = word_features(new)
-            sums, sizes = np.bincount(owner, self.scores[ids], len(new)), np.bincount(owner, minlength=len(new))
-            cache.update(zip(new, zip(sums.tolist(), sizes.tolist(), strict=True), strict=True))
-        for w, c in counts.items():
-            s, n = cache[w]
-            total += c * s
-            size += c * n
-        return self.bias + (total / size if size else 0.0)
-
-
-def score_texts(docs: DataFrame, log_odds: Callable[[], Callable[[str], float]]) -> DataFrame:
+        self.cache: dict[str, int] = {}
+        self.rows = np.zeros((WORDS_AT_ONCE, 2))
+
+    def _learn(self, new: list[str]) -> None:
+        for low in range(0, len(new), WORDS_AT_ONCE):
+            part = new[low : low + WORDS_AT_ONCE]
+            owner, ids = word_features(part)
+            first = len(self.cache)
+            if first + len(part) > len(self.rows):
+                self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+            self.rows[first : first + len(part), 0] = np.bincount(owner, self.scores[ids], len(part))
+            self.rows[first : first + len(part), 1] = np.bincount(owner, minlength=len(part))
+            self.cache.update(zip(part, range(first, first + len(part)), strict=True))
+
+    def log_odds(self, texts: list[str]) -> list[float]:
+        """New words of all texts are learnt at once."""
+        if len(self.cache) > HELD_WORDS:
+            self.cache.clear()
+        counted = [word_counts(t) for t in texts]
+        self._learn(list(set().union(*counted).difference(self.cache)))
+        place, out = self.cache.__getitem__, []
+        for counts in counted:
+            n = len(counts)
+            total, size = np.fromiter(counts.values(), np.float64, n) @ self.rows[np.fromiter(map(place, counts), np.int64, n)]
+            out.append(self.bias + (float(total / size) if size else 0.0))
+        return out
+
+
+LogOdds = Callable[[], Callable[[list[str]], list[float]]]
+TEXTS_AT_ONCE = 200
+
+
+def in_groups(column: pa.Array, log_odds: Callable[[list[str]], list[float]]) -> list[float]:
+    """Log odds of a column of texts, null being empty."""
+    out: list[float] = []
+    for low in range(0, len(column), TEXTS_AT_ONCE):
+        out += log_odds([t.as_py() or "" for t in column.slice(low, TEXTS_AT_ONCE)])
+    return out
+
+
+def score_texts(docs: DataFrame, log_odds: LogOdds) -> DataFrame:
     """doc_id and score of each row; ``log_odds()`` gives a worker its scorer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = log_odds()
         for batch in batches:
-            odds = np.array([score(t.as_py()) for t in batch.column(1)], np.float64)
+            odds = np.array(in_groups(batch.column(1), score), np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(odds, -60, 60))))], ["doc_id", "score"])
 
     return texts(docs).mapInArrow(run, "doc_id long, score double")
 
 
-def quality_scorer(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Callable[[], Callable[[str], float]]:
+def quality_scorer(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> LogOdds:
     """Train on labelled rows whose crc32(doc_id) mod 5 is not 0."""
     model = docs.sparkSession.sparkContext.broadcast(train(label_rows(docs, labels, "quality", 5, 0, max_rows, max_bytes)))
     return lambda: WordScorer.of(*model.value).log_odds
@@ -193,6 +211,6 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
         least = float(np.log(threshold / (1 - threshold)))
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array([log_odds(t.as_py() or "") >= least for t in column], pa.bool_()))
+            yield batch.filter(pa.array([x >= least for x in in_groups(column, log_odds)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

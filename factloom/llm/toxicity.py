@@ -1,8 +1,8 @@
 """Toxicity: a support vector machine over a subsequence string kernel, with Nyström landmarks.
 
 The kernel compares two words by the runs of four characters that both hold as subsequences, also with gaps: one
-that spans s characters weighs ``DECAY ** (s - 4)``, up to ``SPAN`` characters; values are normalised. Word
-ends count as characters.
+that spans s characters weighs ``DECAY ** (s - 4)``, up to ``SPAN`` characters; a word's weights are scaled to unit
+length over its occurrences. Word ends count as characters.
 So an insult stays close to itself when characters are inserted or left out, and to other words of its stem.
 Letters set apart by blanks are read as one word.
 
@@ -24,7 +24,7 @@ scores; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from heapq import nlargest
 
 import numpy as np
 import xxhash
@@ -32,15 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import mix
-from .common import label_rows
-from .quality import score_texts
+from .common import keep_only, kept, label_rows
+from .quality import LogOdds, score_texts
 
 SPAN, DECAY = 6, 0.5
 TABLE = 1 << 20
+MULTIPLIER, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 LANDMARKS, ROUNDS = 256, 4
 TRAIN_ROWS, TRAIN_BYTES = 4000, 60_000
 WORDS_AT_ONCE = 10_000
-HELD_WORDS = 600_000
+HELD_WORDS = 250_000
 LONGEST = 40
 TOP = 3
 CLEAN_SHARE = 0.9
@@ -76,25 +77,21 @@ class Subsequences:
         sizes = np.array([len(m) for m in marked], np.int64)
         codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         owner = np.repeat(np.arange(len(words)), sizes)
-        keys, values = [], []
+        ids, owners, weights = [], [], []
         codes = mix(codes)
         for a, b, c in _GAPS:
             if len(codes) <= c:
                 continue
-            inside = owner[:-c] == owner[c:]
-            h = codes[:-c]
+            inside = np.flatnonzero(owner[:-c] == owner[c:])
+            h = codes[inside]
             for k in (a, b, c):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : len(codes) - c + k]
-            h = mix(h) & np.uint64(TABLE - 1)
-            keys.append(((owner[:-c].astype(np.uint64) << np.uint64(20)) | h)[inside])
-            values.append(np.full(int(inside.sum()), DECAY ** (c - 3)))
-        if keys:
-            merged, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            value = np.bincount(inverse, np.concatenate(values), len(merged))
-        else:
-            merged, value = np.empty(0, np.uint64), np.empty(0)
-        self.owner = (merged >> np.uint64(20)).astype(np.int64)
-        self.gram = (merged & np.uint64(TABLE - 1)).astype(np.int64)
+                h = h * MULTIPLIER + codes[inside + k]
+            ids.append(((h * SPREAD) >> np.uint64(44)).astype(np.int64))
+            owners.append(owner[inside])
+            weights.append(np.full(len(inside), DECAY ** (c - 3)))
+        self.gram = np.concatenate(ids) if ids else np.empty(0, np.int64)
+        self.owner = np.concatenate(owners) if owners else np.empty(0, np.int64)
+        value = np.concatenate(weights) if weights else np.empty(0)
         norm = np.sqrt(np.bincount(self.owner, value**2, len(words)))
         self.value = value / np.maximum(norm, 1e-9)[self.owner]
         self.count = len(words)
@@ -105,13 +102,18 @@ class Subsequences:
 
 def nystroem(grams: Subsequences, landmarks: Subsequences) -> np.ndarray:
     """Kernel values of all words to all landmarks."""
-    out = np.empty((grams.count, landmarks.count), np.float32)
-    table = np.zeros(TABLE)
-    for j in range(landmarks.count):
-        mine = landmarks.owner == j
-        table[landmarks.gram[mine]] = landmarks.value[mine]
-        out[:, j] = grams.times(table)
-        table[landmarks.gram[mine]] = 0
+    known, place = np.unique(landmarks.gram, return_inverse=True)
+    table = np.zeros((len(known), landmarks.count), np.float32)
+    np.add.at(table, (place, landmarks.owner), landmarks.value)
+    at = np.minimum(np.searchsorted(known, grams.gram), len(known) - 1)
+    shared = np.flatnonzero(known[at] == grams.gram)
+    shared = shared[np.argsort(grams.owner[shared], kind="stable")]
+    out = np.zeros((grams.count, landmarks.count), np.float32)
+    for low in range(0, len(shared), 50_000):
+        part = shared[low : low + 50_000]
+        owner = grams.owner[part]
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        out[owner[first]] += np.add.reduceat(table[at[part]] * grams.value[part, None].astype(np.float32), first)
     return out
 
 
@@ -146,12 +148,10 @@ def logistic(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return w
 
 
-def summary(margins: np.ndarray) -> tuple[float, float]:
+def summary(margins) -> tuple[float, float]:
     """The highest margin of a document and the mean of its ``TOP`` highest, missing words at ``LOWEST``."""
-    top = np.full(TOP, LOWEST)
-    held = np.sort(margins)[::-1][:TOP]
-    top[: len(held)] = np.maximum(held, LOWEST)
-    return float(top[0]), float(top.mean())
+    top = ([max(m, LOWEST) for m in nlargest(TOP, margins)] + [LOWEST] * TOP)[:TOP]
+    return top[0], sum(top) / TOP
 
 
 Model = tuple[np.ndarray, float, np.ndarray]
@@ -237,39 +237,39 @@ def fit(bags: list[set[str]], labels: np.ndarray, seed: int = 11) -> Model:
 class ToxicScorer:
     """Log odds of texts; a worker process keeps the chunks it has met."""
 
-    _kept: dict[str, ToxicScorer] = {}
-
     @classmethod
     def of(cls, *model) -> ToxicScorer:
-        key = xxhash.xxh3_64_hexdigest(model[0].tobytes() + str(model[1:]).encode())
-        if key not in cls._kept:
-            cls._kept.clear()
-            cls._kept[key] = cls(*model)
-        return cls._kept[key]
+        keep_only("quality", "toxicity")
+        return kept("toxicity", xxhash.xxh3_64_hexdigest(model[0].tobytes() + str(model[1:]).encode()), lambda: cls(*model))
 
     def __init__(self, table: np.ndarray, offset: float, curve: np.ndarray):
         self.table, self.offset, self.curve = table, offset, curve
         self.cache: dict[str, float] = {}
 
-    def margins(self, text: str) -> np.ndarray:
-        """One margin for each distinct chunk."""
+    def _learn(self, new: set[str]) -> None:
+        cache = self.cache
+        pieces = {c: word_of(c) for c in new}
+        words = [w for w in {w for p in pieces.values() for w in p} if w not in cache]
+        for low in range(0, len(words), WORDS_AT_ONCE):
+            part = words[low : low + WORDS_AT_ONCE]
+            cache.update(zip(part, (Subsequences(part).times(self.table) + self.offset).tolist(), strict=True))
+        for c, p in pieces.items():
+            if c not in cache or len(p) > 1:
+                cache[c] = max(map(cache.__getitem__, p))
+
+    def margins_of(self, texts: list[str]) -> list[list[float]]:
+        """For each text its few highest margins, one for each distinct chunk; new chunks of all texts are learnt at once."""
         if len(self.cache) > HELD_WORDS:
             self.cache.clear()
-        chunks = chunks_of(text)
-        cache = self.cache
-        new = [c for c in chunks if c not in cache]
-        if new:
-            pieces = [word_of(c) for c in new]
-            values = Subsequences([w for p in pieces for w in p]).times(self.table) + self.offset
-            firsts = np.cumsum([0, *(len(p) for p in pieces[:-1])])
-            cache.update(zip(new, np.maximum.reduceat(values, firsts).tolist(), strict=True))
-        return np.fromiter(map(cache.__getitem__, chunks), np.float64, len(chunks))
+        found = [chunks_of(t) for t in texts]
+        self._learn(set().union(*found).difference(self.cache))
+        return [nlargest(TOP, map(self.cache.__getitem__, chunks)) for chunks in found]
 
-    def log_odds(self, text: str) -> float:
-        return float(np.dot([*summary(self.margins(text)), 1.0], self.curve))
+    def log_odds(self, texts: list[str]) -> list[float]:
+        return [float(np.dot([*summary(m), 1.0], self.curve)) for m in self.margins_of(texts)]
 
 
-def toxicity_scorer(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Callable[[], Callable[[str], float]]:
+def toxicity_scorer(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> LogOdds:
     """Train on labelled rows whose crc32(doc_id) mod 3 is not 1."""
     bags, marks = [], []
     for row in label_rows(docs, labels, "toxic", 3, 1, max_rows, max_bytes).orderBy("doc_id", "text").toLocalIterator():
