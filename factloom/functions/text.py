@@ -133,7 +133,7 @@ def merge_reasons(reasons: Column) -> Column:
 
 def clamp_confidence(c: Column) -> Column:
     number = c.try_cast("double")
-    return F.coalesce(F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)), F.lit(0.5))
+    return F.when(number.isNotNull(), F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.5))  # greatest skips nulls
 
 
 def optional(c: Column) -> Column:
