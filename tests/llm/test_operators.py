@@ -252,11 +252,10 @@ def plain_links(found, n=5, percent=75):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
         sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
     label = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     for _ in sets:
-        for a in sets:
-            for b in sets:
-                if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                    label[a] = label[b] = min(label[a], label[b])
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
     return {i: (len(s), label[i]) for i, s in sets.items()}
 
 
