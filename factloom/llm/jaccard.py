@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import id_filter, mix
-from .common import materialize, texts
+from .common import keep_only, materialize, texts
 from .components import connected_components
 
 N = 5
@@ -70,6 +70,7 @@ def count_classes(docs: DataFrame, n: int = N) -> np.ndarray:
     width = BUCKETS // SLOTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         total = np.zeros(BUCKETS, np.uint16)
         for batch in batches:
             for text in batch.column(0):
@@ -79,6 +80,7 @@ def count_classes(docs: DataFrame, n: int = N) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i * width : (i + 1) * width].astype("<u2").tobytes()], pa.binary())], ["slot", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for slot, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -101,6 +103,7 @@ def signatures(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     shared = spark.sparkContext.broadcast(count_classes(docs, n))  # BUCKETS bytes
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         classes = shared.value
         for batch in batches:
             rows = []
@@ -160,6 +163,7 @@ def prune(signed: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFr
     """Pairs whose parity tables leave the similarity possible."""
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in (2, 4)]
             kept = [
@@ -183,10 +187,12 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int = N, percent: int = PERCENT
     possible = id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for batch in batches:
             yield batch.filter(pa.array(possible(batch.column(0).to_numpy())))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         lead, left = None, np.empty(0, np.uint64)
         for batch in batches:
             kept = []

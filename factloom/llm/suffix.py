@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import id_filter, mix
-from .common import materialize
+from .common import keep_only, materialize, small_batches
 
 WIDTH = 400
 GRAM = 32
@@ -143,6 +143,7 @@ def anchor_runs(raw: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.nd
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id (null: -1), a hash of the text that tells rows of one doc_id apart, and the text."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc"), F.xxhash64(text).alias("h"), text.alias("text"))
 
@@ -151,6 +152,7 @@ def runs(rows: DataFrame, width: int) -> DataFrame:
     """One row per document and distinct context: doc, h, anchor, k1, k2 (128-bit context hash), lows, windows."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for batch in batches:
             out: list[tuple] = []
             lows: list[list[int]] = []
@@ -236,12 +238,14 @@ def context_bytes(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     possible = id_filter(wanted.select("doc").distinct())
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for batch in batches:
             kept = batch.filter(pa.array(possible(batch.column(0).to_numpy())))
             if kept.num_rows:
                 yield kept
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         names = ["anchor", "kinds", "doc", "h", "low", "bytes"]
         for batch in batches:
             out, size = [], 0
@@ -275,6 +279,7 @@ def _blocks(width: int, later_only: bool):
         return [span for x, f in zip(block, np.split(flags, ends), strict=True) if f.any() for span in _spans(x[0], x[1], x[2], f)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         block: list[tuple[int, int, int, bytes]] = []
         size, last = 0, None
         for batch in batches:
@@ -295,6 +300,7 @@ def _counted(contexts: DataFrame, width: int, later_only: bool) -> DataFrame:
     """The same spans by counting single windows."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for batch in batches:
             for _, _, doc, h, low, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 keys = [xxhash.xxh3_128_digest(body[i : i + width]) for i in range(len(body) - width + 1)]
@@ -354,15 +360,18 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, later_only: bool = False
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for batch in batches:
             part = batch.filter(pa.array(~possible(batch.column(0).to_numpy())))
             yield from describe((d.as_py(), h.as_py(), t.as_py(), []) for d, h, t in zip(*part.columns, strict=True))
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for batch in batches:
             yield batch.filter(pa.array(possible(batch.column(0).to_numpy())))
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for batch in batches:
             yield from describe((d.as_py(), h.as_py(), t.as_py(), [(x["low"], x["high"]) for x in s.as_py() or []]) for d, h, t, s in zip(*batch.columns, strict=True))
 
