@@ -11,7 +11,8 @@ Only components are wanted, so no group is expanded into all its pairs:
    each group meets the one leading group with which it shares most prefix n-grams.
 2. Verified links give components. An index entry whose documents are all in one component is finished.
    In the others, every pair from *different* components that passes the filters and was not met before is
-   compared. A link inside a component changes nothing, so the result is exact.
+   compared. A link inside a component changes nothing, so the result is exact. Members of one group share
+   their whole prefix, so the group's first n-gram stays in the index for them even when no other group has it.
 
 Before texts are fetched, pairs pass a small parity table of each set, which bounds the overlap from above.
 
@@ -43,6 +44,7 @@ PERCENT = 75
 BUCKETS = 1 << 24
 PARITY_BITS = 1 << 16
 SLOTS = 32
+INNER = 1 << 31  # marks, beside the position, the first n-gram of a group with several members
 LARGEST_COUNT = 40_000  # of one partition and bucket; leaves room for a batch more
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -221,22 +223,23 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     groups = copies.groupBy("group_hash").agg(F.min("rep").alias("gid"))
     members = materialize(copies.join(groups, "group_hash").select("rep", "gid"), "members")
 
-    leads = members.where("rep = gid").select(F.col("gid").alias("doc_id")).distinct()
+    leads = members.groupBy(F.col("gid").alias("doc_id")).agg(F.max(F.col("rep") != F.col("gid")).alias("many"))
     entries = (
         signed.where("size > 0")
-        .join(leads, "doc_id", "left_semi")
+        .join(leads, "doc_id")
         .dropDuplicates(["doc_id", "group_hash"])
-        .select(F.col("doc_id").alias("gid"), "size", F.posexplode("prefix").alias("pos", "gram"))
-        .select("gram", "gid", (F.shiftleft("size", 32) + F.col("pos")).alias("size_pos"))
+        .select(F.col("doc_id").alias("gid"), "size", "many", F.posexplode("prefix").alias("pos", "gram"))
+        .select("gram", "gid", (F.shiftleft("size", 32) + F.col("pos") + F.when(F.col("many") & (F.col("pos") == 0), INNER).otherwise(0)).alias("size_pos"))
     )
+    pos_of = lambda c: F.col(c).bitwiseAND(INNER - 1)
     same = Window.partitionBy("gram")
     entries = materialize(
         entries.withColumn("lead", F.min(F.struct("gid", "size_pos")).over(same))
         .withColumn("shared", F.count(F.lit(1)).over(same))
-        .where("shared > 1")
+        .where((F.col("shared") > 1) | (F.col("size_pos").bitwiseAND(INNER) != 0))
         .select(
-            "gram", "gid", F.shiftright("size_pos", 32).alias("size"), F.col("size_pos").bitwiseAND(0xFFFFFFFF).alias("pos"),
-            F.col("lead.gid").alias("lead"), F.shiftright("lead.size_pos", 32).alias("lead_size"), F.col("lead.size_pos").bitwiseAND(0xFFFFFFFF).alias("lead_pos"),
+            "gram", "gid", F.shiftright("size_pos", 32).alias("size"), pos_of("size_pos").alias("pos"),
+            F.col("lead.gid").alias("lead"), F.shiftright("lead.size_pos", 32).alias("lead_size"), pos_of("lead.size_pos").alias("lead_pos"),
         ),
         "entries",
     )

@@ -265,6 +265,22 @@ def test_jaccard(docs, percent):
     assert got == plain_links(texts(), percent=percent)
 
 
+def one_group_triple():
+    """1, 2 and 3 have one size and one prefix that no other text has; only 2 and 3 are near copies."""
+    for k in range(100_000):
+        a, b, c = (f"a b c d e{k} f {x}" for x in (f"v w x y{k} z", f"p q r s{k} t", f"p q r s{k} u"))
+        order = [jaccard.np.sort(jaccard.ngram_set(t.encode()) >> jaccard.np.uint64(6))[: jaccard.prefix_size(7)].tolist() for t in (a, b, c)]
+        if order[0] == order[1] == order[2]:
+            return {1: a, 2: b, 3: c}
+
+
+def test_jaccard_links_inside_a_group(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "count_classes", lambda docs, n: jaccard.np.zeros(jaccard.BUCKETS, jaccard.np.uint8))  # any order gives the same result
+    found = one_group_triple()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(list(found.items()), "doc_id long, text string")).collect()}
+    assert got == plain_links(found) == {1: (7, 1), 2: (7, 2), 3: (7, 2)}
+
+
 def test_jaccard_defined_cases(docs, empty, odd):
     assert jaccard.near_duplicates(empty).count() == 0
     got = jaccard.near_duplicates(odd).collect()
