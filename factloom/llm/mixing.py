@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep_only, kept, materialize, texts
-from .quality import AGAIN, HELD_WORDS, TEXTS_AT_ONCE, TRAIN_BYTES, TRAIN_ROWS, WORDS_AT_ONCE, Embeddings, as_features, word_counts, word_features
+from .quality import AGAIN, HELD_WORDS, TEXTS_AT_ONCE, TRAIN_BYTES, TRAIN_ROWS, WORDS_AT_ONCE, Embeddings, as_features, feature_blocks, word_counts, word_parts
 
 DOMAINS = ["clean", "toxic", "junk"]
 WEIGHTS = {"clean": 0.93, "toxic": 0.06, "junk": 0.01}
@@ -76,16 +76,16 @@ class DomainScorer:
         self.rows = np.zeros((WORDS_AT_ONCE, len(bias) + 1))
 
     def _learn(self, new: list[str]) -> None:
-        for low in range(0, len(new), WORDS_AT_ONCE):
-            part = new[low : low + WORDS_AT_ONCE]
-            owner, ids = word_features(part)
+        for part in word_parts(new):
             first = len(self.cache)
             if first + len(part) > len(self.rows):
                 self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
             mine = self.rows[first : first + len(part)]
-            for k in range(len(self.bias)):
-                mine[:, k] = np.bincount(owner, self.table[ids, k], len(part))
-            mine[:, -1] = np.bincount(owner, minlength=len(part))
+            mine[:] = 0
+            for owner, ids in feature_blocks(part):
+                for k in range(len(self.bias)):
+                    mine[:, k] += np.bincount(owner, self.table[ids, k], len(part))
+                mine[:, -1] += np.bincount(owner, minlength=len(part))
             self.cache.update(zip(part, range(first, first + len(part)), strict=True))
 
     def posteriors(self, texts: list[str]) -> tuple[list[int], list[list[float]]]:

@@ -32,32 +32,50 @@ BUCKETS, DIM = 1 << 18, 16
 SPREAD = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 TRAIN_ROWS, TRAIN_BYTES = 4000, 60_000
 HELD_WORDS, WORDS_AT_ONCE = 250_000, 20_000
-MARKED = 40
+CHARACTERS_AT_ONCE = 1 << 20
 AGAIN = "\0="
 
 
-def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the word, feature) of every feature of ``words``: the word, and its character n-grams.
+def feature_blocks(words: list[str], block: int = CHARACTERS_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(index of the word, feature) of every feature of ``words``: the word, and the character n-grams of all of it with its ends.
 
-    N-grams are taken from the first ``MARKED`` characters and the word's ends; the word counts whole.
+    N-grams come in blocks of ``block`` starting places, so a text without blanks needs no more memory at once.
     """
-    marked = [f"<{w[:MARKED]}>" for w in words]
-    owner = np.repeat(np.arange(len(words)), [len(m) for m in marked])
-    codes = mix(np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64))
-    owners = [np.arange(len(words))]
-    hashed = [np.fromiter((xxhash.xxh3_64_intdigest(w.encode(errors="surrogatepass")) >> 46 for w in words), np.int64, len(words))]
-    grams = codes
-    for k in range(2, 6):
-        if len(codes) < k:
-            break
-        grams = grams[: len(codes) - k + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[k - 1 :]
-        if k > 2:
-            inside = np.flatnonzero(owner[: len(codes) - k + 1] == owner[k - 1 :])
-            owners.append(owner[inside])
-            hashed.append(((grams[inside] * SPREAD[k - 3]) >> np.uint64(46)).astype(np.int64))  # the top 18 bits
+    yield np.arange(len(words)), np.fromiter((xxhash.xxh3_64_intdigest(w.encode(errors="surrogatepass")) >> 46 for w in words), np.int64, len(words))
+    sizes = [len(w) + 2 for w in words]
+    points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    for low in range(0, len(points), block):
+        codes, mine = mix(points[low : low + block + 4].astype(np.uint64)), owner[low : low + block + 4]
+        grams = codes
+        for k in range(2, 6):
+            if len(codes) < k:
+                break
+            grams = grams[: len(codes) - k + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[k - 1 :]
+            if k > 2:
+                inside = np.flatnonzero(mine[: len(codes) - k + 1][:block] == mine[k - 1 :][:block])
+                yield mine[inside], ((grams[inside] * SPREAD[k - 3]) >> np.uint64(46)).astype(np.int64)  # the top 18 bits
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All of ``feature_blocks`` at once."""
+    owners, hashed = zip(*feature_blocks(words), strict=True)
     return np.concatenate(owners), np.concatenate(hashed)
 
 
+def word_parts(words: list[str]) -> Iterator[list[str]]:
+    """``words`` in parts of at most ``WORDS_AT_ONCE`` words and, unless one word is longer, ``CHARACTERS_AT_ONCE`` characters."""
+    part, size = [], 0
+    for w in words:
+        if part and (len(part) == WORDS_AT_ONCE or size + len(w) > CHARACTERS_AT_ONCE):
+            yield part
+            part, size = [], 0
+        part.append(w)
+        size += len(w)
+    if part:
+        yield part
+
+
 def word_counts(text: str) -> Counter[str]:
     words = text.split()
     counts = Counter(words)
@@ -138,14 +156,15 @@ class WordScorer:
         self.rows = np.zeros((WORDS_AT_ONCE, 2))
 
     def _learn(self, new: list[str]) -> None:
-        for low in range(0, len(new), WORDS_AT_ONCE):
-            part = new[low : low + WORDS_AT_ONCE]
-            owner, ids = word_features(part)
+        for part in word_parts(new):
             first = len(self.cache)
             if first + len(part) > len(self.rows):
                 self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-            self.rows[first : first + len(part), 0] = np.bincount(owner, self.scores[ids], len(part))
-            self.rows[first : first + len(part), 1] = np.bincount(owner, minlength=len(part))
+            mine = self.rows[first : first + len(part)]
+            mine[:] = 0
+            for owner, ids in feature_blocks(part):
+                mine[:, 0] += np.bincount(owner, self.scores[ids], len(part))
+                mine[:, 1] += np.bincount(owner, minlength=len(part))
             self.cache.update(zip(part, range(first, first + len(part)), strict=True))
 
     def log_odds(self, texts: list[str]) -> list[float]:

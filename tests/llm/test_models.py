@@ -144,3 +144,16 @@ def test_mixing(tables, empty, odd, spark):
     assert counts == {i: c for i, c in zip(table.doc_id, table.copies, strict=True) if c}
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert mixing.mix(empty, none).count() == 0 and mixing.mixing_table(odd, none).count() == 4
+
+
+def test_long_words_count_whole():
+    one, other = ("漢" * 40 + c * 3000 for c in "字語")
+    ends = [quality.word_features([w])[1].tolist() for w in (one, other)]
+    assert [len(e) for e in ends] == [1 + sum(len(one) + 3 - k for k in (3, 4, 5))] * 2 and len(set(ends[0]) & set(ends[1])) <= 8
+    words = ["", "a", "some", one, "words"]
+    plain = sorted(zip(*(x.tolist() for x in quality.word_features(words)), strict=True))
+    for block in (1, 7, 64):
+        assert sorted(p for owner, ids in quality.feature_blocks(words, block) for p in zip(owner.tolist(), ids.tolist(), strict=True)) == plain
+    scorer = quality.WordScorer(quality.np.random.default_rng(1).normal(size=quality.BUCKETS).astype(quality.np.float32), 0.0)
+    a, b = scorer.log_odds([one, other])
+    assert abs(a - b) > 0.1
