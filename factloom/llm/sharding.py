@@ -1,6 +1,6 @@
 """Two-pass external shuffle into shards (DataFrame functions only).
 
-Pass 1 scatters records uniformly into memory-sized buckets by a seeded hash of their id. Pass 2
+Pass 1 scatters records uniformly into memory-sized buckets by a seeded hash of their id and content. Pass 2
 orders each bucket canonically, Fisher-Yates shuffles it (Spark's built-in ``shuffle``) and deals the
 concatenation of all buckets round robin to the shards, so shard sizes differ by one record at most.
 
@@ -14,8 +14,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import SHUFFLE_CLEANUP, fresh_path
+
+BUCKET_BYTES = 32 << 20
+
+
+def record_bytes(df: DataFrame, columns: list[str]) -> Column:
+    """About the size of a record: its strings and binaries, and a word for every column."""
+    long = [c for c in columns if isinstance(df.schema[c].dataType, (T.StringType, T.BinaryType))]
+    return sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in long), F.lit(16 * len(columns)).cast("long"))
 
 
 def two_pass_shuffle(
@@ -23,15 +34,16 @@ def two_pass_shuffle(
 ) -> DataFrame:
     """``columns`` of ``df`` plus ``shard`` int and ``slot`` long (gapless from 0 within a shard).
 
-    ``bucket_rows`` is what one task holds in memory at once; choose it as memory / record size.
+    A bucket, what one task holds in memory at once, has about ``bucket_rows`` rows and ``BUCKET_BYTES`` bytes at most.
     """
     columns = columns or df.columns
-    buckets = max(1, math.ceil(df.count() / bucket_rows))
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(record_bytes(df, columns)), F.lit(0))).first()
+    buckets = max(1, math.ceil(n / bucket_rows), math.ceil(size / BUCKET_BYTES))
     record = F.struct(
         F.xxhash64(F.lit(seed + 1), F.col(id_col)).alias("_k"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)]
     )
     scattered = df.select(
-        F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(buckets)).alias("_bucket"), record.alias("_record")
+        F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), *columns), F.lit(buckets)).alias("_bucket"), record.alias("_record")
     )
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (  # one row per bucket
@@ -56,21 +68,30 @@ def two_pass_shuffle(
 
 
 def write_shards(df: DataFrame, id_col: str, path: str, shards: int, seed: int = 17, bucket_rows: int = 20_000) -> None:
-    """Write whole records, one folder per shard, in slot order within each file."""
-    out = two_pass_shuffle(df, id_col, shards, seed, bucket_rows)
-    out.repartition("shard", F.floor(F.col("slot") / bucket_rows)).sortWithinPartitions("shard", "slot").write.partitionBy(
-        "shard"
-    ).parquet(path)
+    """Write whole records, one folder per shard, in slot order within each file. Pass 2 writes its buckets straight to the shards."""
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, "false")
+    conf.set(SHUFFLE_CLEANUP, "true")  # the scattered records are of no use afterwards
+    try:
+        out = two_pass_shuffle(df, id_col, shards, seed, bucket_rows)
+        out.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """The digest of a sharding: law ``rows``, counts at most one apart. Texts are reduced to size and
-    checksum at the scan, so that only a few bytes per document are shuffled."""
-    slim = docs.select(
+    """The digest of the written shards: law ``rows``, counts at most one apart. Whole records go through both
+    passes; size, checksum, shard and slot are taken from the shards read back."""
+    spark = docs.sparkSession
+    path = fresh_path(spark, "shards")
+    write_shards(docs, "doc_id", path, shards)
+    schema = T.StructType([*docs.schema.fields, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
+    return spark.read.schema(schema).parquet(path).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-    )
-    return two_pass_shuffle(slim, "doc_id", shards).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
     )

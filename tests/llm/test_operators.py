@@ -103,6 +103,18 @@ def test_shards_are_written_whole(spark, docs, tmp_path):
     assert back.select("doc_id", "text", "source").exceptAll(docs.select("doc_id", "text", "source")).count() == 0 and back.count() == docs.count()
 
 
+def test_digest_comes_from_written_shards(spark, docs, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 20_000, raising=False)
+    out = sharding.shard_documents(docs)
+    assert any("/shard=" in f for f in out.inputFiles())
+    back = spark.read.parquet(out.inputFiles()[0].split("/shard=")[0])
+    assert back.select(*docs.columns).exceptAll(docs).count() == 0 and back.count() == docs.count()
+    assert {(r.doc_id, r.shard, r.slot) for r in out.collect()} == {(r.doc_id, r.shard, r.slot) for r in back.collect()}
+    one_id = spark.createDataFrame([(1, "x" * 1000 + str(i)) for i in range(200)], "doc_id long, text string")
+    found = sharding.two_pass_shuffle(one_id, "doc_id", 4)
+    assert found.count() == 200 and found.select(F.spark_partition_id()).distinct().count() > 1
+
+
 # ---------------------------------------------------------------- 4
 
 
