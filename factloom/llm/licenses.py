@@ -1,6 +1,8 @@
 """License scan: exact set-similarity join of text blocks with license templates (DataFrame functions only).
 
-A block is a line of a document. A block meets a template when it holds at least ``threshold`` of the
+A block is a line of a document, or a run of words across lines, as long as the template, so that wrapped
+notices are seen: windows of twice the longest template's words, half overlapping, go through the same
+filters, and a run in them is then verified. A block meets a template when it holds at least ``threshold`` of the
 template's distinct words (containment). Words are ordered globally by how many documents hold them, rarest
 first; a block that meets a template must then hold one of the template's first
 ``size - need + 1`` words (prefix filter), be long enough (length filter), and have enough words left after
@@ -108,27 +110,47 @@ def template_join(rows: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     ]
     index = spark.createDataFrame(postings, "template int, word string, t_pos int, t_size int, need int")
     prefix_words = sorted({p[1] for p in postings})
+    longest = max(len(t.split()) for t, _ in templates)
+    prefix_array = F.array(*map(F.lit, prefix_words))
     any_prefix = "(?:^|{0})(?:{1})(?:$|{0})".format(BREAK, "|".join(prefix_words))
     order = F.create_map(*[x for w, i in rank.items() for x in (F.lit(w), F.lit(i))])
+    hit = rows.where(F.col("_text").rlike(any_prefix))
     lines = (
-        rows.where(F.col("_text").rlike(any_prefix))
-        .select("_key", F.posexplode(F.split("_text", "\n")).alias("line", "_line"))
+        hit.select("_key", F.posexplode(F.split("_text", "\n")).alias("line", "_line"))
         .where(F.col("_line").rlike(any_prefix))
-        .select("_key", "line", F.array_distinct(words_of(F.col("_line"))).alias("_set"))
+        .select("_key", "line", F.array_distinct(words_of(F.col("_line"))).alias("_set"), F.lit(None).cast("array<string>").alias("_win"))
+    )
+    windows = (  # any run of ``longest`` words lies in one of them; they count as lines below 0
+        hit.where(F.col("_text").contains("\n"))
+        .select("_key", words_of(F.col("_text")).alias("_words"))
+        .where(F.size("_words") > 0)
+        .select("_key", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("_words") - 1) / longest).cast("int")), lambda k: F.slice("_words", k * longest + 1, 2 * longest))).alias("k", "_win"))
+        .where(F.arrays_overlap("_win", prefix_array))
+        .select("_key", (-1 - F.col("k")).alias("line"), F.array_distinct("_win").alias("_set"), "_win")
+    )
+    blocks = (
+        lines.unionByName(windows)
         .withColumn("b_size", F.size("_set"))
         .withColumn("_known", F.array_sort(F.transform(F.filter("_set", lambda w: F.array_contains(F.array(*map(F.lit, vocabulary)), w)), lambda w: F.struct(order[w].alias("r"), w.alias("w")))))
     )
     candidates = (
-        lines.select("_key", "line", "b_size", "_known", F.posexplode("_known").alias("b_pos", "_k"))
+        blocks.select("_key", "line", "b_size", "_known", "_win", F.posexplode("_known").alias("b_pos", "_k"))
         .join(F.broadcast(index), F.col("_k.w") == F.col("word"))
         .where(F.col("b_size") >= F.col("need"))  # length
         .where(1 + F.least(F.size("_known") - F.col("b_pos") - 1, F.col("t_size") - F.col("t_pos") - 1) >= F.col("need") - F.least("b_pos", "t_pos"))  # position
         .dropDuplicates(["_key", "line", "template"])
     )
-    full = spark.createDataFrame([(k, s, templates[k][1]) for k, s in enumerate(sets)], "template int, t_words array<string>, label string")
+    full = spark.createDataFrame([(k, s, len(t.split()), label) for k, (s, (t, label)) in enumerate(zip(sets, templates, strict=True))], "template int, t_words array<string>, t_run int, label string")
+    within = F.size(F.array_intersect(F.transform("_known", lambda k: k["w"]), "t_words"))
+    runs = F.transform(  # overlaps of all runs of the template's length; only for windows that hold enough words at all
+        F.sequence(F.lit(1), F.greatest(F.size("_win") - F.col("t_run") + 1, F.lit(1))),
+        lambda i: F.size(F.array_intersect(F.slice("_win", i, F.col("t_run")), "t_words")),
+    )
     return (
         candidates.join(F.broadcast(full), "template")
-        .withColumn("overlap", F.size(F.array_intersect(F.transform("_known", lambda k: k["w"]), "t_words")))
+        .withColumn("overlap", within)
+        .where(F.col("overlap") >= F.col("need"))
+        .withColumn("overlap", F.when(F.col("_win").isNull(), F.col("overlap")).otherwise(F.array_max(runs)))
         .where(F.col("overlap") >= F.col("need"))
         .select("_key", "line", "template", "label", (F.col("overlap") / F.col("t_size")).alias("containment"))
     )
@@ -142,8 +164,15 @@ def scan_documents(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     )
     met = (
         template_join(rows.select("_key", "_text"), templates, threshold)
+        .groupBy("_key", "label", "template")
+        .agg(F.max("containment").alias("_best"), F.collect_set(F.when(F.col("line") >= 0, F.col("line"))).alias("_lines"), F.max("line").alias("_first"))
         .groupBy("_key")
-        .agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"), F.countDistinct("line").alias("n_blocks"))
+        .agg(
+            F.collect_set("label").alias("_more"),
+            F.max("_best").alias("_best"),
+            # blocks: lines, and the first window of each template that no line meets
+            F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.size("_lines") > 0, F.col("_lines")).otherwise(F.array("_first")))))).alias("n_blocks"),
+        )
     )
     joined = phrases(rows).drop("_text").join(met, "_key", "left")
     none = F.array().cast("array<string>")

@@ -79,6 +79,20 @@ def test_license_scan(spark, docs, empty, odd):
     assert licenses.scan_documents(empty).count() == 0 and licenses.scan_documents(odd).count() == 4
 
 
+WRAPPED = {
+    1: ("/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that", "bsd"),
+    2: ("you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published", "lgpl"),
+    3: ("some words\n" * 40 + "this is free and\nunencumbered software released into\nthe public domain", "unlicense"),
+    4: ("rights\n" + "some words " * 20 + "\nall " + "some words " * 20 + "\nreserved", ""),
+}
+
+
+def test_wrapped_notices(spark):
+    got = by_id(licenses.scan_documents(spark.createDataFrame([(i, t) for i, (t, _) in WRAPPED.items()], "doc_id long, text string")))
+    assert {i: r.labels for i, r in got.items()} == {i: label for i, (_, label) in WRAPPED.items()}
+    assert [got[i].n_blocks for i in sorted(got)] == [1, 1, 1, 0] and got[1].score == 1.0
+
+
 # ---------------------------------------------------------------- 3
 
 
