@@ -6,10 +6,14 @@ executor never takes the only copy with it.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +88,18 @@ def label_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, hel
     return texts(docs).where(F.octet_length("text") <= max_bytes).join(F.broadcast(picked), "doc_id")
 
 
+def own_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 _KEPT: dict[str, tuple[str, object]] = {}
 
 
@@ -96,5 +112,15 @@ def kept(kind: str, key: str, make):
 
 def keep_only(*kinds: str) -> None:
     """Drop what earlier stages left in this worker; caches of different stages need not fit together."""
-    for kind in [k for k in _KEPT if k not in kinds]:
-        del _KEPT[kind]
+    if left := [k for k in _KEPT if k not in kinds]:
+        for kind in left:
+            del _KEPT[kind]
+        release_memory()
+
+
+def release_memory() -> None:
+    """Give what this process has freed back to the machine; allocators keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)

@@ -34,9 +34,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bloom import id_filter, mix
-from .common import keep_only, materialize, texts
+from .common import keep_only, materialize, own_names, texts
 from .components import connected_components
 
 N = 5
@@ -68,7 +69,10 @@ def prefix_size(size: int, percent: int = PERCENT) -> int:
 
 
 def count_classes(docs: DataFrame, n: int = N) -> np.ndarray:
-    """For each of ``BUCKETS`` buckets of n-grams a frequency class: 0 up to twice the mean count, then by powers of two."""
+    """For each of ``BUCKETS`` buckets of n-grams the class of its count: 0 up to one, then by powers of two.
+
+    Executors count and classify; one byte a bucket comes to the driver, whatever the input.
+    """
     width = BUCKETS // SLOTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,26 +81,25 @@ def count_classes(docs: DataFrame, n: int = N) -> np.ndarray:
         for batch in batches:
             for text in batch.column(0):
                 np.add.at(total, (ngram_set(text.as_py().encode(), n) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-            total = np.minimum(total, LARGEST_COUNT)
+            np.minimum(total, LARGEST_COUNT, out=total)
         for i in range(SLOTS):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i * width : (i + 1) * width].astype("<u2").tobytes()], pa.binary())], ["slot", "counts"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only()
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for slot, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 sums.setdefault(slot, np.zeros(width, np.uint32))[:] += np.frombuffer(counts.as_py(), "<u2")
         for slot, v in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["slot", "counts"])
+            classes = np.ceil(np.log2(np.maximum(v, 1))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([classes.tobytes()], pa.binary())], ["slot", "classes"])
 
-    parts = docs.select("text").mapInArrow(count, "slot int, counts binary").repartition(SLOTS, "slot").mapInArrow(add, "slot int, counts binary")
-    total = np.zeros(BUCKETS, np.uint32)
-    for slot, counts in parts.toLocalIterator():  # SLOTS rows, BUCKETS numbers
-        total[slot * width : (slot + 1) * width] += np.frombuffer(counts, np.uint32)
-    mean = max(1.0, float(total.mean()))
-    scaled = (total / np.float32(mean)).astype(np.float32)
-    return np.clip(np.ceil(np.log2(np.maximum(scaled, 1, out=scaled), out=scaled)) - 1, 0, 63).astype(np.uint8)
+    parts = docs.select("text").mapInArrow(count, "slot int, counts binary").repartition(SLOTS, "slot").mapInArrow(classify, "slot int, classes binary")
+    out = np.zeros(BUCKETS, np.uint8)
+    for slot, classes in parts.toLocalIterator():  # SLOTS rows of BUCKETS / SLOTS bytes
+        out[slot * width : (slot + 1) * width] = np.frombuffer(classes, np.uint8)
+    return out
 
 
 def signatures(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -284,8 +287,13 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
 
 
 def keep_first(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest doc_id."""
-    kept = near_duplicates(docs, n, percent).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    once = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    joined = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return joined.withColumn("_row", F.row_number().over(once)).where("_row = 1 or doc_id is null").drop("_row")
+    """``docs`` with one row of each component: the one with the smallest doc_id, and of rows that share it the first by content.
+
+    Rows without doc_id stay. Extra columns may have any name.
+    """
+    kept, row = own_names(docs, "kept", "row")
+    found = near_duplicates(docs, n, percent).where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+    plain = [c.name for c in docs.schema if c.name != "doc_id" and not isinstance(c.dataType, (T.MapType, T.VariantType))]
+    once = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in plain])
+    first = docs.join(found, F.col("doc_id").cast("long") == F.col(kept), "left_semi").withColumn(row, F.row_number().over(once)).where(F.col(row) == 1).drop(row)
+    return first.unionByName(docs.where("doc_id is null"))
