@@ -11,7 +11,7 @@ can be that frequent, however many documents there are.
 
 Defined cases: null text: empty; a text without lexicon terms is fingerprinted over all its terms; without any
 term all hashes are those of nothing; equal texts have equal fingerprints; repeated doc_ids are ordered
-by text; a null doc_id comes last in the order; a single document's next document is itself; an empty table
+by a hash of the text; a null doc_id comes last in the order; a single document's next document is itself; an empty table
 gives an empty result; extra columns are ignored.
 """
 
@@ -32,9 +32,10 @@ from .common import texts
 
 MIN_SHARE, MAX_SHARE = 0.001, 0.1
 SUBSETS, LEVELS = 48, 8
-HELD_TERMS = 500_000
+HELD_TERMS, TERMS_AT_ONCE = 500_000, 20_000
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SEEDS = mix(np.arange(1, SUBSETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+PLACES = np.uint64(1) << np.arange(SUBSETS, dtype=np.uint64)
 KEPT = np.uint64(1 << 32) >> (np.arange(SUBSETS, dtype=np.uint64) % np.uint64(LEVELS) + np.uint64(1))
 
 
@@ -75,13 +76,17 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> np.ndarray:
     """Sorted term hashes of the band."""
     n = docs.count()
-    band = document_frequencies(docs).where((F.col("n") >= max(2.0, min_share * n)) & (F.col("n") <= max(2.0, max_share * n)))
+    band = document_frequencies(docs).where((F.col("n") >= min_share * n) & (F.col("n") <= max_share * n))
     return np.sort(band.select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64))
 
 
 class Fingerprinter:
+    """The lexicon costs 16 bytes a term: its hash, and one bit for each sub-lexicon."""
+
     def __init__(self, words: np.ndarray):
-        self.words, self.member = words, memberships(words) if len(words) else np.zeros((0, SUBSETS), bool)
+        self.words = words
+        parts = [words[i : i + TERMS_AT_ONCE] for i in range(0, len(words), TERMS_AT_ONCE)]
+        self.bits = np.concatenate([*((memberships(p) * PLACES).sum(1, dtype=np.uint64) for p in parts), np.empty(0, np.uint64)])
 
     def signatures(self, text: str) -> np.ndarray:
         """The full hash and ``SUBSETS`` hashes, 0 where a sub-lexicon has none of the terms."""
@@ -90,7 +95,7 @@ class Fingerprinter:
         at = at[self.words[at] == h] if len(self.words) else at[:0]
         if len(at):
             at.sort()
-            h, member = self.words[at], self.member[at]
+            h, member = self.words[at], (self.bits[at, None] & PLACES) != 0
         else:
             h = np.sort(h)
             member = memberships(h) if len(h) else np.zeros((0, SUBSETS), bool)

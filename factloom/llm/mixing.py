@@ -11,10 +11,13 @@ matrix (with ``RIDGE`` added, which keeps a nearly empty domain from driving the
 domain multipliers; a document's rate follows from its own row and the vectors so far, so rates are never
 stored and one row of domain sums is all that comes to the driver in a step.
 
-Targets: ``weights`` are shares of tokens. The total is chosen so that the ``anchor`` domain keeps its tokens;
-with no tokens in it, the total stays. Defined cases: null and empty texts have no tokens, the bias's
+Misses of totals are weighed by that inverse matrix. Targets: ``weights`` are shares of tokens. The total is chosen so that the ``anchor`` domain keeps its tokens;
+with no tokens in it, the total stays. Steps end when every domain is within ``TOLERANCE`` of its own target, or when
+a step hardly lowers the sum of squares any more (rates at 0 can keep targets out of reach);
+running out of steps raises. Defined cases: null and empty texts have no tokens, the bias's
 posterior and the rate that posterior gives; repeated rows get equal rates; an empty table gives an empty
-result; extra columns ride along in ``mix`` and are ignored elsewhere; without labels posteriors are equal.
+result; extra columns ride along in ``mix`` and are ignored elsewhere; without any labelled row posteriors are equal
+and, as nothing tells the domains apart, all rates are 1.
 """
 
 from __future__ import annotations
@@ -27,13 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_only, kept, materialize, texts
+from .common import keep_only, kept, materialize, own_names, texts
 from .quality import AGAIN, HELD_WORDS, TEXTS_AT_ONCE, TRAIN_BYTES, TRAIN_ROWS, WORDS_AT_ONCE, Embeddings, as_features, feature_blocks, word_counts, word_parts
 
 DOMAINS = ["clean", "toxic", "junk"]
 WEIGHTS = {"clean": 0.93, "toxic": 0.06, "junk": 0.01}
 ANCHOR = "clean"
-STEPS, TOLERANCE, RIDGE = 40, 2e-3, 0.01
+STEPS, TOLERANCE, RIDGE = 200, 1e-2, 0.01
 
 
 def domain_sample(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> DataFrame:
@@ -49,7 +52,7 @@ def domain_sample(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS
 
 
 def train(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Each bucket's part of each domain's logit, and the bias."""
+    """Each bucket's part of each domain's logit, and the bias; all zeros without a labelled row."""
     documents, labels = [], []
     for row in sample.orderBy("doc_id", "text").toLocalIterator():
         documents.append(as_features(row["text"]))
@@ -58,7 +61,7 @@ def train(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     if documents:
         model.fit(documents, np.array(labels))
     else:
-        model.layer[:] = 0
+        model.layer[:] = 0  # posteriors are equal
     return (model.vectors @ model.layer).astype(np.float32), model.bias.astype(np.float64)
 
 
@@ -157,19 +160,23 @@ def fit_rates(rows: DataFrame, weights: dict[str, float] = WEIGHTS, anchor: str
     sums = domain_sums(rows, [], k)
     now, metric = sums[:k], sums[k:].reshape(k, k)
     total = now.sum()
-    if not total:
-        return []
+    if not total or np.ptp(metric) < 1e-9 * total:
+        return []  # no tokens, or all posteriors are 1 / k
     if anchor is not None and now[domains.index(anchor)] > 0 and share[domains.index(anchor)] > 0:
         total = now[domains.index(anchor)] / share[domains.index(anchor)]
     target = share * total
     inverse = np.linalg.inv(metric + RIDGE * np.trace(metric) * np.eye(k))
     multipliers: list[np.ndarray] = []
+    least = tolerance * np.maximum(target, tolerance * total)
     for _ in range(steps):
-        if np.abs(now - target).max() <= tolerance * total:
-            break
-        multipliers.append(inverse @ (target - now))
+        if (np.abs(now - target) <= least).all():
+            return multipliers
+        miss = target - now
+        multipliers.append(inverse @ miss)
         now = domain_sums(rows, multipliers, k)[:k]
-    return multipliers
+        if (target - now) @ inverse @ (target - now) >= (1 - tolerance / 10) * (miss @ inverse @ miss):
+            return multipliers
+    raise RuntimeError(f"rates did not settle in {steps} steps: totals {now.tolist()}, targets {target.tolist()}")
 
 
 def with_rates(rows: DataFrame, multipliers: list[np.ndarray], k: int) -> DataFrame:
@@ -192,16 +199,17 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] =
     return with_rates(rows, fit_rates(rows, weights, anchor), len(DOMAINS)).withColumn("copies", copies())
 
 
-def mixing_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    found = mixing_rates(docs, labels)
+def mixing_table(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, anchor: str | None = ANCHOR) -> DataFrame:
+    """doc_id, n_tokens, posteriors, rate and copies of every row of ``docs``."""
+    found = mixing_rates(docs, labels, weights, anchor)
     return found.select("doc_id", "n_tokens", *[F.round(F.col("p")[i], 9).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], F.round("rate", 9).alias("rate"), "copies")
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, anchor: str | None = ANCHOR) -> DataFrame:
-    """``docs`` with each row as often as its number of copies says; all columns kept."""
-    found = mixing_rates(docs, labels, weights, anchor).where("copies <> 1").select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), F.col("copies").alias("_copies")).distinct()
+    """``docs`` with each row as often as its number of copies says; all columns kept, whatever their names."""
+    id_, th, doc, h, times, copy = own_names(docs, "id", "th", "doc", "h", "times", "copy")
+    found = mixing_rates(docs, labels, weights, anchor).where("copies <> 1").select("doc_id", "h", "copies").distinct().toDF(doc, h, times)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", F.xxhash64(text)).join(found, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_h")), "left")
-    repeated = F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1)))
-    return joined.where("coalesce(_copies, 1) > 0").withColumn("_copy", F.explode(repeated)).select(*docs.columns)
-
+    joined = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(th, F.xxhash64(text)).join(found, F.col(id_).eqNullSafe(F.col(doc)) & (F.col(th) == F.col(h)), "left")
+    often = F.coalesce(F.col(times), F.lit(1))
+    return joined.where(often > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), often))).select(*[F.col(f"`{c}`") for c in docs.columns])

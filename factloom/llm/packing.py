@@ -80,6 +80,8 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.whole = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
@@ -96,7 +98,10 @@ class WordTokenizer:
                 cache[c] = cache[c[:-1]] + cache[c[-1]]
 
     def encode_packed(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+        """Little-endian unsigned 32-bit ids. A text that spells out one of the vocabulary's special tokens is encoded whole."""
+        if any(t in text for t in self.special):
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         chunks = text.encode().lower().decode().replace("\n", " ").split(" ")
         try:
             return b"".join(map(self.cache.__getitem__, chunks))

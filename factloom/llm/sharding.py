@@ -5,8 +5,8 @@ orders each bucket canonically, Fisher-Yates shuffles it (Spark's built-in ``shu
 concatenation of all buckets round robin to the shards, so shard sizes differ by one record at most.
 
 Defined cases: null ids form a key like any other; repeated rows each get a slot of their own; an empty
-table gives an empty result; columns of any name may ride along (``columns``), and the ones added are
-``shard`` and ``slot``. Records are never dropped. Bucket contents follow from the data, the seed and the
+table gives an empty result; columns of any name may ride along (``columns``); the ones added are
+``shard`` and ``slot``, and columns that already have these names ride along with an underscore before them. Records are never dropped. Bucket contents follow from the data, the seed and the
 bucket count, and each bucket is sorted before it is shuffled, so a re-run task makes the same output.
 """
 
@@ -26,7 +26,19 @@ BUCKET_BYTES = 32 << 20
 def record_bytes(df: DataFrame, columns: list[str]) -> Column:
     """About the size of a record: its strings and binaries, and a word for every column."""
     long = [c for c in columns if isinstance(df.schema[c].dataType, (T.StringType, T.BinaryType))]
-    return sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in long), F.lit(16 * len(columns)).cast("long"))
+    return sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in long), F.lit(16 * len(columns)).cast("long"))
+
+
+def carried(columns: list[str]) -> list[str]:
+    """Names under which ``columns`` ride along."""
+    taken, out = {c.lower() for c in columns} | {"shard", "slot"}, []
+    for name in columns:
+        if name.lower() in ("shard", "slot"):
+            while (name := f"_{name}").lower() in taken:
+                pass
+            taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def two_pass_shuffle(
@@ -40,10 +52,10 @@ def two_pass_shuffle(
     n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(record_bytes(df, columns)), F.lit(0))).first()
     buckets = max(1, math.ceil(n / bucket_rows), math.ceil(size / BUCKET_BYTES))
     record = F.struct(
-        F.xxhash64(F.lit(seed + 1), F.col(id_col)).alias("_k"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)]
+        F.xxhash64(F.lit(seed + 1), F.col(id_col)).alias("_k"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)]
     )
     scattered = df.select(
-        F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), *columns), F.lit(buckets)).alias("_bucket"), record.alias("_record")
+        F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), *[F.col(f"`{c}`") for c in columns]), F.lit(buckets)).alias("_bucket"), record.alias("_record")
     )
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (  # one row per bucket
@@ -61,7 +73,7 @@ def two_pass_shuffle(
     )
     rank = F.col("_offset") + F.col("_pos")
     return shuffled.join(F.broadcast(offsets), F.col("_bucket") == F.col("_of")).select(
-        *[F.col(f"_r._c{i}").alias(c) for i, c in enumerate(columns)],
+        *[F.col(f"_r._c{i}").alias(c) for i, c in enumerate(carried(columns))],
         (rank % shards).cast("int").alias("shard"),
         F.floor(rank / shards).cast("long").alias("slot"),
     )
@@ -85,7 +97,7 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     spark = docs.sparkSession
     path = fresh_path(spark, "shards")
     write_shards(docs, "doc_id", path, shards)
-    schema = T.StructType([*docs.schema.fields, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
+    schema = T.StructType([*(T.StructField(c, f.dataType) for c, f in zip(carried(docs.columns), docs.schema, strict=True)), T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
     return spark.read.schema(schema).parquet(path).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),

@@ -160,8 +160,9 @@ Model = tuple[np.ndarray, float, np.ndarray]
 def fit(bags: list[set[str]], labels: np.ndarray, seed: int = 11) -> Model:
     """Gram weights, their offset, and the curve from a document's margins to its score."""
     share = float(labels.mean()) if len(labels) else 0.0
-    if not 0 < share < 1:
-        constant = 30.0 * (1 if share == 1 else -1)
+    if not 0 < share < 1 or not any(bag for bag, y in zip(bags, labels, strict=True) if y):
+        # one class only, or no toxic text holds a word: there is nothing to learn
+        constant = 30.0 if share == 1 else -30.0
         return np.zeros(TABLE, np.float32), LOWEST, np.array([0.0, 0.0, constant])
     rng = np.random.default_rng(seed)
     words = sorted({w for bag in bags for c in bag for w in word_of(c)})

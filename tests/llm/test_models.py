@@ -53,6 +53,7 @@ def test_scores_follow_texts_only(spark, tables):
 @pytest.mark.parametrize("score", [quality.score_quality, toxicity.score_toxicity])
 def test_without_rows_or_labels(spark, docs, empty, odd, score):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.rate for r in mixing.mixing_table(docs, none).collect()} == {1.0} and mixing.mix(docs, none).count() == docs.count()
     one = spark.createDataFrame([(5, 1, 0), (11, 1, 0), (None, 1, 1), (12, None, None)], "doc_id long, quality int, toxic int")
     assert score(empty, none).count() == 0
     assert score(docs, none).count() == len(texts()) and score(odd, one).count() == 4
@@ -74,6 +75,13 @@ def synthetic(seed=1, n=240):
     return bags, np.array(labels)
 
 
+def test_toxic_texts_without_words():
+    """All toxic training texts empty, and clean ones empty: no crash, defined scores."""
+    for bags, labels in (([set(), {"hello"}], [1, 0]), ([{"hello"}, set()], [1, 0]), ([set(), set()], [1, 0]), ([], [])):
+        model = toxicity.fit(bags, np.array(labels, np.int64))
+        assert all(np.isfinite(toxicity.ToxicScorer(*model).log_odds(["", "hello world", "x"])))
+
+
 def test_kernel_tolerates_gaps_and_insertions():
     scorer = toxicity.ToxicScorer(*toxicity.fit(*synthetic()))
     level = lambda t: max(scorer.margins_of([t])[0])
@@ -133,6 +141,34 @@ def test_rates_meet_targets(spark):
     assert (rates >= 0).all() and np.allclose(totals / totals.sum(), [0.6, 0.1, 0.3], atol=0.01) and abs(totals.sum() / tokens.sum() - 1) < 0.01
 
 
+def test_rates_are_plain_least_squares(spark, monkeypatch):
+    """Targets that non-negative rates can't reach, against projected gradient steps in plain numpy; and too few steps raise."""
+    rng = np.random.default_rng(6)
+    p = np.vstack([rng.dirichlet([8, 1, 1], 60), rng.dirichlet([2, 4, 4], 40)])
+    tokens = rng.integers(1, 300, 100).astype(float)
+    frame = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(tokens, p, strict=True)], "n_tokens long, p array<double>")
+
+    def sums(rows, multipliers, k):
+        return np.concatenate([(mixing.rates_of(p, multipliers) * tokens) @ p, ((p * tokens[:, None]).T @ p).ravel()])
+
+    some = [np.array([-1.0, 0.5, 0.2]), np.array([0.3, -2.0, 0.1])]
+    assert np.allclose(mixing.domain_sums(frame, some, 3), sums(frame, some, 3))
+    monkeypatch.setattr(mixing, "domain_sums", sums)
+    weights = {"clean": 0.02, "toxic": 0.97, "junk": 0.01}
+    rates = mixing.rates_of(p, mixing.fit_rates(frame, weights, None, steps=4000, tolerance=2e-4))
+    target = np.array([0.02, 0.97, 0.01]) * tokens.sum()
+    a, best = p.T * tokens, np.ones(100)
+    metric = a @ p
+    weigh = np.linalg.inv(metric + mixing.RIDGE * np.trace(metric) * np.eye(3))
+    step = 1 / np.linalg.norm(a.T @ weigh @ a, 2)
+    for _ in range(50_000):
+        best = np.maximum(0, best - step * (a.T @ (weigh @ (a @ best - target))))
+    loss = lambda r: float((a @ r - target) @ weigh @ (a @ r - target))
+    assert loss(rates) <= 1.03 * loss(best) and loss(best) > 0.01 * loss(np.ones(100))
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(frame, weights, None, steps=1, tolerance=1e-3)
+
+
 def test_mixing(tables, empty, odd, spark):
     docs, labels = tables
     table = mixing.mixing_table(docs, labels).toPandas()
@@ -143,6 +179,7 @@ def test_mixing(tables, empty, odd, spark):
     counts = {r.doc_id: r.n for r in mixed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert counts == {i: c for i, c in zip(table.doc_id, table.copies, strict=True) if c}
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.rate for r in mixing.mixing_table(docs, none).collect()} == {1.0} and mixing.mix(docs, none).count() == docs.count()
     assert mixing.mix(empty, none).count() == 0 and mixing.mixing_table(odd, none).count() == 4
 
 
