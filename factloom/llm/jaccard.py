@@ -27,6 +27,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -297,3 +298,19 @@ def keep_first(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     once = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in plain])
     first = docs.join(found, F.col("doc_id").cast("long") == F.col(kept), "left_semi").withColumn(row, F.row_number().over(once)).where(F.col(row) == 1).drop(row)
     return first.unionByName(docs.where("doc_id is null"))
+
+
+def near_duplicates_sql(n: int = N, percent: int = PERCENT) -> str:
+    """The same result in SQL by comparing all pairs that share an n-gram; for unique doc_ids."""
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+  s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + {n - 1}], ' ') AS gram
+    FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - {n - 2}))) AS i FROM d WHERE len(ws) > 0)),
+  sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL),
+  links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+  steps AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+  reached AS (SELECT doc_id AS node, doc_id AS seen FROM d UNION SELECT b, seen FROM reached JOIN steps ON a = node)
+SELECT doc_id, coalesce(any_value(sizes.n), 0)::BIGINT AS n_shingles, min(seen)::BIGINT AS component_id
+FROM d JOIN reached ON doc_id = node LEFT JOIN sizes USING (doc_id) GROUP BY doc_id"""

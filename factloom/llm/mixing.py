@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_only, kept, materialize, own_names, texts
+from .common import keep_only, kept, materialize, own_names, release_memory, texts
 from .quality import AGAIN, HELD_WORDS, TEXTS_AT_ONCE, TRAIN_BYTES, TRAIN_ROWS, WORDS_AT_ONCE, Embeddings, as_features, feature_blocks, word_counts, word_parts
 
 DOMAINS = ["clean", "toxic", "junk"]
@@ -62,6 +62,8 @@ def train(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         model.fit(documents, np.array(labels))
     else:
         model.layer[:] = 0  # posteriors are equal
+    del documents
+    release_memory()
     return (model.vectors @ model.layer).astype(np.float32), model.bias.astype(np.float64)
 
 

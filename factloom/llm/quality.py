@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import mix
-from .common import keep_only, kept, label_rows, texts
+from .common import keep_only, kept, label_rows, release_memory, texts
 
 BUCKETS, DIM = 1 << 18, 16
 SPREAD = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -127,7 +127,7 @@ def as_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     owner, ids = word_features(list(counts))
     features, inverse = np.unique(ids, return_inverse=True)
     shares = np.bincount(inverse, np.fromiter(counts.values(), np.float64, len(counts))[owner], len(features))
-    return features, (shares / shares.sum()).astype(np.float32)
+    return features.astype(np.int32), (shares / shares.sum()).astype(np.float32)
 
 
 def train(sample: DataFrame, fit: dict | None = None) -> tuple[np.ndarray, float]:
@@ -139,6 +139,8 @@ def train(sample: DataFrame, fit: dict | None = None) -> tuple[np.ndarray, float
     model = Embeddings()
     if documents:
         model.fit(documents, np.array(labels), **(fit or {}))
+    del documents
+    release_memory()
     return model.bucket_scores(), float(model.bias[1] - model.bias[0])
 
 

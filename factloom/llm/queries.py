@@ -17,7 +17,7 @@ from .mixing import mixing_table
 from .packing import pack_documents
 from .quality import score_quality
 from .sharding import shard_documents
-from .suffix import remove_repeats
+from .suffix import PASSAGE, remove_repeats
 from .toxicity import score_toxicity
 
 
@@ -38,7 +38,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read_table(spark, sf_dir, "documents"))
+    return remove_repeats(read_table(spark, sf_dir, "documents"), passage=PASSAGE)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

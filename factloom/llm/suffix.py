@@ -1,15 +1,15 @@
-"""Suffix-array removal of repeated strings of at least ``width`` bytes, within and across documents.
+"""Suffix-array removal of repeated strings of at least ``width`` symbols, within and across documents.
 
-Two byte strings are compared by suffix order. To make one suffix array per block suffice, every window of
-``width`` bytes is first given to an anchor: its leftmost smallest hashed ``GRAM``-byte substring. The anchor
-follows from the window's own bytes, so equal windows have equal anchors, at the same place. Successive
-windows with one anchor form a run; the bytes of a run are its context.
+A symbol is a byte or, in ``WORDS``, a whole word between ASCII white space. Two strings are compared by suffix
+order. To make one suffix array per block suffice, every window of ``width`` symbols is first given to an anchor:
+its leftmost smallest hashed gram. The anchor follows from the window's own symbols, so equal windows have equal
+anchors, at the same place. Successive windows with one anchor form a run; the symbols of a run are its context.
 
 1. Runs are counted by anchor; those whose anchor occurs once hold no repeated window and go.
 2. Equal contexts collapse: all their windows repeat.
-3. Where one anchor has several contexts, one copy of each goes to a block. The block's suffix array (prefix
-   doubling, up to ``width`` bytes) with its longest-previous-factor array tells for each window whether an
-   earlier one, or a later one, is equal.
+3. Where one anchor has several contexts, one copy of each goes to a block. In the block's suffix order (prefix
+   doubling, up to ``width`` symbols) the previous and next smaller positions of a window give its longest previous
+   factor: it reaches ``width`` when an earlier window is equal. The same with greater positions tells of later ones.
 4. An anchor with more than ``MOST_CONTEXTS`` contexts doesn't fit a block. Its windows are counted one by
    one, by 128-bit hash; this is the exact way for the rest.
 
@@ -24,7 +24,8 @@ result; extra columns are ignored. Null doc_ids count as -1 in the order.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,95 +34,185 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import id_filter, mix
-from .common import keep_only, materialize, small_batches
+from .common import keep_only, materialize, own_names, small_batches
 
-WIDTH = 400
-GRAM = 32
-BLOCK_BYTES = 1 << 20
-MOST_CONTEXTS = 4096
+WIDTH = 400  # bytes
+PASSAGE = 51  # words
+BLOCK_SYMBOLS = 1 << 19
+MOST_CONTEXTS = 2048
 PART = 1 << 20
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+BASE = 0x9E3779B97F4A7C15
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+# ---------------------------------------------------------------- symbols
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """1, base, base ** 2, ... modulo 2 ** 64, kept up to some parts' length."""
+    if len(_POWERS.get(base, ())) < n:
+        found = np.full(max(n, PART + 4096), base, np.uint64)
+        found[0] = 1
+        found = np.multiply.accumulate(found)
+        if n > 2 * PART:
+            return found
+        _POWERS[base] = found
+    return _POWERS[base][:n]
+
+
+def range_hashes(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of ``data[low:high]``, the same wherever the range stands."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=sums[1:])
+    return mix((sums[high] - sums[low]) * powers(pow(BASE, -1, 1 << 64), len(data) + 1)[low])
+
+
+def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-last byte of every word."""
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = ~BLANK[np.frombuffer(raw, np.uint8)]
+    edges = np.flatnonzero(np.diff(inside))
+    return edges[::2], edges[1::2]
+
+
+def word_symbols(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of every word, made a part of the words at a time."""
+    starts, ends = word_bounds(raw)
+    data, out, low = np.frombuffer(raw, np.uint8), [], 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + PART)))
+        first = starts[low]
+        out.append(range_hashes(data[first : ends[high - 1]], starts[low:high] - first, ends[low:high] - first))
+        low = high
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+class Unit(NamedTuple):
+    """What a symbol is: the array of a text's symbols, their type, and symbols in a gram."""
+
+    symbols: Callable[[bytes], np.ndarray]
+    kind: type
+    gram: int
+
+
+BYTES = Unit(lambda raw: np.frombuffer(raw, np.uint8), np.uint8, 32)
+WORDS = Unit(word_symbols, np.uint64, 8)
 
 
 # ---------------------------------------------------------------- suffix arrays
 
 
-def truncated_ranks(data: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of all suffixes by their first ``depth`` bytes (prefix doubling); past the end counts as smallest."""
+def _dense(pairs: np.ndarray) -> np.ndarray:
+    """Dense ranks from 1. Where a pair and its place fit one number, a plain sort of numbers will do."""
+    n, bits = len(pairs), len(pairs).bit_length()
+    if n and int(pairs.max()) >> (64 - bits):
+        return np.unique(pairs, return_inverse=True)[1] + 1
+    key = (pairs.astype(np.uint64) << np.uint64(bits)) | np.arange(n, dtype=np.uint64)
+    key.sort()
+    place = (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+    key >>= np.uint64(bits)
+    new = np.ones(n, np.int64)
+    new[1:] = key[1:] != key[:-1]
+    ranks = np.empty(n, np.int64)
+    ranks[place] = np.cumsum(new)
+    return ranks
+
+
+def ranks_by_depth(data: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+    """(depth, ranks of all suffixes by their first so many symbols), by prefix doubling up to ``depth``; past the end counts as smallest."""
 
     def at(values: np.ndarray, by: int) -> np.ndarray:
         out = np.zeros_like(values)
-        if by < len(values):
-            out[: len(values) - by] = values[by:]
+        out[: max(0, len(values) - by)] = values[by:]
         return out
 
-    ranks, have = data.astype(np.int64) + 1, 1
-    while have < depth:
+    if data.dtype == np.uint8:
+        first = data.astype(np.int64) + 1
+        four = (first << 27) | (at(first, 1) << 18) | (at(first, 2) << 9) | at(first, 3)
+        levels = [(4, _dense(four))] if depth >= 4 else [(1, _dense(first))]
+    else:
+        levels = [(1, _dense(data))]
+    while levels[-1][0] < depth:
+        have, ranks = levels[-1]
         step = min(have, depth - have)
-        _, ranks = np.unique(ranks * (int(ranks.max(initial=0)) + 2) + at(ranks, step), return_inverse=True)
-        ranks = ranks.astype(np.int64) + 1
-        have += step
-    return ranks
+        levels.append((have + step, _dense(ranks * (len(data) + 1) + at(ranks, step))))
+    return levels
 
 
-def suffix_array(data: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Suffix starts in order of their first ``depth`` bytes, ties by position."""
-    return np.argsort(truncated_ranks(data, depth or max(1, len(data))), kind="stable")
-
-
-def longest_previous_factor(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
-    """For each position the longest match that starts earlier, from previous and next smaller positions in suffix order."""
-    n = len(sa)
-    out = np.zeros(n, np.int64)
-    smaller_before, smaller_after, stack = np.full(n, -1), np.full(n, -1), []
-    for i in range(n):
-        while stack and sa[stack[-1]] > sa[i]:
-            smaller_after[stack.pop()] = sa[i]
-        smaller_before[i] = sa[stack[-1]] if stack else -1
-        stack.append(i)
-    for i in range(n):
-        for other in (smaller_before[i], smaller_after[i]):
-            if other >= 0:
-                k = 0
-                while sa[i] + k < n and data[sa[i] + k] == data[other + k]:
-                    k += 1
-                out[sa[i]] = max(out[sa[i]], k)
-    return out
+def suffix_order(ranks: np.ndarray) -> np.ndarray:
+    """Places in order of their ranks, ties by place."""
+    return np.argsort(ranks, kind="stable")
+
 
+def previous_smaller(values: np.ndarray) -> np.ndarray:
+    """For each entry the index of the nearest earlier entry that is smaller, or -1. Pointers jump over pointers, all at once."""
+    found = np.arange(-1, len(values) - 1)
+    open_ = np.flatnonzero(values[np.maximum(found, 0)] > values)
+    while len(open_):
+        found[open_] = found[found[open_]]
+        open_ = open_[(found[open_] >= 0) & (values[found[open_]] > values[open_])]
+    return found
 
-def repeated_starts(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of the ascending ``starts``: has an equal window an earlier start, a later start.
 
-    The suffix array is cut at ``width`` bytes with ties by position; there the previous smaller position of a
-    suffix is its neighbour above whenever that one agrees in ``width`` bytes, so the longest previous factor
-    reaches ``width`` exactly when the neighbour's rank is equal.
+def common_prefix(levels: list[tuple[int, np.ndarray]], data: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Lengths, cut at the deepest level, of the common prefixes of suffixes a and b; those below ``least`` count as 0.
+
+    A length at or above a level is seen by equal ranks; what is left of it, by the levels below.
     """
-    ranks = truncated_ranks(data, width)[starts]
-    order = np.argsort(ranks, kind="stable")
-    equal = ranks[order[1:]] == ranks[order[:-1]]
-    earlier, later = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
-    earlier[order[1:]] = equal
-    later[order[:-1]] = equal
-    return earlier, later
+    deepest, ranks = levels[-1]
+    out = np.where(ranks[a] == ranks[b], deepest, 0)
+    if least >= deepest:
+        return out
+    left = np.flatnonzero(out == 0)
+    a, b, length = a[left], b[left], np.zeros(len(left), np.int64)
+    n = len(data)
+    for depth, r in [*levels[-2::-1], *([(1, data)] * (levels[0][0] - 1))]:
+        x, y = np.minimum(a + length, n - 1), np.minimum(b + length, n - 1)
+        length += depth * ((r[x] == r[y]) & (np.maximum(a, b) + length + depth <= n))
+    out[left] = np.where(length >= least, length, 0)
+    return out
+
+
+def longest_previous_factor(levels: list[tuple[int, np.ndarray]], data: np.ndarray, starts: np.ndarray, least: int = 1, later: bool = False) -> np.ndarray:
+    """For each of the ascending ``starts`` the longest match with one that is earlier (``later``: one that is later), from the
+    previous and next smaller (greater) starts in suffix order; cut at the deepest level, and 0 below ``least``."""
+    order = suffix_order(levels[-1][1][starts])
+    place = -order if later else order
+    before = previous_smaller(place)
+    after = len(order) - 1 - previous_smaller(place[::-1])[::-1]  # len(order) where there is none
+    out = np.zeros(len(starts), np.int64)
+    for near in (before, after):
+        have = np.flatnonzero((near >= 0) & (near < len(order)))
+        own = order[have]
+        out[own] = np.maximum(out[own], common_prefix(levels, data, starts[own], starts[order[near[have]]], least))
+    return out
+
+
+def repeated_starts(data: np.ndarray, starts: np.ndarray, width: int, later_only: bool) -> np.ndarray:
+    """For each of the ascending ``starts``: does the window there have an earlier copy (or else, unless ``later_only``, a later one)."""
+    levels = ranks_by_depth(data, width)
+    found = longest_previous_factor(levels, data, starts, width) >= width
+    return found if later_only else found | (longest_previous_factor(levels, data, starts, width, later=True) >= width)
 
 
 # ---------------------------------------------------------------- anchors
 
 
-def anchor_runs(raw: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, window count, anchor hash) of each run of windows of ``raw`` with one anchor."""
+def anchor_runs(symbols: np.ndarray, width: int = WIDTH, gram: int = BYTES.gram) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, window count, anchor hash) of each run of windows of ``symbols`` with one anchor."""
     lows, anchors, hashes = [], [], []
-    windows = len(raw) - width + 1
+    windows = len(symbols) - width + 1
     span = width - gram + 1  # grams in a window
     for base in range(0, max(0, windows), PART):
         count = min(PART, windows - base)
-        data = np.frombuffer(raw, np.uint8, count + width - 1, base).astype(np.uint64) + np.uint64(1)
-        powers = np.multiply.accumulate(np.full(len(data), BASE))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * powers, dtype=np.uint64)])
-        inverse = np.multiply.accumulate(np.full(len(data) - gram + 1, BASE_INVERSE))
-        full = mix((sums[gram:] - sums[:-gram]) * inverse)
-        key = (full & ~np.uint64(0xFFFFFF)) | np.arange(len(full), dtype=np.uint64)
+        data = symbols[base : base + count + width - 1]
+        at = np.arange(len(data) - gram + 1)
+        full = range_hashes(data, at, at + gram)
+        key = (full & ~np.uint64(0xFFFFFF)) | at.astype(np.uint64)
         padded = np.full(-(-len(key) // span) * span, np.uint64(0xFFFFFFFFFFFFFFFF))
         padded[: len(key)] = key
         table = padded.reshape(-1, span)
@@ -148,8 +239,9 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def runs(rows: DataFrame, width: int) -> DataFrame:
+def runs(rows: DataFrame, width: int, unit: Unit = BYTES) -> DataFrame:
     """One row per document and distinct context: doc, h, anchor, k1, k2 (128-bit context hash), lows, windows."""
+    size = np.dtype(unit.kind).itemsize
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only()
@@ -160,9 +252,13 @@ def runs(rows: DataFrame, width: int) -> DataFrame:
                 raw = text.as_py().encode()
                 if len(raw) < width:
                     continue
+                symbols = unit.symbols(raw)
+                if len(symbols) < width:
+                    continue
+                body = memoryview(symbols).cast("B")
                 seen: dict[bytes, int] = {}
-                for low, count, anchor in zip(*(x.tolist() for x in anchor_runs(raw, width)), strict=True):
-                    key = xxhash.xxh3_128_digest(raw[low : low + count + width - 1])
+                for low, count, anchor in zip(*(x.tolist() for x in anchor_runs(symbols, width, unit.gram)), strict=True):
+                    key = xxhash.xxh3_128_digest(body[size * low : size * (low + count + width - 1)])
                     if key in seen:
                         lows[seen[key]].append(low)
                     else:
@@ -201,9 +297,9 @@ def _span_batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc", "h", "low", "high"])
 
 
-def repeated_windows(rows: DataFrame, width: int = WIDTH, later_only: bool = False) -> DataFrame:
+def repeated_windows(rows: DataFrame, width: int = WIDTH, later_only: bool = False, unit: Unit = BYTES) -> DataFrame:
     """Spans (doc, h, low, high) of starts of repeated windows; with ``later_only`` of those with an earlier copy."""
-    found = materialize(runs(rows, width), "runs")
+    found = materialize(runs(rows, width, unit), "runs")
     shared = found.groupBy("anchor").agg(F.sum(F.size("lows")).alias("n")).where("n > 1").select("anchor")
     found = materialize(found.join(shared, "anchor", "left_semi"), "runs")
     contexts = materialize(
@@ -227,14 +323,15 @@ def repeated_windows(rows: DataFrame, width: int = WIDTH, later_only: bool = Fal
     wanted = materialize(
         contexts.join(several, "anchor").select("anchor", "kinds", "windows", "first.doc", "first.h", "first.low"), "wanted"
     )
-    bytes_of = materialize(context_bytes(rows, wanted, width), "bytes")
+    bytes_of = materialize(context_bytes(rows, wanted, width, unit), "bytes")
     small = bytes_of.where(F.col("kinds") <= MOST_CONTEXTS).repartition("anchor").sortWithinPartitions("anchor", "doc", "h", "low")
     large = bytes_of.where(F.col("kinds") > MOST_CONTEXTS)
-    return spans.unionByName(small.mapInArrow(_blocks(width, later_only), SPAN)).unionByName(_counted(large, width, later_only))
+    return spans.unionByName(small.mapInArrow(_blocks(width, later_only, unit), SPAN)).unionByName(_counted(large, width, later_only, unit))
 
 
-def context_bytes(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """anchor, kinds, doc, h, low and the bytes of each wanted context."""
+def context_bytes(rows: DataFrame, wanted: DataFrame, width: int, unit: Unit = BYTES) -> DataFrame:
+    """anchor, kinds, doc, h, low and the symbols, as bytes, of each wanted context."""
+    each = np.dtype(unit.kind).itemsize
     possible = id_filter(wanted.select("doc").distinct())
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,10 +347,10 @@ def context_bytes(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             out, size = [], 0
             for doc, h, text, asked in zip(*(batch.column(i) for i in range(4)), strict=True):
-                raw = text.as_py().encode()
+                body, doc, h = unit.symbols(text.as_py().encode()).tobytes(), doc.as_py(), h.as_py()
                 for x in asked.as_py():
-                    out.append((x["anchor"], x["kinds"], doc.as_py(), h.as_py(), x["low"], raw[x["low"] : x["low"] + x["windows"] + width - 1]))
-                    size += x["windows"] + width
+                    out.append((x["anchor"], x["kinds"], doc, h, x["low"], body[each * x["low"] : each * (x["low"] + x["windows"] + width - 1)]))
+                    size += each * (x["windows"] + width)
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], names)
                     out, size = [], 0
@@ -265,16 +362,16 @@ def context_bytes(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return held.join(asked, ["doc", "h"]).select("doc", "h", "text", "asked").mapInArrow(cut, "anchor long, kinds long, doc long, h long, low long, bytes binary")
 
 
-def _blocks(width: int, later_only: bool):
+def _blocks(width: int, later_only: bool, unit: Unit = BYTES):
     """Suffix arrays over blocks of whole anchors; input is sorted by anchor, then place."""
 
     def solve(block: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, int]]:
         block.sort(key=lambda x: x[:3])  # positions in the block follow the order of places
-        sizes = np.array([len(x[3]) for x in block])
+        data = np.frombuffer(b"".join(x[3] for x in block), unit.kind)
+        sizes = np.array([len(x[3]) for x in block]) // data.itemsize
         bases = np.concatenate([[0], np.cumsum(sizes)])
         starts = np.concatenate([np.arange(b, b + s - width + 1) for b, s in zip(bases[:-1], sizes, strict=True)])
-        earlier, later = repeated_starts(np.frombuffer(b"".join(x[3] for x in block), np.uint8), starts, width)
-        flags = earlier if later_only else earlier | later
+        flags = repeated_starts(data, starts, width, later_only)
         ends = np.cumsum(sizes - width + 1)[:-1]
         return [span for x, f in zip(block, np.split(flags, ends), strict=True) if f.any() for span in _spans(x[0], x[1], x[2], f)]
 
@@ -284,26 +381,27 @@ def _blocks(width: int, later_only: bool):
         size, last = 0, None
         for batch in batches:
             for anchor, _, doc, h, low, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if anchor != last and size >= BLOCK_BYTES:
+                if anchor != last and size >= BLOCK_SYMBOLS:
                     if spans := solve(block):
                         yield _span_batch(spans)
                     block, size = [], 0
                 block.append((doc, h, low, body))
-                size, last = size + len(body), anchor
+                size, last = size + len(body) // np.dtype(unit.kind).itemsize, anchor
         if block and (spans := solve(block)):
             yield _span_batch(spans)
 
     return run
 
 
-def _counted(contexts: DataFrame, width: int, later_only: bool) -> DataFrame:
+def _counted(contexts: DataFrame, width: int, later_only: bool, unit: Unit = BYTES) -> DataFrame:
     """The same spans by counting single windows."""
+    each = np.dtype(unit.kind).itemsize
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only()
         for batch in batches:
             for _, _, doc, h, low, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys = [xxhash.xxh3_128_digest(body[i : i + width]) for i in range(len(body) - width + 1)]
+                keys = [xxhash.xxh3_128_digest(body[i : i + each * width]) for i in range(0, len(body) - each * width + 1, each)]
                 both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
                 n = len(keys)
                 yield pa.RecordBatch.from_arrays(
@@ -321,8 +419,8 @@ def _counted(contexts: DataFrame, width: int, later_only: bool) -> DataFrame:
 # ---------------------------------------------------------------- removal
 
 
-def removed_bytes(spans: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
-    """Maximal byte runs covered by the windows that start in ``spans``."""
+def covered(spans: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
+    """Maximal runs of symbols covered by the windows that start in ``spans``."""
     out: list[tuple[int, int]] = []
     for low, high in sorted(spans):
         if out and low <= out[-1][1]:
@@ -332,26 +430,41 @@ def removed_bytes(spans: list[tuple[int, int]], width: int) -> list[tuple[int, i
     return out
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, later_only: bool = False, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep_text`` h and kept (bytes) of every row.
+def byte_cuts(raw: bytes, spans: list[tuple[int, int]], width: int, words: bool) -> list[tuple[int, int]]:
+    """What to cut from ``raw``; a run of words goes with the white space after it."""
+    cuts = covered(spans, width)
+    if not words or not cuts:
+        return cuts
+    starts = np.append(word_bounds(raw)[0], len(raw)).tolist()
+    return [(starts[a], starts[b]) for a, b in cuts]
+
+
+def remove_repeats(docs: DataFrame, width: int = WIDTH, later_only: bool = False, keep_text: bool = False, words: bool = False, passage: int = 0) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, and with ``keep_text`` h and kept (bytes) of every row.
 
-    Only rows with something to remove are shuffled; the others are described where they are read.
+    Removed are repeated strings of ``width`` bytes, or with ``words`` of ``width`` words. With ``passage``, n_passages
+    is the number of maximal runs of words of the row covered by strings of so many words that also stand elsewhere;
+    it removes nothing. Only rows with something repeated are shuffled; the others are described where they are read.
     """
     rows = keyed(docs)
-    spans = materialize(repeated_windows(rows, width, later_only), "spans")
+    spans = repeated_windows(rows, width, later_only, WORDS if words else BYTES).withColumn("cut", F.lit(True))
+    if passage:
+        spans = spans.unionByName(repeated_windows(rows, passage, unit=WORDS).withColumn("cut", F.lit(False)))
+    spans = materialize(spans, "spans")
     possible = id_filter(spans.select("doc").distinct())
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["h", "kept"] if keep_text else [])]
-    kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int64(), pa.binary()] * keep_text
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", h long, kept binary" * keep_text
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", *(["h", "kept"] if keep_text else [])]
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.int64()] + [pa.int64(), pa.binary()] * keep_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long" + ", h long, kept binary" * keep_text
 
-    def describe(items: Iterator[tuple[int, int, str, list[tuple[int, int]]]]) -> Iterator[pa.RecordBatch]:
+    def describe(items: Iterator[tuple[int, int, str, list[dict]]]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
         for doc, h, text, found in items:
             raw = text.encode()
-            cuts = removed_bytes(found, width)
+            cuts = byte_cuts(raw, [(x["low"], x["high"]) for x in found if x["cut"]], width, words)
             ends = [0, *(x for cut in cuts for x in cut), len(raw)]
             kept = b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)) if cuts else raw
-            out.append((doc, len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), *((h, kept) if keep_text else ())))
+            runs_ = len(covered([(x["low"], x["high"]) for x in found if not x["cut"]], passage))
+            out.append((doc, len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), runs_, *((h, kept) if keep_text else ())))
             size += len(kept) * keep_text + 200
             if size > 4 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
@@ -373,29 +486,30 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, later_only: bool = False
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only()
         for batch in batches:
-            yield from describe((d.as_py(), h.as_py(), t.as_py(), [(x["low"], x["high"]) for x in s.as_py() or []]) for d, h, t, s in zip(*batch.columns, strict=True))
+            yield from describe((d.as_py(), h.as_py(), t.as_py(), s.as_py() or []) for d, h, t, s in zip(*batch.columns, strict=True))
 
-    listed = spans.groupBy("doc", "h").agg(F.collect_list(F.struct("low", "high")).alias("spans"))  # bounded by the text's length
+    listed = spans.groupBy("doc", "h").agg(F.collect_list(F.struct("cut", "low", "high")).alias("spans"))  # bounded by the text's length
     some = rows.mapInArrow(sieve, "doc long, h long, text string").join(listed, ["doc", "h"], "left").select("doc", "h", "text", "spans")
     out = rows.mapInArrow(untouched, schema).unionByName(some.mapInArrow(touched, schema))
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -1, F.col("doc_id")))
 
 
-def drop_later_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``docs`` whose texts have lost each copy of a ``width``-byte string but the first; texts that lose all of it go.
+def drop_later_copies(docs: DataFrame, width: int = PASSAGE, words: bool = True) -> DataFrame:
+    """``docs`` whose texts have lost each copy of a string of ``width`` words (or else bytes) but the first; texts that lose all of it go.
 
-    ``n_chars`` follows the text where there is such a column. A character that a cut splits goes with it.
+    ``n_chars`` follows the text where there is such a column. A character that a cut splits goes with it. Extra columns may have any name.
     """
+    id_, th, doc, h, kept = own_names(docs, "id", "th", "doc", "h", "kept")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    changed = remove_repeats(docs, width, later_only=True, keep_text=True).where("n_removed > 0")
-    whole = changed.mapInArrow(_decoded, "_doc long, _h long, _kept string").dropDuplicates(["_doc", "_h"])
-    joined = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_th", F.xxhash64(text)).join(
-        whole, (F.col("_id") == F.col("_doc")) & (F.col("_th") == F.col("_h")), "left"
+    changed = remove_repeats(docs, width, later_only=True, keep_text=True, words=words).where("n_removed > 0")
+    whole = changed.mapInArrow(_decoded, "doc long, h long, kept string").dropDuplicates(["doc", "h"]).toDF(doc, h, kept)
+    joined = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn(th, F.xxhash64(text)).join(
+        whole, (F.col(id_) == F.col(doc)) & (F.col(th) == F.col(h)), "left"
     )
-    new = joined.withColumn("text", F.coalesce("_kept", "text"))
+    new = joined.withColumn("text", F.coalesce(kept, "text"))
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return new.where("_kept is null or _kept <> ''").select(*docs.columns)
+        new = new.withColumn("n_chars", F.when(F.col(kept).isNotNull(), F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return new.where(F.col(kept).isNull() | (F.col(kept) != "")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,4 +517,4 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {n: i for i, n in enumerate(batch.schema.names)}
         ids = [-1 if d is None else d for d in batch.column(at["doc_id"]).to_pylist()]
         kept = [b.as_py().decode(errors="ignore") for b in batch.column(at["kept"])]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(at["h"]), pa.array(kept, pa.string())], ["_doc", "_h", "_kept"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(at["h"]), pa.array(kept, pa.string())], ["doc", "h", "kept"])

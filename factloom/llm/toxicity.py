@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import mix
-from .common import keep_only, kept, label_rows
+from .common import keep_only, kept, label_rows, release_memory
 from .quality import LogOdds, score_texts
 
 SPAN, DECAY = 6, 0.5
@@ -277,6 +277,8 @@ def toxicity_scorer(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_RO
         bags.append(chunks_of(row["text"]))
         marks.append(row["label"])
     model = docs.sparkSession.sparkContext.broadcast(fit(bags, np.array(marks, np.int64)))
+    bags.clear()
+    release_memory()
     return lambda: ToxicScorer.of(*model.value).log_odds
 
 

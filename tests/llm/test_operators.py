@@ -1,6 +1,7 @@
 """Operators against plain versions on a small fixture, and their defined cases."""
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -190,11 +191,47 @@ def plain_removal(found, width, later=False):
 
 
 @pytest.mark.parametrize("later", [False, True])
-@pytest.mark.parametrize("most", [4096, 1])
+@pytest.mark.parametrize("most", [2048, 1])
 def test_repeats(docs, later, most, monkeypatch):
     monkeypatch.setattr(suffix, "MOST_CONTEXTS", most)  # 1: all contexts take the way of single windows
     got = suffix.remove_repeats(docs, later_only=later).collect()
-    assert {r.doc_id: tuple(r)[1:] for r in got} == plain_removal(texts(), suffix.WIDTH, later)
+    assert {r.doc_id: tuple(r)[1:5] for r in got} == plain_removal(texts(), suffix.WIDTH, later)
+
+
+def plain_words(found, width, later=False):
+    """Texts without repeated runs of ``width`` words, and the numbers of maximal runs covered."""
+    places: dict[tuple, list] = {}
+    words = {i: [m.span() for m in re.finditer(rb"[^ \t-\r]+", (t or "").encode())] for i, t in found.items()}
+    raw = {i: (t or "").encode() for i, t in found.items()}
+    window = lambda i, p: tuple(raw[i][a:b] for a, b in words[i][p : p + width])
+    for i in sorted(words):
+        for p in range(len(words[i]) - width + 1):
+            places.setdefault(window(i, p), []).append((i, p))
+    out = {}
+    for i, spans in words.items():
+        cover = bytearray(len(spans))
+        for p in range(len(spans) - width + 1):
+            at = places[window(i, p)]
+            if len(at) > 1 and (not later or at[0] != (i, p)):
+                cover[p : p + width] = b"\1" * width
+        ends = [*(a for a, _ in spans[1:]), len(raw[i])][: len(spans)]
+        gone = bytearray(len(raw[i]))
+        for (a, _), z, c in zip(spans, ends, cover, strict=True):
+            gone[a:z] = bytes([c]) * (z - a)
+        out[i] = (bytes(b for b, g in zip(raw[i], gone, strict=True) if not g), len(re.findall(rb"\x01+", bytes(cover))))
+    return out
+
+
+@pytest.mark.parametrize("most", [2048, 1])
+def test_repeated_words(docs, most, monkeypatch):
+    monkeypatch.setattr(suffix, "MOST_CONTEXTS", most)
+    plain = plain_words(texts(), suffix.PASSAGE)
+    got = by_id(suffix.remove_repeats(docs, passage=suffix.PASSAGE))
+    assert {i: r.n_passages for i, r in got.items()} == {i: n for i, (_, n) in plain.items()}
+    assert {i: tuple(r)[1:5] for i, r in got.items()} == plain_removal(texts(), suffix.WIDTH)
+    plain = plain_words(texts(), suffix.PASSAGE, later=True)
+    got = by_id(suffix.remove_repeats(docs, suffix.PASSAGE, later_only=True, keep_text=True, words=True))
+    assert {i: bytes(r.kept) for i, r in got.items()} == {i: t for i, (t, _) in plain.items()}
 
 
 def test_repeats_defined_cases(empty, odd):
@@ -209,17 +246,26 @@ def test_later_copies_go(docs):
     assert kept[12].n_chars == len(kept[12].text) < len(texts()[12]) and kept[12].component == 9
 
 
-def test_suffix_array_and_previous_factors():
-    data = b"abracadabra-abracadabra"
-    array = suffix.np.frombuffer(data, suffix.np.uint8)
-    sa = suffix.suffix_array(array)
-    assert [bytes(data[i:]) for i in sa] == sorted(data[i:] for i in range(len(data)))
-    lpf = suffix.longest_previous_factor(array, sa)
-    plain = [max([0, *(k for j in range(i) for k in range(1, len(data) - i + 1) if data[j : j + k] == data[i : i + k])]) for i in range(len(data))]
-    assert lpf.tolist() == plain
-    starts = suffix.np.arange(len(data) - 4)
-    earlier, _ = suffix.repeated_starts(array, starts, 5)
-    assert earlier.tolist() == [plain[i] >= 5 for i in starts]
+@pytest.mark.parametrize("data", [b"abracadabra-abracadabra", b"aaaaaaaaaaaaaaaa", b"mississippi mississippi", bytes(range(40)) * 2, b"x"])
+@pytest.mark.parametrize("depth", [1, 3, 5, 12, 64])
+def test_suffix_order_and_previous_factors(data, depth):
+    np, n = suffix.np, len(data)
+    for array in (np.frombuffer(data, np.uint8), np.frombuffer(data, np.uint8).astype(np.uint64) << np.uint64(50)):
+        levels = suffix.ranks_by_depth(array, depth)
+        order = suffix.suffix_order(levels[-1][1])
+        assert order.tolist() == sorted(range(n), key=lambda i: (data[i : i + depth], i))
+        plain = [max([0, *(k for j in range(i) for k in range(1, min(depth, n - i) + 1) if data[j : j + k] == data[i : i + k])]) for i in range(n)]
+        assert suffix.longest_previous_factor(levels, array, np.arange(n)).tolist() == plain
+        if n > depth:
+            starts = np.arange(n - depth + 1)
+            assert suffix.repeated_starts(array, starts, depth, True).tolist() == [plain[i] >= depth for i in starts]
+
+
+def test_previous_smaller():
+    rng = random.Random(3)
+    for values in ([rng.randrange(50) for _ in range(300)], list(range(100)), list(range(100, 0, -1)), [], [1]):
+        plain = [max([j for j in range(i) if values[j] < v], default=-1) for i, v in enumerate(values)]
+        assert suffix.previous_smaller(suffix.np.array(values, suffix.np.int64)).tolist() == plain
 
 
 def test_runs_of_long_texts_do_not_depend_on_parts(monkeypatch):
