@@ -10,8 +10,9 @@ anchors, at the same place. Successive windows with one anchor form a run; the s
 3. Where one anchor has several contexts, one copy of each goes to a block. In the block's suffix order (prefix
    doubling, up to ``width`` symbols) the previous and next smaller positions of a window give its longest previous
    factor: it reaches ``width`` when an earlier window is equal. The same with greater positions tells of later ones.
-4. An anchor with more than ``MOST_CONTEXTS`` contexts doesn't fit a block. Its windows are counted one by
-   one, by 128-bit hash; this is the exact way for the rest.
+4. An anchor with more than ``MOST_CONTEXTS`` contexts doesn't fit a block. Its contexts are split by longer common
+   parts, and where these agree and the contexts still differ, windows are counted one by one; this is the exact way
+   for the rest.
 
 A window's copy counts whether it is in another document or elsewhere in the same one. ``all`` removes
 every byte of every repeated window, ``later`` keeps the first copy in the order of (doc_id, position).
@@ -40,6 +41,7 @@ WIDTH = 400  # bytes
 PASSAGE = 51  # words
 BLOCK_SYMBOLS = 1 << 19
 MOST_CONTEXTS = 2048
+PIECE = 16
 PART = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 BLANK = np.zeros(256, bool)
@@ -326,7 +328,7 @@ def repeated_windows(rows: DataFrame, width: int = WIDTH, later_only: bool = Fal
     bytes_of = materialize(context_bytes(rows, wanted, width, unit), "bytes")
     small = bytes_of.where(F.col("kinds") <= MOST_CONTEXTS).repartition("anchor").sortWithinPartitions("anchor", "doc", "h", "low")
     large = bytes_of.where(F.col("kinds") > MOST_CONTEXTS)
-    return spans.unionByName(small.mapInArrow(_blocks(width, later_only, unit), SPAN)).unionByName(_counted(large, width, later_only, unit))
+    return spans.unionByName(small.mapInArrow(_blocks(width, later_only, unit), SPAN)).unionByName(_refined(large, width, later_only, unit))
 
 
 def context_bytes(rows: DataFrame, wanted: DataFrame, width: int, unit: Unit = BYTES) -> DataFrame:
@@ -393,27 +395,70 @@ def _blocks(width: int, later_only: bool, unit: Unit = BYTES):
     return run
 
 
-def _counted(contexts: DataFrame, width: int, later_only: bool, unit: Unit = BYTES) -> DataFrame:
-    """The same spans by counting single windows."""
+def pieces_of(symbols: np.ndarray, width: int, gram: int) -> list[tuple[int, int, int, int]]:
+    """(number, first window, last window, start of the core) of the pieces of a context.
+
+    Windows of a piece start at most ``PIECE`` symbols apart, in steps counted from the anchor; its core is what a piece's
+    windows have in common wherever they all exist, so equal windows are in pieces of one number and with equal cores.
+    """
+    at = np.arange(width - gram + 1)
+    full = range_hashes(symbols[:width], at, at + gram)
+    anchor = int(np.argmin((full & ~np.uint64(0xFFFFFF)) | at.astype(np.uint64)))
+    last = len(symbols) - width
+    numbers = range((anchor - last) // PIECE, anchor // PIECE + 1)
+    return [(j, max(0, anchor - PIECE * j - PIECE + 1), min(last, anchor - PIECE * j), anchor - PIECE * j) for j in numbers]
+
+
+def _long(digest: bytes) -> tuple[int, int]:
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def _refined(contexts: DataFrame, width: int, later_only: bool, unit: Unit = BYTES) -> DataFrame:
+    """The same spans for anchors of very many contexts: by pieces with a longer common core, then by the single windows
+    of those pieces whose core is shared but which differ."""
     each = np.dtype(unit.kind).itemsize
+    place = ["anchor", "doc", "h", "low"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
+        names = [*place, "piece", "first", "last", "k1", "k2", "p1", "p2"]
+        for batch in batches:
+            out = []
+            for anchor, _, doc, h, low, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for j, first, last, core in pieces_of(np.frombuffer(body, unit.kind), width, unit.gram):
+                    key = xxhash.xxh3_128_digest(body[each * core : each * (core + width - PIECE + 1)], seed=j)
+                    whole = xxhash.xxh3_128_digest(body[each * first : each * (last + width)], seed=j)
+                    out.append((anchor, doc, h, low, j, low + first, low + last, *_long(key), *_long(whole)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only()
         for batch in batches:
-            for _, _, doc, h, low, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys = [xxhash.xxh3_128_digest(body[i : i + each * width]) for i in range(0, len(body) - each * width + 1, each)]
-                both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-                n = len(keys)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.full(n, doc)), pa.array(np.full(n, h)), pa.array(np.arange(low, low + n))], ["k1", "k2", "doc", "h", "low"]
-                )
-
-    single = contexts.mapInArrow(hashes, "k1 long, k2 long, doc long, h long, low long")
-    counts = single.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "h", "low")).alias("first")).where("n > 1")
+            out = []
+            for doc, h, low, body, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for j, first, last, _ in pieces_of(np.frombuffer(body, unit.kind), width, unit.gram):
+                    if j in wanted:
+                        out += [(*_long(xxhash.xxh3_128_digest(body[each * i : each * (i + width)])), doc, h, low + i) for i in range(first, last + 1)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["k1", "k2", "doc", "h", "low"])
+
+    pieces = materialize(contexts.mapInArrow(cut, "anchor long, doc long, h long, low long, piece long, first long, last long, k1 long, k2 long, p1 long, p2 long"), "pieces")
+    kinds = materialize(
+        pieces.groupBy("k1", "k2", "p1", "p2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "h", "first", "anchor", "low", "piece")).alias("one")), "kinds"
+    )
+    equal = pieces.join(kinds.where("copies > 1").select("k1", "k2", "p1", "p2", "one"), ["k1", "k2", "p1", "p2"])
+    if later_only:
+        equal = equal.where(F.struct("doc", "h", "first") != F.struct("one.doc", "one.h", "one.first"))
+    several = kinds.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("copies").alias("least")).where("n > 1" if later_only else "n > 1 and least = 1")
+    wanted = kinds.join(several, ["k1", "k2"]).groupBy(*[F.col(f"one.{c}").alias(c) for c in place]).agg(F.collect_set("one.piece").alias("wanted"))  # a context has few pieces
+    single = contexts.join(wanted, place).select("doc", "h", "low", "bytes", "wanted").mapInArrow(hashes, "k1 long, k2 long, doc long, h long, low long")
+    single = materialize(single, "windows")
+    counts = single.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "h", "low")).alias("one")).where("n > 1")
     hit = single.join(counts, ["k1", "k2"])
     if later_only:
-        hit = hit.where(F.struct("doc", "h", "low") != F.col("first"))
-    return hit.select("doc", "h", "low", F.col("low").alias("high"))
+        hit = hit.where(F.struct("doc", "h", "low") != F.col("one"))
+    return equal.select("doc", "h", F.col("first").alias("low"), F.col("last").alias("high")).unionByName(hit.select("doc", "h", "low", F.col("low").alias("high")))
 
 
 # ---------------------------------------------------------------- removal
@@ -518,3 +563,30 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = [-1 if d is None else d for d in batch.column(at["doc_id"]).to_pylist()]
         kept = [b.as_py().decode(errors="ignore") for b in batch.column(at["kept"])]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(at["h"]), pa.array(kept, pa.string())], ["doc", "h", "kept"])
+
+
+def remove_repeats_sql(width: int = WIDTH, passage: int = PASSAGE, part: int = 1000) -> str:
+    """The result of ``remove_repeats`` with passages, in SQL by counting every window; texts are cut into parts only to reach their places fast."""
+
+    def islands(found: str, size: int) -> str:
+        return f"""SELECT k, p, CASE WHEN p - lag(p) OVER each > {size} THEN 1 WHEN lag(p) OVER each IS NULL THEN 1 ELSE 0 END AS new,
+      least({size}, coalesce(lead(p) OVER each - p, {size})) AS own FROM {found} WINDOW each AS (PARTITION BY k ORDER BY p)"""
+
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS x FROM documents),
+  parts AS (SELECT k, c, substr(x, {2 * part} * c + 1, {2 * (part + width - 1)}) AS y FROM (SELECT k, x, unnest(range(0, greatest(0, len(x) // 2 - {width - 1}) // {part} + 1)) AS c FROM d)),
+  windows AS (SELECT k, {part} * c + i AS p, md5(substr(y, 2 * i + 1, {2 * width})) AS m FROM (SELECT k, c, y, unnest(range(0, least({part}, len(y) // 2 - {width - 1}))) AS i FROM parts)),
+  again AS (SELECT m FROM windows GROUP BY m HAVING count(*) > 1),
+  starts AS (SELECT k, p FROM windows SEMI JOIN again USING (m)),
+  numbered AS (SELECT k, p, own, sum(new) OVER (PARTITION BY k ORDER BY p) AS island FROM ({islands("starts", width)})),
+  spans AS (SELECT k, island, min(p) AS low, max(p) + {width} AS high FROM numbered GROUP BY k, island),
+  before AS (SELECT k, low, high, coalesce(lag(high) OVER (PARTITION BY k ORDER BY low), 0) AS since FROM spans),
+  cut AS (SELECT k, sum(high - low) AS removed, count(*) AS n, max(high) AS last, string_agg(substr(x, 2 * since + 1, 2 * (low - since)), '' ORDER BY low) AS kept FROM before JOIN d USING (k) GROUP BY k),
+  words AS (SELECT k, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+  runs AS (SELECT k, i - 1 AS p, md5(array_to_string(ws[i : i + {passage - 1}], ' ')) AS m FROM (SELECT k, ws, unnest(range(1, len(ws) - {passage - 2})) AS i FROM words)),
+  runs_again AS (SELECT m FROM runs GROUP BY m HAVING count(*) > 1),
+  run_starts AS (SELECT k, p FROM runs SEMI JOIN runs_again USING (m)),
+  passages AS (SELECT k, sum(new) AS n FROM ({islands("run_starts", passage)}) GROUP BY k)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(cut.n, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN cut.k IS NULL THEN x ELSE kept || substr(x, 2 * last + 1) END)) AS kept_sha256, coalesce(passages.n, 0)::BIGINT AS n_passages
+FROM d LEFT JOIN cut USING (k) LEFT JOIN passages USING (k)"""
