@@ -58,10 +58,18 @@ FACT_COLUMNS = [
 ]
 
 
+def claims(raw: DataFrame) -> DataFrame:
+    """Canonical rows, one for each usable raw claim, with the id of the fact that each merges into."""
+    rows = keyed(raw)
+    return rows.withColumn("id", F.sha2(identity_key(rows), 256))
+
+
 def merge_facts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return merge_claims(claims(raw))
+
+
+def merge_claims(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(facts, evidence). The first row of a fact gives its texts; evidence rows are distinct; confidence is their noisy-or."""
-    rows = keyed(raw)
-    rows = rows.withColumn("id", F.sha2(identity_key(rows), 256))
     place = ["source_document", "page_number", "evidence_text", "evidence_type"]
     evidence = (
         rows.groupBy(F.col("id").alias("fact_id"), *place)

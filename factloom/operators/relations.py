@@ -28,6 +28,7 @@ QUALIFIERS = ["annual", "total", "net", "gross", "consolidated", "combined", "ov
 TRANSITION = r"(?iuU)\b(resign(?:ed|ation)?|appoint(?:ed|ment)?|succeeded|replaced|took over|outgoing|incoming|formerly)\b"
 TOLERANCE, SUM_RELATIVE, SUM_ABSOLUTE = 0.05, 0.02, 0.51
 MOST_COMPONENTS, LARGEST_SUBSET, PAGE_WINDOW = 16, 6, 5
+DIRECTIONS = {"PART_OF": "Child -> Parent", "SUPPORTS": "Supporter -> Supported", "TEMPORAL_SUCCESSOR": "Earlier -> Later", "COMPUTED_SUPPORT": "Components -> Total"}
 CORROBORATES, APPROXIMATE = "Same canonical attribute and normalized value.", "Values are approximately equivalent within 5% tolerance."
 CONTRADICTS = "Same canonical attribute and period but different normalized values."
 DIFFERS = "Different values for the same canonical attribute without extracted transition evidence."
@@ -86,7 +87,7 @@ def features(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     return f.withColumns({"revenue": F.coalesce(stored, F.when(revenue_word, named)), "transition": F.col("blob").rlike(TRANSITION)}).drop("_ev", "words")
 
 
-PAIR = ["id", "canonical_attribute", "canonical_value", "value", "eq_value", "amount", "amount_unit", "dimension", "entity_key", "period_key", "evidence_ids", "revenue", "prefix", "core", "blob", "transition"]
+PAIR = ["id", "canonical_attribute", "canonical_value", "value", "eq_value", "amount", "amount_unit", "dimension", "entity_key", "period_key", "evidence_ids", "revenue", "prefix", "core"]
 
 
 def sides(f: DataFrame, columns: list[str] = PAIR) -> tuple[DataFrame, DataFrame]:
@@ -113,6 +114,24 @@ def same_period() -> Column:
     return (a != "") & (a == b)
 
 
+def periods_differ() -> Column:
+    """Unlike same_period: a blank period differs from any."""
+    return ~same_period()
+
+
+def periods_compatible() -> Column:
+    """Blank, or of one year."""
+    year = lambda c: F.regexp_extract(c, r"(?:19|20)\d{2}", 0)
+    a, b = _c("period_key")
+    return (year(a) == "") | (year(b) == "") | (year(a) == year(b))
+
+
+def same_scope() -> Column:
+    """One revenue category, or without any one component word."""
+    (a, b), (p, q) = _c("revenue"), _c("prefix")
+    return F.when(a.isNotNull() | b.isNotNull(), a.eqNullSafe(b)).otherwise(p.eqNullSafe(q))
+
+
 def hierarchical(child: str, parent: str) -> Column:
     """Is the child a component of the parent: revenue categories under the total, or a prefixed attribute under its bare one."""
     c, p = (lambda n: F.col(f"{child}_{n}")), (lambda n: F.col(f"{parent}_{n}"))
@@ -133,6 +152,27 @@ def pairs(f: DataFrame) -> DataFrame:
     return left.join(right, (F.col("l_canonical_attribute") == F.col("r_canonical_attribute")) & (F.col("l_bucket_entity") == F.col("r_bucket_entity")) & (F.col("l_id") < F.col("r_id")))
 
 
+SUPPORTED_BY = ["id", "value", "eq_value", "amount", "amount_unit", "dimension", "period_key"]
+GRAM = 3
+
+
+def grams(c: Column, size: Column) -> Column:
+    """Distinct substrings of ``size`` characters; ``size`` is at most the length of ``c``."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))), lambda i: F.substring(c, i, size)))
+
+
+def holding(names: DataFrame, moving: DataFrame) -> DataFrame:
+    """(name, s_id) where the fact's blob holds the name: an equi-join on the name's rarest ``GRAM`` characters, then the test.
+
+    ``names``: distinct, not empty. A shorter name is its own gram. Grams of blobs are made only in the lengths that names ask for.
+    """
+    asked = names.select("name", F.least(F.length("name"), F.lit(GRAM)).alias("q"))
+    index = moving.join(F.broadcast(asked.select("q").distinct()), F.length("s_blob") >= F.col("q")).select("s_id", "s_blob", F.explode(grams(F.col("s_blob"), F.col("q"))).alias("gram"))  # at most GRAM lengths
+    often = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    best = asked.select("name", "q", F.explode(grams(F.col("name"), F.col("q"))).alias("gram")).join(often, "gram").groupBy("name").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    return best.join(index, "gram").where(F.contains(F.col("s_blob"), F.col("name"))).select("name", "s_id")
+
+
 def with_transition(p: DataFrame, f: DataFrame) -> DataFrame:
     """Adds support_ids: facts that mention a transition and hold one of the two values.
 
@@ -142,8 +182,7 @@ def with_transition(p: DataFrame, f: DataFrame) -> DataFrame:
     needs = p.where(~(equivalent() | approximate()) & ~same_period() & dimensions_compatible(*_c("dimension")))
     names = needs.select("l_id", "r_id", F.explode(F.array_distinct(F.array(F.lower(F.trim("l_value")), F.lower(F.trim("r_value"))))).alias("name")).where("name <> ''")
     moving = f.where("transition").select(F.col("id").alias("s_id"), F.col("blob").alias("s_blob"))
-    hits = names.select("name").distinct().join(moving, F.contains(F.col("s_blob"), F.col("name"))).select("name", "s_id")
-    support = names.join(hits, "name").groupBy("l_id", "r_id").agg(F.array_sort(F.collect_set("s_id")).alias("support_ids"))
+    support = names.join(holding(names.select("name").distinct(), moving), "name").groupBy("l_id", "r_id").agg(F.array_sort(F.collect_set("s_id")).alias("support_ids"))
     return p.join(support, ["l_id", "r_id"], "left")
 
 
@@ -307,14 +346,18 @@ def pair_key(edges: DataFrame) -> DataFrame:
 
 
 def dedupe(edges: DataFrame) -> DataFrame:
-    """One edge for each type and pair: the highest confidence wins, reasons are joined winner first; self links go."""
+    """One edge for each type and pair: the highest confidence wins, reasons are joined winner first; self links go.
+
+    Edges of one key and reason are reduced before their shuffle, so a key gathers its distinct reasons only.
+    """
     keyed = pair_key(edges.where("source_fact_id <> target_fact_id"))
-    payload = F.struct((-F.col("confidence")).alias("c"), "reasoning", "source_fact_id", "target_fact_id", "supporting_fact_ids", "supporting_evidence_ids")
-    g = keyed.groupBy("relationship_type", "pair_low", "pair_high").agg(F.array_sort(F.collect_list(payload)).alias("_all"))
-    first = F.get("_all", F.lit(0))
+    key = ["relationship_type", "pair_low", "pair_high"]
+    order = F.struct((-F.col("confidence")).alias("c"), F.coalesce("reasoning", F.lit("")).alias("r"), "source_fact_id", "target_fact_id")
+    each = keyed.groupBy(*key, "reasoning").agg(F.min_by(F.struct("source_fact_id", "target_fact_id", "supporting_fact_ids", "supporting_evidence_ids"), order).alias("edge"), F.min(order).alias("at"))
+    g = each.groupBy(*key).agg(F.min_by("edge", "at").alias("edge"), F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("at", "reasoning"))).alias("_all"))
     return g.select(
-        F.sha2(F.concat_ws("|", "relationship_type", "pair_low", "pair_high"), 256).alias("id"), "relationship_type", "pair_low", "pair_high", first["source_fact_id"].alias("source_fact_id"), first["target_fact_id"].alias("target_fact_id"),
-        (-first["c"]).alias("confidence"), merge_reasons(F.transform("_all", lambda x: x["reasoning"])).alias("reasoning"), first["supporting_fact_ids"].alias("supporting_fact_ids"), first["supporting_evidence_ids"].alias("supporting_evidence_ids"),
+        F.sha2(F.concat_ws("|", *key), 256).alias("id"), *key, "edge.source_fact_id", "edge.target_fact_id",
+        (-F.col("at.c")).alias("confidence"), merge_reasons(F.transform("_all", lambda x: x["reasoning"])).alias("reasoning"), "edge.supporting_fact_ids", "edge.supporting_evidence_ids",
     )
 
 
@@ -322,8 +365,8 @@ def validate(edges: DataFrame, f: DataFrame) -> DataFrame:
     """edges plus ok, result and reason of the check for their type, all facts being the cohort."""
     l, r = sides(f)  # noqa: E741
     e = edges.join(l, F.col("source_fact_id") == F.col("l_id"), "left").join(r, F.col("target_fact_id") == F.col("r_id"), "left")
-    known = e.where("l_id is not null and r_id is not null")
-    support = with_transition(known.select(*l.columns, *r.columns).distinct(), f).select("l_id", "r_id", "support_ids")
+    known = e.where("l_id is not null and r_id is not null").select(*[f"{side}_{c}" for side in "lr" for c in SUPPORTED_BY]).distinct()
+    support = with_transition(known, f).select("l_id", "r_id", "support_ids")
     e = e.join(support, ["l_id", "r_id"], "left")
     kind, same_attr = F.col("relationship_type"), F.col("l_canonical_attribute") == F.col("r_canonical_attribute")
     agree, supported = equivalent() | approximate(), F.col("support_ids").isNotNull()
@@ -358,19 +401,56 @@ def validate(edges: DataFrame, f: DataFrame) -> DataFrame:
     return e.withColumn("_fail", fail).select(*edges.columns, F.col("_fail").isNull().alias("ok"), F.when(F.col("_fail").isNull(), "PASSED").otherwise("FAILED").alias("result"), F.coalesce("_fail", passed).alias("check_reason"))
 
 
-def link(facts: DataFrame, evidence: DataFrame, window: int = PAGE_WINDOW) -> DataFrame:
-    """All edges of a fact set, deduplicated and valid."""
-    f = features(facts, evidence)
-    base = ["source_fact_id", "target_fact_id", "relationship_type", "confidence", "reasoning", "supporting_fact_ids", "supporting_evidence_ids", "component_ids"]
+EDGE_COLUMNS = ["source_fact_id", "target_fact_id", "relationship_type", "confidence", "reasoning", "supporting_fact_ids", "supporting_evidence_ids", "component_ids"]
+
+
+def proposed(f: DataFrame, window: int = PAGE_WINDOW, support: DataFrame | None = None) -> DataFrame:
+    """Edges of a fact set given by its ``features``, one a type and pair, not yet checked. ``f`` is read several times: write
+    it first. Transition support is looked for in ``support``, else in ``f``."""
     empty = F.array().cast("array<string>")
-    crossed = classify(with_transition(pairs(f), f)).withColumn("component_ids", empty)
-    found = crossed.select(*base).unionByName(computed_support(f).select(*base)).unionByName(part_of(f, window=window).withColumn("component_ids", empty).select(*base))
-    return validate(dedupe(found), f).where("ok").drop("ok", "result", "check_reason")
+    crossed = classify(with_transition(pairs(f), f if support is None else support)).withColumn("component_ids", empty)
+    return dedupe(crossed.select(*EDGE_COLUMNS).unionByName(computed_support(f).select(*EDGE_COLUMNS)).unionByName(part_of(f, window=window).withColumn("component_ids", empty).select(*EDGE_COLUMNS)))
+
 
+def valid(edges: DataFrame, f: DataFrame) -> DataFrame:
+    """The edges that pass their check."""
+    return validate(edges, f).where("ok").drop("ok", "result", "check_reason")
 
-def candidate_log(facts: DataFrame, evidence: DataFrame, window: int = PAGE_WINDOW) -> DataFrame:
-    """Rejected PART_OF proposals among nearby facts, with reasons."""
-    p = candidates(features(facts, evidence), window)
+
+def link_features(f: DataFrame, window: int = PAGE_WINDOW) -> DataFrame:
+    """All edges of a fact set, deduplicated and valid; a store writes the proposed ones in between."""
+    return valid(proposed(f, window), f)
+
+
+def link(facts: DataFrame, evidence: DataFrame, window: int = PAGE_WINDOW) -> DataFrame:
+    return link_features(features(facts, evidence), window)
+
+
+def touched_by(f: DataFrame, fact_ids: DataFrame) -> DataFrame:
+    """Features of all facts that count for an edge of one of ``fact_ids``: those that share an attribute and entity or a
+    scope of sums with it, and those in any document of a fact that shares a document with it."""
+    own = f.join(fact_ids.select(F.col("fact_id").alias("id")).distinct(), "id", "left_semi")
+    placed = f.select("id", F.explode("pages").alias("at")).select("id", F.col("at.d").alias("d")).distinct()
+    scoped = f.withColumn("scope_entity", normalize_token(F.col("canonical_entity")))
+    buckets = own.select("canonical_attribute", "bucket_entity").distinct()
+    scopes = own.select(normalize_token(F.col("canonical_entity")).alias("scope_entity"), "period_key").distinct()
+    beside = placed.join(placed.join(own.select("id"), "id", "left_semi").select("d").distinct(), "d", "left_semi").select("id").distinct()
+    around = placed.join(placed.join(beside, "id", "left_semi").select("d").distinct(), "d", "left_semi").select("id")
+    ids = f.join(buckets, ["canonical_attribute", "bucket_entity"], "left_semi").select("id")
+    ids = ids.unionByName(scoped.join(scopes, ["scope_entity", "period_key"], "left_semi").select("id")).unionByName(around)
+    return f.join(ids.distinct(), "id", "left_semi")
+
+
+def replaced(edges: DataFrame, fresh: DataFrame, fact_ids: DataFrame) -> DataFrame:
+    """``edges`` with those at ``fact_ids`` (fact_id) taken from ``fresh``; edges between two other facts stay as they were."""
+    ids = fact_ids.select("fact_id").distinct()
+    at = lambda e: e.select("id", F.explode(F.array("source_fact_id", "target_fact_id")).alias("fact_id")).join(ids, "fact_id", "left_semi").select("id").distinct()
+    return edges.join(at(edges), "id", "left_anti").unionByName(fresh.join(at(fresh), "id", "left_semi").select(*edges.columns))
+
+
+def candidate_log(f: DataFrame, window: int = PAGE_WINDOW) -> DataFrame:
+    """Rejected PART_OF proposals among nearby facts, given by their ``features``, with reasons."""
+    p = candidates(f, window)
     related = F.coalesce(hierarchical("l", "r") | hierarchical("r", "l"), F.lit(False)) | F.coalesce(sibling(), F.lit(False))
     allowed = F.coalesce(hierarchical("l", "r"), F.lit(False)) & ~F.coalesce(sibling(), F.lit(False))
     reason = first_match([(F.coalesce(sibling(), F.lit(False)), F.lit("Sibling facts cannot be PART_OF each other.")), (F.coalesce(hierarchical("r", "l"), F.lit(False)), F.lit("Parent cannot be PART_OF its child."))], F.lit("Candidate pair is not eligible."))
@@ -381,10 +461,21 @@ def candidate_log(facts: DataFrame, evidence: DataFrame, window: int = PAGE_WIND
 
 
 def edge_view(edges: DataFrame, facts: DataFrame) -> DataFrame:
-    """Edges with both statements, in listing order."""
-    view = facts.select("id", "attribute", statement(F.col("attribute"), F.col("value"), F.col("unit")).alias("statement"))
+    """Edges with both statements, an arrow of them and what the direction means, in listing order."""
+    view = facts.select("id", "entity", "attribute", "value", "unit", "period", statement(F.coalesce(F.nullif(F.col("canonical_attribute"), F.lit("")), "attribute"), F.col("value"), F.col("unit")).alias("statement"))
     s, t = (view.select(*[F.col(c).alias(f"{side}_{c}") for c in view.columns]) for side in ("source", "target"))
-    return edges.join(s, F.col("source_fact_id") == F.col("source_id")).join(t, F.col("target_fact_id") == F.col("target_id")).drop("source_id", "target_id").orderBy("relationship_type", "source_attribute", "target_attribute", "id")
+    joined = edges.join(s, F.col("source_fact_id") == F.col("source_id")).join(t, F.col("target_fact_id") == F.col("target_id")).drop("source_id", "target_id")
+    label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in DIRECTIONS.items() for x in pair]), F.col("relationship_type")), F.lit("Source -> Target"))
+    return joined.withColumns({"arrow": F.concat("source_statement", F.lit(" -> "), "target_statement"), "direction_label": label}).orderBy("relationship_type", "source_attribute", "target_attribute", "id")
+
+
+def exists(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (source_fact_id, target_fact_id, relationship_type, and component_ids where sums are asked for) plus ``found``; directions count for directed types only."""
+    have = edges.select("relationship_type", "pair_low", "pair_high").distinct().withColumn("found", F.lit(True))
+    same = pair_key(asked.withColumns({"_asked_s": F.col("source_fact_id"), "_asked_t": F.col("target_fact_id"), "relationship_type": relationship_type(F.col("relationship_type"))}))
+    return same.join(have, ["relationship_type", "pair_low", "pair_high"], "left").select(
+        F.col("_asked_s").alias("source_fact_id"), F.col("_asked_t").alias("target_fact_id"), "relationship_type", F.coalesce("found", F.lit(False)).alias("found")
+    )
 
 
 def type_counts(edges: DataFrame) -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.functions.text import strip
 
@@ -52,27 +58,97 @@ def embed_facts(facts: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     return stored.join(new.select("fact_id"), "fact_id", "left_anti").join(t.select("fact_id"), "fact_id", "left_semi").unionByName(new)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+def as_blob(c: Column) -> Column:
+    """Little-endian 32-bit floats, one after another."""
+    return _to_blob(c.cast("array<float>"))
+
+
+@F.pandas_udf(T.BinaryType())
+def _to_blob(vectors: pd.Series) -> pd.Series:
+    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+def from_blob(c: Column, dim: int = DIM) -> Column:
+    """The vector of a blob, padded with zeros or cut to ``dim`` and of unit length; a zero vector stays."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def read(blobs: pd.Series) -> pd.Series:
+        def one(blob: bytes | None):
+            if blob is None:
+                return None
+            have = np.frombuffer(blob[: len(blob) // 4 * 4], "<f4")[:dim]
+            out = np.zeros(dim, np.float32)
+            out[: len(have)] = have
+            return out / (np.linalg.norm(out) or np.float32(1))
+
+        return blobs.map(one)
+
+    return read(c)
+
+
+def embed_with(texts: DataFrame, id_col: str, text_col: str, make_model: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
+    """(id, embedding) by any model: ``make_model()`` runs on the executors and gives a function from texts to a matrix."""
+    kind = texts.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make_model()
+        for b in batches:
+            yield pd.DataFrame({id_col: b[id_col], "embedding": [np.asarray(v, np.float32) for v in model(b[text_col].fillna("").tolist())]})
+
+    return texts.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, embedding array<float>")
 
 
-def normalised(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """Unit length; a zero vector stays."""
-    n = F.sqrt(dot(F.col(column), F.col(column)))
-    return vectors.withColumn("_n", n).withColumn(column, F.when(F.col("_n") > 0, F.transform(column, lambda x: x / F.col("_n"))).otherwise(F.col(column))).drop("_n")
+QUERY_BLOCK = 4096
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", k: int = 5) -> DataFrame:
-    """Exact inner-product neighbours of each query, itself left out: (query_id, id, similarity, rank).
+    """Exact inner-product neighbours of each query, itself left out: (query_id, id, similarity, rank). Similarities are
+    rounded to nine places, so that equal vectors tie, and ties go by id.
 
-    Every query meets every vector, as exact search asks. Queries are the small stated set: they are broadcast
-    only where Spark's own size check allows it. Each partition of vectors keeps its k best per query before the
-    final ranking, so only k rows per query and partition are shuffled.
+    The stated query set meets all vectors in blocks: at most ``QUERY_BLOCK`` queries are shared at once, a task multiplies
+    them with its batches and keeps its ``k`` best of each, and only those are shuffled. A block more is a pass more.
     """
-    v = normalised(vectors.select(F.col(id_col).alias("id"), "embedding"))
-    q = normalised(queries.select(F.col(id_col).alias("query_id"), "embedding")).withColumnRenamed("embedding", "q")
-    scored = v.join(q, F.col("id") != F.col("query_id")).select("query_id", "id", dot(F.col("q"), F.col("embedding")).alias("similarity"))
+    spark = vectors.sparkSession
+    v = vectors.select(F.col(id_col).alias("id"), "embedding").where("id is not null and embedding is not null")
+    q = queries.select(F.col(id_col).alias("query_id"), "embedding").where("query_id is not null and embedding is not null")
+    kind = v.schema["id"].dataType.simpleString()
+    schema = f"query_id {kind}, id {kind}, similarity double"
+    blocks = max(1, -(-q.count() // (QUERY_BLOCK // 2)))  # half full on average, so that a block's size is bounded in practice
+    found = []
+    for b in range(blocks):
+        block = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
+        if len(block):
+            shared = spark.sparkContext.broadcast((block["query_id"].to_numpy(), _unit(block["embedding"])))
+            found.append(v.mapInPandas(_best(shared, k), schema))
+    if not found:
+        return spark.createDataFrame([], f"{schema}, rank int")
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    near = Window.partitionBy("query_id", "_part").orderBy(F.desc("similarity"), "id")
-    local = scored.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= k)
-    return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
+    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best))
+    return ranked.where(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
+
+
+def _unit(rows: pd.Series) -> np.ndarray:
+    m = np.stack([np.asarray(r, np.float64) for r in rows])
+    n = np.sqrt((m * m).sum(1, keepdims=True))
+    return m / np.where(n > 0, n, 1.0)
+
+
+def _best(shared, k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = shared.value
+        held: pd.DataFrame | None = None
+        for b in batches:
+            if b.empty:
+                continue
+            s = np.round(q @ _unit(b["embedding"]).T, 9)
+            own = b["id"].to_numpy()
+            s[ids[:, None] == own[None, :]] = -np.inf
+            order = np.argsort(own, kind="stable")  # ties go by id
+            top = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
+            new = pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "id": own[top].ravel(), "similarity": np.take_along_axis(s, top, 1).ravel()})
+            held = new if held is None else pd.concat([held, new])
+            held = held[np.isfinite(held["similarity"])].sort_values(["query_id", "similarity", "id"], ascending=[True, False, True], kind="stable").groupby("query_id", sort=False).head(k)
+        if held is not None:
+            yield held
+
+    return run

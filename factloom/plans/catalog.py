@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from factloom.functions import canonical as C
 from factloom.functions.text import fmt_g
 from factloom.operators import audit as A
 from factloom.operators import facts as O
+from factloom.operators import lookup as L
 from factloom.operators import relations as R
 from factloom.operators import vectors as V
 from factloom.sources import chunks, extract
@@ -125,14 +127,12 @@ def fact_merge_confidence(spark, sf):
 
 @query(_CANON + "SELECT ingest_ord, ca AS canonical_attribute, ce AS canonical_entity, cv AS canonical_value, cu AS unit, cp AS period, cc AS currency FROM c2")
 def canonical_facts(spark, sf):
-    c = C.canonicalize(O.clean_raw(store(spark, sf).raw()))
-    return c.select("ingest_ord", "canonical_attribute", "canonical_entity", "canonical_value", "unit", "period", "currency")
+    return store(spark, sf).table("claims").select("ingest_ord", "canonical_attribute", "canonical_entity", "canonical_value", "unit", "period", "currency")
 
 
 @query(_CANON + "SELECT ingest_ord, vk AS value_key FROM c2")
 def normalized_value_key(spark, sf):
-    c = C.canonicalize(O.clean_raw(store(spark, sf).raw()))
-    return c.select("ingest_ord", O.value_key(c).alias("value_key"))
+    return store(spark, sf).table("claims").select("ingest_ord", F.col("eq_value").alias("value_key"))
 
 
 @query("SELECT o_orderkey, format('{:g}', o_totalprice) AS shown FROM orders")
@@ -249,27 +249,132 @@ def relation_type_counts(spark, sf):
     return R.type_counts(store(spark, sf).table("edges"))
 
 
-@query("SELECT 'none' AS relationship_type, 0::bigint AS n WHERE false")
-def duplicate_edges(spark, sf):
-    return A.duplicate_edges(store(spark, sf).table("edges")).select("relationship_type", "n")
+EVERY = ", every AS (SELECT lid, rid, kind FROM edges UNION ALL SELECT lid, rid, 'PART_OF' FROM parts)"
 
 
-@query("SELECT '' AS id WHERE false")
-def self_links(spark, sf):
-    return A.self_links(store(spark, sf).table("edges")).select("id")
+@query(_CANON + EVERY + " SELECT kind AS relationship_type, lid AS low, 2::bigint AS n FROM every WHERE kind = 'CONTRADICTS'")
+def duplicate_edges(spark, sf):
+    """The layer's edges with every contradiction once more, under an id of its own."""
+    e = store(spark, sf).table("edges")
+    again = e.where("relationship_type = 'CONTRADICTS'").withColumn("id", F.concat(F.lit("again-"), "id"))
+    return A.duplicate_edges(e.unionByName(again)).select("relationship_type", F.col("pair_low").alias("low"), "n")
 
 
-@query(_CANON + ", every AS (SELECT kind FROM edges UNION ALL SELECT 'PART_OF' FROM parts) SELECT kind AS relationship_type, 'PASSED' AS result, count(*) AS n FROM every GROUP BY kind")
+@query(_CANON + " SELECT 'self-' || id AS id FROM facts WHERE ca = 'holder'")
+def self_links(spark, sf):
+    """The layer's edges, and a link of every holder to itself."""
+    s = store(spark, sf)
+    holders = s.table("facts").where("canonical_attribute = 'holder'").select(F.concat(F.lit("self-"), "id").alias("id"), F.col("id").alias("source_fact_id"), F.col("id").alias("target_fact_id"))
+    return A.self_links(s.table("edges").select("id", "source_fact_id", "target_fact_id").unionByName(holders)).select("id")
+
+
+_KIDS = "('product_revenue', 'services_revenue')"
+_TYPE_LIST = "('SUPPORTS'), ('CORROBORATES'), ('CONTRADICTS'), ('RECONCILES'), ('TEMPORAL_SUCCESSOR'), ('PART_OF'), ('COMPUTED_SUPPORT'), ('UNRESOLVED_DIFFERENCE'), ('POTENTIAL_CONTRADICTION'), ('BOGUS')"
+
+
+@query(
+    _CANON
+    + EVERY
+    + rf""", ends AS (
+  SELECT lid, rid FROM crossed UNION SELECT lid, rid FROM parts UNION SELECT rid, lid FROM parts UNION SELECT id, id FROM facts WHERE ca = 'holder' UNION SELECT id, 'none' FROM facts WHERE ca = 'holder'
+  UNION SELECT a.id, b.id FROM facts a JOIN facts b ON a.entity = b.entity AND a.ca = 'operating_margin' AND b.ca IN ('employee_count', 'total_revenue')
+  UNION SELECT a.id, b.id FROM facts a JOIN facts b ON a.entity = b.entity AND a.ca = 'product_revenue' AND b.ca = 'services_revenue'
+), v AS (
+  SELECT ends.*, l.ca AS lca, r.ca AS rca, l.id IS NULL OR r.id IS NULL AS lost, (l.dim = 'ratio') = (r.dim = 'ratio') AS comparable, coalesce(l.period = r.period, false) AS same_period,
+         l.vk = r.vk OR coalesce(abs(l.amount - r.amount) / greatest(abs(l.amount), abs(r.amount), 1e-9) <= 0.05 AND (l.aunit = '' OR r.aunit = '' OR l.aunit = r.aunit), false) AS agree,
+         EXISTS (SELECT 1 FROM blobs b WHERE regexp_matches(b.blob, '\b(resign(ed|ation)?|appoint(ed|ment)?|succeeded|replaced|took over|outgoing|incoming|formerly)\b') AND (contains(b.blob, lower(l.value)) OR contains(b.blob, lower(r.value)))) AS named
+  FROM ends LEFT JOIN facts l ON l.id = lid LEFT JOIN facts r ON r.id = rid
+), w AS (
+  SELECT *, named AND NOT agree AND NOT same_period AND comparable AS supported, lca IN {_KIDS} AND rca IN {_KIDS} AND lca <> rca AS sib, lca IN {_KIDS} AND rca = 'total_revenue' AS child FROM v
+), j AS (
+  SELECT t AS relationship_type, CASE WHEN lost THEN 'Missing source or target fact.' WHEN lid = rid THEN 'Self-links are not allowed.'
+    WHEN t IN ('CONTRADICTS', 'CORROBORATES') AND NOT comparable THEN 'Incomparable value dimensions'
+    WHEN t = 'CONTRADICTS' AND lca <> rca THEN 'Different attributes cannot contradict.' WHEN t = 'CONTRADICTS' AND NOT same_period THEN 'Contradiction requires the same period.'
+    WHEN t = 'CONTRADICTS' AND agree THEN 'Contradiction requires different values.'
+    WHEN t IN ('CORROBORATES', 'RECONCILES', 'UNRESOLVED_DIFFERENCE', 'POTENTIAL_CONTRADICTION') AND lca <> rca THEN 'Same canonical attribute required.'
+    WHEN t = 'CORROBORATES' AND NOT agree THEN 'Corroboration requires equivalent values.' WHEN t = 'RECONCILES' AND agree THEN 'Reconciliation applies to different values.'
+    WHEN t = 'RECONCILES' AND same_period THEN 'Same-period disagreements are contradictions, not reconciliations.' WHEN t = 'RECONCILES' AND NOT supported THEN 'Reconciliation requires extracted transition evidence.'
+    WHEN t IN ('UNRESOLVED_DIFFERENCE', 'POTENTIAL_CONTRADICTION') AND agree THEN 'Approximate equivalents corroborate instead.'
+    WHEN t IN ('UNRESOLVED_DIFFERENCE', 'POTENTIAL_CONTRADICTION') AND supported THEN 'Transition evidence should reconcile this pair.'
+    WHEN t = 'COMPUTED_SUPPORT' AND lca <> 'total_revenue' THEN 'COMPUTED_SUPPORT must point at a total.' WHEN t = 'PART_OF' AND sib THEN 'Sibling facts cannot be PART_OF each other.'
+    WHEN t = 'PART_OF' AND lca = rca THEN 'A fact cannot be PART_OF itself or the same canonical attribute.' WHEN t = 'PART_OF' AND rca IN {_KIDS} THEN 'Children may never become parents.'
+    WHEN t = 'PART_OF' AND NOT child THEN 'PART_OF requires a parent-child hierarchy' WHEN t IN ('SUPPORTS', 'TEMPORAL_SUCCESSOR') THEN 'Candidate pair is not eligible for this relationship type.'
+    WHEN t = 'BOGUS' THEN 'Unknown relationship type BOGUS.' ELSE 'passed' END AS reason FROM w, (VALUES {_TYPE_LIST}) x(t)
+) SELECT relationship_type, reason, count(*) AS n FROM j GROUP BY ALL"""
+)
 def edge_validation(spark, sf):
+    """Every pair the layer knows, parents before children, siblings, attributes of unlike kinds, self links and lost facts, each under every type and an unknown one."""
     s = store(spark, sf)
-    checked = R.validate(s.table("edges"), R.features(s.table("facts"), s.table("evidence")))
-    return checked.groupBy("relationship_type", "result").agg(F.count(F.lit(1)).alias("n"))
+    f, e = s.table("facts"), s.table("edges").select(F.col("source_fact_id").alias("l"), F.col("target_fact_id").alias("r"), "relationship_type")
+    of = lambda *names: f.where(F.col("canonical_attribute").isin(*names)).select("id", "entity")
+    beside = lambda a, b: of(*a).toDF("l", "entity").join(of(*b).toDF("r", "entity"), "entity").select("l", "r")
+    pairs, parts, holders = e.where(F.col("relationship_type").isin(R.UNDIRECTED)).select("l", "r"), e.where("relationship_type = 'PART_OF'").select("l", "r"), of("holder").select(F.col("id").alias("l"))
+    ends = reduce(DataFrame.unionByName, [
+        pairs, parts, parts.select(F.col("r").alias("l"), F.col("l").alias("r")), holders.withColumn("r", F.col("l")), holders.withColumn("r", F.lit("none")),
+        beside(["operating_margin"], ["employee_count", "total_revenue"]), beside(["product_revenue"], ["services_revenue"]),
+    ]).distinct()
+    planted = ends.select(F.col("l").alias("source_fact_id"), F.col("r").alias("target_fact_id"), F.explode(F.array(*map(F.lit, [*R.TYPES, "BOGUS"]))).alias("relationship_type"), F.lit("passed").alias("reasoning"))
+    checked = R.validate(planted, s.table("features"))
+    return checked.groupBy("relationship_type", F.split("check_reason", r" \(")[0].alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    _CANON
+    + rf""", near AS (SELECT DISTINCT a.fact_id AS lid, b.fact_id AS rid FROM places a JOIN places b ON a.source_document = b.source_document AND abs(a.page_number - b.page_number) <= 5 AND a.fact_id <> b.fact_id)
+SELECT lid AS source_fact_id, rid AS target_fact_id, l.ca || ' = ' || l.value AS source_fact, r.ca || ' = ' || r.value AS target_fact, 'PART_OF' AS proposed_relationship, false AS accepted,
+  CASE WHEN l.ca = 'total_revenue' THEN 'Parent cannot be PART_OF its child.' ELSE 'Sibling facts cannot be PART_OF each other.' END AS reason
+FROM near JOIN facts l ON l.id = lid JOIN facts r ON r.id = rid WHERE r.ca IN {_KIDS} AND (l.ca = 'total_revenue' OR l.ca IN {_KIDS} AND l.ca <> r.ca)"""
+)
+def candidate_log(spark, sf):
+    return store(spark, sf).table("candidates")
 
 
-@query()
-def candidate_log(spark, sf):
+_STATEMENT = "trim({0}.ca || ' = ' || {0}.value || CASE WHEN {0}.unit IS NOT NULL AND NOT contains(lower({0}.value), lower({0}.unit)) THEN ' ' || {0}.unit ELSE '' END)"
+_FIRST = "(SELECT arg_min(id, ingest_ord) FROM facts WHERE ca = 'total_revenue')"
+
+
+def first_total(spark, sf) -> str:
+    return store(spark, sf).table("facts").where("canonical_attribute = 'total_revenue'").agg(F.min_by("id", "ingest_ord")).first()[0]
+
+
+@query(
+    _CANON
+    + EVERY
+    + f", ours AS (SELECT * FROM every WHERE {_FIRST} IN (lid, rid)) SELECT kind AS relationship_type, CASE WHEN lid = {_FIRST} THEN 'outgoing' ELSE 'incoming' END AS direction, CASE WHEN lid = {_FIRST} THEN rid ELSE lid END AS related_fact_id, "
+    + f"CASE WHEN lid = {_FIRST} THEN {_STATEMENT.format('r')} ELSE {_STATEMENT.format('l')} END AS related_statement, {_STATEMENT.format('l')} || ' -> ' || {_STATEMENT.format('r')} AS arrow, "
+    + "CASE kind WHEN 'PART_OF' THEN 'Child -> Parent' WHEN 'COMPUTED_SUPPORT' THEN 'Components -> Total' ELSE 'Source -> Target' END AS direction_label FROM ours JOIN facts l ON l.id = lid JOIN facts r ON r.id = rid"
+)
+def fact_relationships(spark, sf):
+    """The edges at one fact, as its detail page lists them."""
+    return store(spark, sf).relationships(first_total(spark, sf)).select("relationship_type", "direction", "related_fact_id", "related_statement", "arrow", "direction_label")
+
+
+@query(_CANON + EVERY + ", asked AS (SELECT rid AS a, lid AS b, kind FROM every WHERE kind <> 'COMPUTED_SUPPORT') SELECT kind AS relationship_type, kind <> 'PART_OF' AS found, count(*) AS n FROM asked GROUP BY ALL")
+def relationship_exists(spark, sf):
+    """Every edge asked for the other way round: undirected ones exist, directed ones do not."""
+    e = store(spark, sf).table("edges")
+    asked = e.where("relationship_type <> 'COMPUTED_SUPPORT'").select(F.col("target_fact_id").alias("source_fact_id"), F.col("source_fact_id").alias("target_fact_id"), F.lower("relationship_type").alias("relationship_type"))
+    return R.exists(e, asked).groupBy("relationship_type", "found").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_CANON + EVERY + " SELECT kind AS relationship_type, count(*) AS n FROM every WHERE kind <> 'CONTRADICTS' GROUP BY kind")
+def delete_relationships(spark, sf):
+    e = store(spark, sf).table("edges")
+    return L.without_relationships(e, e.where("relationship_type = 'CONTRADICTS'").select("id")).groupBy("relationship_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_CANON + EVERY + f", ends AS (SELECT lid AS id FROM every UNION ALL SELECT rid FROM every WHERE lid <> rid), n AS (SELECT id, count(*) AS n FROM ends GROUP BY id) SELECT f.id, {_STATEMENT.format('f')} AS fact, f.evidence_count, coalesce(n, 0) AS relationship_count FROM facts f LEFT JOIN n USING (id)")
+def debug_rows(spark, sf):
     s = store(spark, sf)
-    return R.candidate_log(s.table("facts"), s.table("evidence"))
+    return L.debug_rows(s.table("facts"), s.table("evidence"), s.table("edges")).select("id", "fact", "evidence_count", "relationship_count")
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '[\"' || c_custkey || '\",\"x\"]' WHEN 1 THEN '[\"' || c_custkey || '\",\"y z\"]' ELSE '[]' END AS ids FROM customer")
+def id_lists(spark, sf):
+    """Ids as a JSON list, as comma-separated text, as other JSON and as blanks."""
+    k = F.col("c_custkey").cast("string")
+    forms = F.element_at(F.array(F.concat(F.lit('["'), k, F.lit('", " ", "x"]')), F.concat(k, F.lit(" ,, y z,")), F.lit('{"a": 1}'), F.lit("  ")), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return table(spark, sf, "customer").select("c_custkey", L.dump_id_list(L.parse_id_list(forms)).alias("ids"))
 
 
 @query("WITH e AS (SELECT l_orderkey AS o, l_partkey % 50 AS a, l_suppkey % 50 AS b, l_quantity / 100 AS c FROM lineitem) SELECT least(a, b)::varchar AS low, greatest(a, b)::varchar AS high, max(c) AS confidence FROM e WHERE a <> b GROUP BY 1, 2")
@@ -286,7 +391,7 @@ def pair_key_dedup(spark, sf):
 # ---------------------------------------------------------------- vectors, text, audits
 
 
-@query("WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::double / sqrt(list_dot_product(embedding::double[], embedding::double[]))) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_dot_product(q.e, v.e) AS d FROM n q JOIN n v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0) SELECT query_id, rank, round(d, 6) AS similarity FROM (SELECT query_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, id) AS rank FROM s) WHERE rank <= 5")
+@query("WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::double / sqrt(list_dot_product(embedding::double[], embedding::double[]))) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_dot_product(q.e, v.e) AS d FROM n q JOIN n v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0) SELECT query_id, rank, round(d, 6) AS similarity FROM (SELECT query_id, d, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9) DESC, id) AS rank FROM s) WHERE rank <= 5")
 def knn_batch(spark, sf):
     v = table(spark, sf, "embeddings")
     return V.nearest(v, v.where("vec_id % 20 = 0")).select("query_id", "rank", F.round("similarity", 6).alias("similarity"))
@@ -302,16 +407,30 @@ def embedding_text_hash(spark, sf):
     return store(spark, sf).table("embeddings").select("fact_id", "text_hash")
 
 
+@query(
+    _CANON
+    + f""", words AS (SELECT id, unnest(regexp_split_to_array(lower(concat_ws(' ', ce, ca, cv, period)), '\\s+')) AS t FROM facts), h AS (SELECT id, md5(t) AS d FROM words WHERE t <> ''),
+slots AS (SELECT id, ('0x' || d[7:8] || d[5:6] || d[3:4] || d[1:2])::bigint % 384 AS s, 1.0 AS w FROM h UNION ALL SELECT id, ('0x' || d[15:16] || d[13:14] || d[11:12] || d[9:10])::bigint % 384, 0.5 FROM h),
+v AS (SELECT id, s, sum(w)::double AS w FROM slots GROUP BY ALL), n AS (SELECT id, sqrt(sum(w * w)) AS n FROM v GROUP BY id),
+d AS (SELECT b.id, sum(a.w * b.w) / any_value(m.n * k.n) AS d FROM v a JOIN v b ON a.s = b.s JOIN n m ON m.id = a.id JOIN n k ON k.id = b.id WHERE a.id = {_FIRST} AND b.id <> a.id GROUP BY b.id)
+SELECT (row_number() OVER (ORDER BY round(d, 4) DESC))::int AS rank, round(d, 4) AS similarity FROM d ORDER BY rank LIMIT 10"""
+)
+def similar_facts(spark, sf):
+    """The ten facts nearest to one; equal similarities make their order free, so the facts' own columns are left out here."""
+    return store(spark, sf).similar(first_total(spark, sf), 10).select("rank", F.round("similarity", 4).alias("similarity"))
+
+
 @query()
 def chunk_documents(spark, sf):
     return chunks.chunk_pages(chunks.text_pages(table(spark, sf, "documents")))
 
 
-@query("SELECT doc_id, trim(substr(text, 11, 60), ' ' || chr(9) || chr(10) || chr(13)) AS aligned FROM documents WHERE length(text) > 80 AND text NOT LIKE '%' || chr(160) || '%'")
+_SPACE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+@query(f"SELECT doc_id, nullif(regexp_replace(substr(text, 11, 60), '^{_SPACE}+|{_SPACE}+$', '', 'g'), '') AS aligned FROM documents")
 def evidence_alignment(spark, sf):
-    d = table(spark, sf, "documents").where("length(text) > 80 and not contains(text, char(160))")
-    snippet = F.substring("text", 11, 60)
-    return d.select("doc_id", extract.align(snippet, F.col("text")).alias("aligned"))
+    return table(spark, sf, "documents").select("doc_id", extract.align(F.substring("text", 11, 60), F.col("text")).alias("aligned"))
 
 
 @query("""SELECT event_id, json_extract_string(props, '$.k') AS value FROM events""")
@@ -328,23 +447,46 @@ def audit_metrics(spark, sf):
     return A.audit(*[s.table(t) for t in ("facts", "evidence", "edges", "clusters", "embeddings")]).where(F.col("metric").isin(shown))
 
 
-@query()
+@query(
+    _CANON
+    + f", x AS (SELECT id, ca, ca IN {_KIDS} AND lower(value) IN (SELECT lower(value) FROM facts WHERE ca = 'total_revenue') AS bad FROM facts) SELECT id, ca AS canonical_attribute, CASE WHEN bad THEN 'FAIL' ELSE 'PASS' END AS integrity_status, "
+    + "CASE WHEN bad THEN 'Synthetic child fact: child value matches a total_revenue value.' ELSE 'Stored fact matches original extraction.' END AS reason FROM x"
+)
 def integrity_status(spark, sf):
     return A.integrity(store(spark, sf).table("facts"))
 
 
-@query(_CANON + "SELECT id FROM facts WHERE id NOT IN (SELECT fact_id FROM evidence)")
+@query(_CANON + "SELECT id FROM facts WHERE id NOT IN (SELECT fact_id FROM evidence WHERE source_document NOT LIKE 'orders%')")
 def missing_evidence(spark, sf):
+    """Facts that would be left without evidence if the documents of orders went."""
     s = store(spark, sf)
-    return A.missing(s.table("facts"), s.table("evidence")).select("id")
+    return A.missing(s.table("facts"), s.table("evidence").where("source_document not like 'orders%'")).select("id")
 
 
-@query(_CANON + "SELECT ca AS canonical_attribute FROM facts GROUP BY ca HAVING bool_or(dim = 'ratio') AND bool_or(dim IN ('money', 'scaled'))")
+@query(_CANON + "SELECT DISTINCT ca AS canonical_attribute FROM facts WHERE dim IN ('money', 'scaled')")
 def mixed_dimension_attributes(spark, sf):
-    return A.mixed_dimensions(store(spark, sf).table("facts")).select("canonical_attribute")
+    """The layer's facts, and each with a ratio for its value as well."""
+    f = store(spark, sf).table("facts")
+    return A.mixed_dimensions(f.unionByName(f.withColumn("canonical_value", F.lit("7%")))).select("canonical_attribute")
 
 
-@query()
+_PART = "('0x' || substr(sha256(c), {0}, 8))::bigint"
+
+
+@query(
+    _CANON
+    + EVERY
+    + r""", told AS (SELECT id, concat_ws('|', ca, cv, coalesce(period, '')) AS m FROM facts),
+keys AS (
+  SELECT kind || '|' || lid || '|' || rid AS c FROM every WHERE kind <> 'COMPUTED_SUPPORT'
+  UNION ALL SELECT 'COMPUTED_SUPPORT|' || t.id || '|' || array_to_string(list_sort([a.id, b.id]), '|') FROM sums s JOIN facts t ON t.id = s.lid JOIN facts a ON a.id = s.rid
+    JOIN facts b ON b.ca = 'services_revenue' AND b.ee = t.ee AND coalesce(b.period, '') = coalesce(t.period, '')
+), meanings AS (SELECT concat_ws('|', kind, l.m, r.m) AS c FROM every JOIN told l ON l.id = lid JOIN told r ON r.id = rid),
+groups AS (SELECT ca, vk, coalesce(period, '') AS p, arg_min(cv, (entity, ca, value, id)) AS cv, list(id) AS ids FROM facts GROUP BY ALL),
+kinds AS (SELECT concat_ws('|', g.ca, g.cv, g.p, count(DISTINCT e.source_document)::varchar) AS c FROM groups g JOIN evidence e ON list_contains(g.ids, e.fact_id) GROUP BY g.ca, g.vk, g.cv, g.p)
+"""
+    + " UNION ALL ".join(f"SELECT '{name}' AS part, count(*) AS n, sum({_PART.format(1)})::bigint AS a, sum({_PART.format(9)})::bigint AS b FROM {t}" for name, t in (("edges", "keys"), ("meanings", "meanings"), ("clusters", "kinds")))
+)
 def fingerprint(spark, sf):
     s = store(spark, sf)
     return A.fingerprint(s.table("facts"), s.table("edges"), s.table("clusters"))

@@ -76,6 +76,11 @@ def read_pages(spark: SparkSession, path: str, parse: Callable[[bytes], list[str
     return files.mapInPandas(run, "source_document string, page_number int, text string")
 
 
+def document_chunks(spark: SparkSession, path: str, parse: Callable[[bytes], list[str]], max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    """Binary documents below ``path`` straight to their chunks."""
+    return chunk_pages(read_pages(spark, path, parse), max_chars, overlap)
+
+
 def text_pages(docs: DataFrame, page_chars: int = 4000) -> DataFrame:
     """Plain texts (doc_id, text) as documents whose pages hold ``page_chars`` characters."""
     count = F.greatest(F.ceil(F.length("text") / page_chars), F.lit(1)).cast("int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import time
 import uuid
@@ -12,13 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.operators import facts as facts_ops
-from factloom.operators import relations, vectors
+from factloom.operators import lookup, relations, vectors
 
 RAW_SCHEMA = T.StructType(
     [T.StructField("ingest_ord", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("entity", "attribute", "value", "unit", "period")], T.StructField("confidence", T.DoubleType()),
      T.StructField("source_document", T.StringType()), T.StructField("page_number", T.IntegerType()), T.StructField("evidence_text", T.StringType()), T.StructField("evidence_type", T.StringType())]
 )
-DERIVED = ["facts", "evidence", "edges", "clusters", "embeddings"]
+DERIVED = ["claims", "facts", "evidence", "features", "edges", "candidates", "clusters", "embeddings"]
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -29,7 +30,7 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 def work_folder(spark: SparkSession) -> str:
     """A folder that all executors share: the checkpoint folder, else the warehouse; on a local master any."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and spark.sparkContext.master.startswith("local"):
+    if not named and re.match(r"local(\[|$)", spark.sparkContext.master):  # local-cluster's executors may share no folder
         named = "file://" + tempfile.gettempdir()
     return f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/factloom-store"
 
@@ -67,36 +68,80 @@ class FactStore:
         return fs.exists(at(f"{self.path}/{table}"))
 
     def raw(self) -> DataFrame:
-        return self.spark.read.schema(RAW_SCHEMA).parquet(f"{self.path}/raw") if self.exists("raw") else self.spark.createDataFrame([], RAW_SCHEMA)
+        return self.spark.read.schema(RAW_SCHEMA).parquet(self._raw_path()) if self.exists("raw") else self.spark.createDataFrame([], RAW_SCHEMA)
 
     def append(self, raw: DataFrame) -> None:
-        """Keep raw claims; derived tables follow with ``rebuild``."""
-        conform(raw, RAW_SCHEMA).write.mode("append").parquet(f"{self.path}/raw")
+        """Keep raw claims; derived tables follow with ``rebuild`` or ``add``."""
+        conform(raw, RAW_SCHEMA).write.mode("append").parquet(f"{self.path}/raw/{self._raw_version()}")
 
     def replace_document(self, raw: DataFrame, document: str) -> None:
-        """A document that comes again replaces its earlier claims."""
-        kept = self.raw().where(F.col("source_document") != document)
-        new = f"{self.path}/raw-{uuid.uuid4().hex}"
-        kept.unionByName(conform(raw, RAW_SCHEMA)).write.parquet(new)
+        """A document that comes again replaces its earlier claims. A new version of the raw table is written whole before
+        the pointer to it moves, so a crash leaves the old one or the new one."""
+        kept = self.raw().where(~F.col("source_document").eqNullSafe(document))
+        self._write_raw(kept.unionByName(conform(raw, RAW_SCHEMA)))
+
+    def _write_raw(self, rows: DataFrame) -> None:
+        name = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/raw/{name}")
+        self._point_to(name)
+
+    def _point_to(self, name: str) -> None:
+        """Pointers are empty files that sort by time; the last one counts."""
         fs, at = self._fs()
-        fs.delete(at(f"{self.path}/raw"), True)
-        fs.rename(at(new), at(f"{self.path}/raw"))
+        fs.create(at(f"{self.path}/raw/_pointers/{time.time_ns():020d}-{name}"), True).close()
 
-    def rebuild(self, link: bool = True) -> FactStore:
-        """Canonicalise, merge, link, cluster and embed all raw claims."""
-        version = f"{self.path}/v-{uuid.uuid4().hex}"
+    def _raw_version(self) -> str:
+        fs, at = self._fs()
+        pointers = at(f"{self.path}/raw/_pointers")
+        names = sorted(x.getPath().getName() for x in fs.listStatus(pointers)) if fs.exists(pointers) else []
+        if not names:
+            self._point_to("first")
+            return "first"
+        return names[-1].split("-", 1)[1]
 
-        def put(name: str, df: DataFrame) -> DataFrame:
-            with self.timings.stage(name):
-                df.write.parquet(f"{version}/{name}")
-            return self.spark.read.parquet(f"{version}/{name}")
+    def _raw_path(self) -> str:
+        return f"{self.path}/raw/{self._raw_version()}"
 
-        facts, evidence = facts_ops.merge_facts(self.raw())
-        facts, evidence = put("facts", facts), put("evidence", evidence)
+    def _put(self, version: str, name: str, df: DataFrame) -> DataFrame:
+        with self.timings.stage(name):
+            df.write.parquet(f"{version}/{name}")
+        return self.spark.read.parquet(f"{version}/{name}")
+
+    def rebuild(self, link: bool = True) -> FactStore:
+        """Canonicalise, merge, link, cluster and embed all raw claims. Each table is written once and read from there."""
+        version = f"{self.path}/v-{uuid.uuid4().hex}"
+        stored = self.table("embeddings") if self.version else None
+        claims = self._put(version, "claims", facts_ops.claims(self.raw()))
+        facts, evidence = facts_ops.merge_claims(claims)
+        facts, evidence = self._put(version, "facts", facts), self._put(version, "evidence", evidence)
         if link:
-            put("edges", relations.link(facts, evidence))
-        put("clusters", facts_ops.clusters(facts, evidence))
-        put("embeddings", vectors.embed_facts(facts))
+            features = self._put(version, "features", relations.features(facts, evidence))
+            self._put(version, "edges", relations.valid(self._put(version, "proposed", relations.proposed(features)), features))
+            self._put(version, "candidates", relations.candidate_log(features))
+        self._put(version, "clusters", facts_ops.clusters(facts, evidence))
+        self._put(version, "embeddings", vectors.embed_facts(facts, stored))
+        self.version = version
+        return self
+
+    def add(self, raw: DataFrame) -> FactStore:
+        """Append claims and bring derived tables up to date: facts are merged from all claims, vectors of unchanged facts
+        are kept, and only facts with new evidence, and what is near them, are linked anew."""
+        before = self.table("evidence").select("fact_id", "evidence_id")
+        edges, stored = self.table("edges"), self.table("embeddings")
+        self.append(raw)
+        version = f"{self.path}/v-{uuid.uuid4().hex}"
+        claims = self._put(version, "claims", facts_ops.claims(self.raw()))
+        facts, evidence = facts_ops.merge_claims(claims)
+        facts, evidence = self._put(version, "facts", facts), self._put(version, "evidence", evidence)
+        features = self._put(version, "features", relations.features(facts, evidence))
+        changed = evidence.join(before, ["fact_id", "evidence_id"], "left_anti").select("fact_id").unionByName(before.join(evidence, ["fact_id", "evidence_id"], "left_anti").select("fact_id"))
+        changed = self._put(version, "changed", changed.distinct())
+        near = self._put(version, "near", relations.touched_by(features, changed))
+        fresh = self._put(version, "proposed", relations.proposed(near, support=features))
+        self._put(version, "edges", relations.replaced(edges, relations.valid(fresh, features), changed))
+        self._put(version, "candidates", relations.candidate_log(features))
+        self._put(version, "clusters", facts_ops.clusters(facts, evidence))
+        self._put(version, "embeddings", vectors.embed_facts(facts, stored))
         self.version = version
         return self
 
@@ -111,11 +156,32 @@ class FactStore:
     def fact(self, fact_id: str) -> DataFrame:
         return facts_ops.fact_detail(self.table("facts"), self.table("evidence"), self.table("edges"), fact_id)
 
+    def similar(self, fact_id: str, k: int = 5) -> DataFrame:
+        return lookup.similar_facts(self.table("facts"), self.table("embeddings"), fact_id, k)
+
+    def relationships(self, fact_id: str) -> DataFrame:
+        return lookup.relationships_of(self.table("edges"), self.table("facts"), fact_id)
+
+    def delete_relationships(self, ids: DataFrame | None = None) -> int:
+        """Delete edges by id, or all of them, in a new version; gives how many went."""
+        edges = self.table("edges")
+        kept = lookup.without_relationships(edges, ids)
+        gone = edges.count() - kept.count()
+        version = f"{self.path}/v-{uuid.uuid4().hex}"
+        for name in DERIVED:
+            if self.has(name):
+                self._put(version, name, kept if name == "edges" else self.table(name))
+        self.version = version
+        return gone
+
+    def has(self, name: str) -> bool:
+        return self.version is not None and self.exists(f"{self.version.rsplit('/', 1)[1]}/{name}")
+
     def snapshot(self, folder: str) -> str:
         """Copy of the current version."""
         to = f"{folder.rstrip('/')}/snapshot-{time.strftime('%Y%m%dT%H%M%S')}"
         for name in DERIVED:
-            if self.exists(f"{self.version.rsplit('/', 1)[1]}/{name}"):
+            if self.has(name):
                 self.table(name).write.parquet(f"{to}/{name}")
         return to
 
