@@ -10,14 +10,14 @@ import corpus_pipeline
 
 from .common import read_table
 from .imatch import fingerprint_documents
-from .jaccard import near_duplicates
-from .licenses import scan_documents
+from .jaccard import near_duplicates, near_duplicates_sql
+from .licenses import scan_documents, scan_sql
 from .media import media_documents
 from .mixing import mixing_table
 from .packing import pack_documents
 from .quality import score_quality
 from .sharding import shard_documents
-from .suffix import PASSAGE, remove_repeats
+from .suffix import PASSAGE, remove_repeats, remove_repeats_sql
 from .toxicity import score_toxicity
 
 
@@ -66,6 +66,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_license_scan": scan_sql(),
+    "op5_suffix_array_dedup": remove_repeats_sql(),
+    "op10_ngram_jaccard_join": near_duplicates_sql(),
+}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -147,16 +147,21 @@ def ranks_by_depth(data: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]
 
 def suffix_order(ranks: np.ndarray) -> np.ndarray:
     """Places in order of their ranks, ties by place."""
-    return np.argsort(ranks, kind="stable")
+    n, bits = len(ranks), len(ranks).bit_length()
+    if n and int(ranks.max()) >> (64 - bits):
+        return np.argsort(ranks, kind="stable")
+    key = (ranks.astype(np.uint64) << np.uint64(bits)) | np.arange(n, dtype=np.uint64)
+    key.sort()
+    return (key & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def previous_smaller(values: np.ndarray) -> np.ndarray:
     """For each entry the index of the nearest earlier entry that is smaller, or -1. Pointers jump over pointers, all at once."""
     found = np.arange(-1, len(values) - 1)
-    open_ = np.flatnonzero(values[np.maximum(found, 0)] > values)
+    open_ = np.flatnonzero((found >= 0) & (values[np.maximum(found, 0)] >= values))
     while len(open_):
         found[open_] = found[found[open_]]
-        open_ = open_[(found[open_] >= 0) & (values[found[open_]] > values[open_])]
+        open_ = open_[(found[open_] >= 0) & (values[found[open_]] >= values[open_])]
     return found
 
 
@@ -179,26 +184,32 @@ def common_prefix(levels: list[tuple[int, np.ndarray]], data: np.ndarray, a: np.
     return out
 
 
-def longest_previous_factor(levels: list[tuple[int, np.ndarray]], data: np.ndarray, starts: np.ndarray, least: int = 1, later: bool = False) -> np.ndarray:
-    """For each of the ascending ``starts`` the longest match with one that is earlier (``later``: one that is later), from the
-    previous and next smaller (greater) starts in suffix order; cut at the deepest level, and 0 below ``least``."""
+def longest_previous_factor(levels: list[tuple[int, np.ndarray]], data: np.ndarray, starts: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the ascending ``starts`` the longest match with an earlier one, and the index of that one (-1: none), from the
+    previous and next smaller starts in suffix order; lengths are cut at the deepest level, and 0 below ``least``."""
     order = suffix_order(levels[-1][1][starts])
-    place = -order if later else order
-    before = previous_smaller(place)
-    after = len(order) - 1 - previous_smaller(place[::-1])[::-1]  # len(order) where there is none
-    out = np.zeros(len(starts), np.int64)
+    before = previous_smaller(order)
+    after = len(order) - 1 - previous_smaller(order[::-1])[::-1]  # len(order) where there is none
+    length, source = np.zeros(len(starts), np.int64), np.full(len(starts), -1)
     for near in (before, after):
         have = np.flatnonzero((near >= 0) & (near < len(order)))
-        own = order[have]
-        out[own] = np.maximum(out[own], common_prefix(levels, data, starts[own], starts[order[near[have]]], least))
-    return out
+        own, other = order[have], order[near[have]]
+        found = common_prefix(levels, data, starts[own], starts[other], least)
+        better = found > length[own]
+        length[own[better]], source[own[better]] = found[better], other[better]
+    return length, source
 
 
 def repeated_starts(data: np.ndarray, starts: np.ndarray, width: int, later_only: bool) -> np.ndarray:
-    """For each of the ascending ``starts``: does the window there have an earlier copy (or else, unless ``later_only``, a later one)."""
-    levels = ranks_by_depth(data, width)
-    found = longest_previous_factor(levels, data, starts, width) >= width
-    return found if later_only else found | (longest_previous_factor(levels, data, starts, width, later=True) >= width)
+    """For each of the ascending ``starts``: does the window there have an earlier copy (or else, unless ``later_only``, a later one).
+
+    Equal windows follow each other in suffix order by place, so each but the last is the source of the next one's factor.
+    """
+    length, source = longest_previous_factor(ranks_by_depth(data, width), data, starts, width)
+    found = length >= width
+    if not later_only:
+        found[source[found]] = True
+    return found
 
 
 # ---------------------------------------------------------------- anchors

@@ -56,16 +56,25 @@ def plain_scan(text):
     starts = {label: [i for i in range(len(words)) if words[i : i + len(p.split())] == p.split()] for p, label in licenses.PHRASES.items()}
     places = sorted(i for s in starts.values() for i in s)
     more = set()
-    for line in (text or "").translate(LOWER).split("\n"):
-        held = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
-        more |= {label for t, label in licenses.TEMPLATES if 10 * len(held & set(t.split())) >= 8 * len(set(t.split()))}
+    sets = [set(t.split()) for t, _ in licenses.TEMPLATES]
+    for own, must, (t, label) in zip(sets, licenses.told_by(sets, 0.8), licenses.TEMPLATES, strict=True):
+        block = -(-10 * len(t.split()) // 8)
+        if any(10 * len(own & held) >= 8 * len(own) and held.issuperset(must) for held in (set(words[i : i + block]) for i in range(len(words)))):
+            more.add(label)
     base = {k for k, v in starts.items() if v}
     return len(words), len(places), places[0] if places else None, places[-1] if places else None, ",".join(sorted(base)), ",".join(sorted(base | more))
 
 
+def test_near_relatives_are_told_apart():
+    sets = [{"a", "b", "c", "d", "e", "nc"}, {"a", "b", "c", "d", "e", "sa"}, {"x", "y"}]
+    assert licenses.told_by(sets, 0.8) == [["nc"], ["sa"], []]
+    assert plain_scan(LICENSED[9])[5] == "" and plain_scan(LICENSED[10])[5] == "cc-by"
+
+
 LICENSED = {
     1: "All rights reserved.", 2: "Licensed under CC BY-NC 4.0.\nthis work is licensed under the GNU General Public License, version 3.", 3: "gnu general public licenses", 4: None,
     5: "MIT   license, mit-license MITLICENSE", 6: "Released under\nthe MIT License", 7: "ccby cc by cc, by", 8: "permission is hereby granted, free of charge, to any person obtaining copies of this software",
+    9: "We reserved a table for all guests; animal rights matter", 10: "Licensed under CC BY 4.0.",
 }
 
 
@@ -91,7 +100,7 @@ WRAPPED = {
 def test_wrapped_notices(spark):
     got = by_id(licenses.scan_documents(spark.createDataFrame([(i, t) for i, (t, _) in WRAPPED.items()], "doc_id long, text string")))
     assert {i: r.labels for i, r in got.items()} == {i: label for i, (_, label) in WRAPPED.items()}
-    assert [got[i].n_blocks for i in sorted(got)] == [1, 1, 1, 0] and got[1].score == 1.0
+    assert [got[i].n_templates for i in sorted(got)] == [1, 1, 1, 0] and got[1].score == 1.0
 
 
 # ---------------------------------------------------------------- 3
@@ -255,10 +264,13 @@ def test_suffix_order_and_previous_factors(data, depth):
         order = suffix.suffix_order(levels[-1][1])
         assert order.tolist() == sorted(range(n), key=lambda i: (data[i : i + depth], i))
         plain = [max([0, *(k for j in range(i) for k in range(1, min(depth, n - i) + 1) if data[j : j + k] == data[i : i + k])]) for i in range(n)]
-        assert suffix.longest_previous_factor(levels, array, np.arange(n)).tolist() == plain
+        lengths, sources = suffix.longest_previous_factor(levels, array, np.arange(n))
+        assert lengths.tolist() == plain and all(data[j : j + k] == data[i : i + k] and j < i for i, (j, k) in enumerate(zip(sources, plain, strict=True)) if k)
         if n > depth:
             starts = np.arange(n - depth + 1)
             assert suffix.repeated_starts(array, starts, depth, True).tolist() == [plain[i] >= depth for i in starts]
+            windows = [data[i : i + depth] for i in starts]
+            assert suffix.repeated_starts(array, starts, depth, False).tolist() == [windows.count(w) > 1 for w in windows]
 
 
 def test_previous_smaller():
@@ -270,9 +282,12 @@ def test_previous_smaller():
 
 def test_runs_of_long_texts_do_not_depend_on_parts(monkeypatch):
     raw = (texts()[16] or "").encode()
-    whole = [x.tolist() for x in suffix.anchor_runs(raw)]
+    symbols = suffix.BYTES.symbols(raw)
+    whole = [x.tolist() for x in suffix.anchor_runs(symbols)]
     monkeypatch.setattr(suffix, "PART", 1000)
-    assert [x.tolist() for x in suffix.anchor_runs(raw)] == whole
+    assert [x.tolist() for x in suffix.anchor_runs(symbols)] == whole
+    monkeypatch.setattr(suffix, "PART", 100)
+    assert suffix.word_symbols(raw).tolist() == [int(suffix.range_hashes(suffix.np.frombuffer(w, suffix.np.uint8), suffix.np.array([0]), suffix.np.array([len(w)]))[0]) for w in raw.split()]
 
 
 # ---------------------------------------------------------------- 9
