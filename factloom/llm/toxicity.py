@@ -6,7 +6,8 @@ length over its occurrences. Word ends count as characters.
 So an insult stays close to itself when characters are inserted or left out, and to other words of its stem.
 Letters set apart by blanks are read as one word.
 
-A document is labelled, its words are not. Training starts from the words whose grams are much more frequent
+The labels are of documents; there are no labelled sentences to train on, so the machine picks the instances itself.
+Its instance is a word with its inserted signs, the part of a sentence that windows of ``SPAN`` characters see. Training starts from the words whose grams are much more frequent
 in toxic documents, fits the machine on the kernel values to a set of landmark words, and then lets the
 machine choose: in each round the positive words are those that score highest in each toxic document, the
 negative ones a sample and the highest-scoring words of clean documents. A document's margin is that of its

@@ -1,9 +1,11 @@
 """The pipeline's stages, each on its predecessor's rows."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from factloom.llm import common, quality, queries
+from factloom.llm import common, jaccard, mixing, packing, quality, queries, sharding, suffix
 
-from .test_operators import check_packing, plain_links
+from .test_operators import check_packing, plain_links, plain_words
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,6 +35,39 @@ def test_stages(spark):
     assert pack(spark, mixed, SF).selectExpr("sum(length)").first()[0] >= sum(r.length for r in rows)
 
 
+CLASHES = ["_id", "_h", "_kept", "_row", "_copy", "_th", "_doc", "_times", "_bucket", "shard", "slot", "id", "h", "kept", "Label"]
+
+
+def test_stages_keep_columns_of_any_name(spark, docs):
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 32)], "doc_id long, quality int, toxic int")
+    odd = docs.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    odd = odd.unionByName(odd.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    for stage in (lambda d: quality.drop_rejected(d, labels), jaccard.keep_first, suffix.drop_later_copies, lambda d: mixing.mix(d, labels)):
+        out = stage(odd)
+        assert out.columns == odd.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in CLASHES if r.doc_id is not None)
+    dealt = sharding.two_pass_shuffle(odd, "doc_id", 3)
+    assert sorted(set(dealt.columns) - set(odd.columns)) == ["_shard", "_slot"] and dealt.count() == odd.count()
+    assert {r.doc_id for r in dealt.where("_shard = concat('shard-', doc_id)").collect()} == {r.doc_id for r in odd.where("doc_id is not null").collect()}
+
+
+def test_stages_of_empty_tables(spark, empty):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for stage in (lambda d: quality.drop_rejected(d, labels), jaccard.keep_first, suffix.drop_later_copies, lambda d: mixing.mix(d, labels)):
+        out = stage(empty)
+        assert out.columns == empty.columns and out.count() == 0
+    assert packing.pack_documents(empty).count() == 0
+
+
+def test_later_passages_go_as_in_a_plain_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = {r.doc_id: r.text for r in docs.collect()}
+    kept = {i: found[i] if t == (found[i] or "").encode() else t.decode() for i, (t, _) in plain_words(found, suffix.PASSAGE, later=True).items()}
+    got = {r.doc_id: r.text for r in suffix.drop_later_copies(docs).collect()}
+    assert got == {i: t for i, t in kept.items() if t or t == found[i]} and got != found
+
+
 def test_registered():
     names = set(queries.QUERIES)
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
