@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MAX_BITS = 1 << 27  # 16 MiB
-SLOTS = 64
+SLOTS, SLOTS_AT_ONCE = 1024, 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -31,24 +31,26 @@ def id_filter(ids: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
     width = bits // SLOTS // 8
     schema = "slot int, bits binary"
 
-    def batch_of(tables: dict[int, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(tables), pa.int32()), pa.array([t.tobytes() for t in tables.values()], pa.binary())], ["slot", "bits"])
+    def batches_of(tables: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        items = list(tables.items())
+        for low in range(0, len(items), SLOTS_AT_ONCE):
+            part = items[low : low + SLOTS_AT_ONCE]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int32()), pa.array([t.tobytes() for _, t in part], pa.binary())], ["slot", "bits"])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, np.ndarray] = {}
+        table = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             at = (mix(batch.column(0).to_numpy().astype(np.uint64)) % np.uint64(bits)).astype(np.int64)
-            for slot in np.unique(at // (8 * width)):
-                own = at[at // (8 * width) == slot] - slot * 8 * width
-                tables.setdefault(int(slot), np.zeros(8 * width, bool))[own] = True
-        yield batch_of({k: np.packbits(v) for k, v in tables.items()})
+            np.bitwise_or.at(table, at >> 3, (0x80 >> (at & 7)).astype(np.uint8))
+        rows = table.reshape(SLOTS, width)
+        yield from batches_of({int(k): rows[k] for k in np.flatnonzero(rows.any(1))})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, np.ndarray] = {}
         for batch in batches:
             for slot, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tables.setdefault(slot, np.zeros(width, np.uint8))[:] |= np.frombuffer(part.as_py(), np.uint8)
-        yield batch_of(tables)
+        yield from batches_of(tables)
 
     table = np.zeros(bits // 8, np.uint8)
     for slot, part in ids.mapInArrow(mark, schema).repartition(16, "slot").mapInArrow(merge, schema).collect():  # bits / 8 bytes

@@ -45,7 +45,8 @@ N = 5
 PERCENT = 75
 BUCKETS = 1 << 24
 PARITY_BITS = 1 << 16
-SLOTS = 32
+SLOTS, SLOTS_AT_ONCE = 2048, 64  # what crosses to Python at once stays small, however many partitions meet in a slot
+PARTS = 32
 INNER = 1 << 31  # marks, beside the position, the first n-gram of a group with several members
 LARGEST_COUNT = 40_000  # of one partition and bucket; leaves room for a batch more
 
@@ -83,8 +84,10 @@ def count_classes(docs: DataFrame, n: int = N) -> np.ndarray:
             for text in batch.column(0):
                 np.add.at(total, (ngram_set(text.as_py().encode(), n) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
             np.minimum(total, LARGEST_COUNT, out=total)
-        for i in range(SLOTS):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i * width : (i + 1) * width].astype("<u2").tobytes()], pa.binary())], ["slot", "counts"])
+        rows = total.reshape(SLOTS, width)
+        for low in range(0, SLOTS, SLOTS_AT_ONCE):
+            part = rows[low : low + SLOTS_AT_ONCE]
+            yield pa.RecordBatch.from_arrays([pa.array(range(low, low + len(part)), pa.int32()), pa.array([r.astype("<u2").tobytes() for r in part], pa.binary())], ["slot", "counts"])
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only()
@@ -96,7 +99,7 @@ def count_classes(docs: DataFrame, n: int = N) -> np.ndarray:
             classes = np.ceil(np.log2(np.maximum(v, 1))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([classes.tobytes()], pa.binary())], ["slot", "classes"])
 
-    parts = docs.select("text").mapInArrow(count, "slot int, counts binary").repartition(SLOTS, "slot").mapInArrow(classify, "slot int, classes binary")
+    parts = docs.select("text").mapInArrow(count, "slot int, counts binary").repartition(PARTS, "slot").mapInArrow(classify, "slot int, classes binary")
     out = np.zeros(BUCKETS, np.uint8)
     for slot, classes in parts.toLocalIterator():  # SLOTS rows of BUCKETS / SLOTS bytes
         out[slot * width : (slot + 1) * width] = np.frombuffer(classes, np.uint8)
