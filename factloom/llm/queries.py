@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from .common import read_table
+from .exact import EXACT_SQL, exact_duplicates
 from .imatch import fingerprint_documents
 from .jaccard import near_duplicates, near_duplicates_sql
 from .licenses import scan_documents, scan_sql
@@ -61,8 +62,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_imatch_fingerprints, op2_license_scan, op3_sharding, op4_best_fit_packing, op5_suffix_array_dedup, op6_toxicity, op7_quality_classifier, op8_mixing, op9_media_columns, op10_ngram_jaccard_join)
+    f.__name__: f for f in (op1_imatch_fingerprints, op2_license_scan, op3_sharding, op4_best_fit_packing, op5_suffix_array_dedup, op6_toxicity, op7_quality_classifier, op8_mixing, op9_media_columns, op10_ngram_jaccard_join, op11_exact_dedup)
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 
@@ -70,6 +75,7 @@ ORACLES: dict[str, str] = {
     "op2_license_scan": scan_sql(),
     "op5_suffix_array_dedup": remove_repeats_sql(),
     "op10_ngram_jaccard_join": near_duplicates_sql(),
+    "op11_exact_dedup": EXACT_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
