@@ -20,6 +20,7 @@ from .quality import score_quality
 from .sharding import shard_documents
 from .suffix import PASSAGE, remove_repeats, remove_repeats_sql
 from .toxicity import score_toxicity
+from .whitening import whitened_embeddings
 
 
 def op1_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +67,12 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_imatch_fingerprints, op2_license_scan, op3_sharding, op4_best_fit_packing, op5_suffix_array_dedup, op6_toxicity, op7_quality_classifier, op8_mixing, op9_media_columns, op10_ngram_jaccard_join, op11_exact_dedup)
+    f.__name__: f for f in (op1_imatch_fingerprints, op2_license_scan, op3_sharding, op4_best_fit_packing, op5_suffix_array_dedup, op6_toxicity, op7_quality_classifier, op8_mixing, op9_media_columns, op10_ngram_jaccard_join, op11_exact_dedup, op12_embedding_whitening)
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 
