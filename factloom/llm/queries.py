@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from .common import read_table
+from .collocations import collocations, collocations_sql
 from .exact import EXACT_SQL, exact_duplicates
 from .imatch import fingerprint_documents
 from .jaccard import near_duplicates, near_duplicates_sql
@@ -71,8 +72,12 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened_embeddings(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_imatch_fingerprints, op2_license_scan, op3_sharding, op4_best_fit_packing, op5_suffix_array_dedup, op6_toxicity, op7_quality_classifier, op8_mixing, op9_media_columns, op10_ngram_jaccard_join, op11_exact_dedup, op12_embedding_whitening)
+    f.__name__: f for f in (op1_imatch_fingerprints, op2_license_scan, op3_sharding, op4_best_fit_packing, op5_suffix_array_dedup, op6_toxicity, op7_quality_classifier, op8_mixing, op9_media_columns, op10_ngram_jaccard_join, op11_exact_dedup, op12_embedding_whitening, op13_phrase_collocations)
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 
@@ -81,6 +86,7 @@ ORACLES: dict[str, str] = {
     "op5_suffix_array_dedup": remove_repeats_sql(),
     "op10_ngram_jaccard_join": near_duplicates_sql(),
     "op11_exact_dedup": EXACT_SQL,
+    "op13_phrase_collocations": collocations_sql(),
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
