@@ -31,7 +31,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import id_filter, mix
@@ -246,10 +246,15 @@ def anchor_runs(symbols: np.ndarray, width: int = WIDTH, gram: int = BYTES.gram)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id (null: -1), a hash of the text that tells rows of one doc_id apart, and the text."""
+    """doc_id (null: -1), a hash of the text that tells rows of one doc_id apart, and the text. The hash is odd where doc_id is null, so
+    that a null is no other document's -1."""
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc"), marked_hash(F.col(id_col), text).alias("h"), text.alias("text"))
+
+
+def marked_hash(doc: Column, text: Column) -> Column:
+    return F.xxhash64(text).bitwiseAND(F.lit(-2)).bitwiseOR(doc.isNull().cast("long"))
 
 
 def runs(rows: DataFrame, width: int, unit: Unit = BYTES) -> DataFrame:
@@ -520,7 +525,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, later_only: bool = False
             ends = [0, *(x for cut in cuts for x in cut), len(raw)]
             kept = b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)) if cuts else raw
             runs_ = len(covered([(x["low"], x["high"]) for x in found if not x["cut"]], passage))
-            out.append((doc, len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), runs_, *((h, kept) if keep_text else ())))
+            out.append((None if h & 1 else doc, len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), runs_, *((h, kept) if keep_text else ())))
             size += len(kept) * keep_text + 200
             if size > 4 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
@@ -546,8 +551,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, later_only: bool = False
 
     listed = spans.groupBy("doc", "h").agg(F.collect_list(F.struct("cut", "low", "high")).alias("spans"))  # bounded by the text's length
     some = rows.mapInArrow(sieve, "doc long, h long, text string").join(listed, ["doc", "h"], "left").select("doc", "h", "text", "spans")
-    out = rows.mapInArrow(untouched, schema).unionByName(some.mapInArrow(touched, schema))
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != -1, F.col("doc_id")))
+    return rows.mapInArrow(untouched, schema).unionByName(some.mapInArrow(touched, schema))
 
 
 def drop_later_copies(docs: DataFrame, width: int = PASSAGE, words: bool = True) -> DataFrame:
@@ -559,7 +563,7 @@ def drop_later_copies(docs: DataFrame, width: int = PASSAGE, words: bool = True)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     changed = remove_repeats(docs, width, later_only=True, keep_text=True, words=words).where("n_removed > 0")
     whole = changed.mapInArrow(_decoded, "doc long, h long, kept string").dropDuplicates(["doc", "h"]).toDF(doc, h, kept)
-    joined = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn(th, F.xxhash64(text)).join(
+    joined = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn(th, marked_hash(F.col("doc_id"), text)).join(
         whole, (F.col(id_) == F.col(doc)) & (F.col(th) == F.col(h)), "left"
     )
     new = joined.withColumn("text", F.coalesce(kept, "text"))
