@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_SIZE, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -27,13 +29,16 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only on a local master that names none."""
+    """The cluster's shared folder, else a warehouse on a shared file system; a folder of our own only on a local master that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
         return _own_folder()
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if re.match(r"(file:|/)", warehouse):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return warehouse
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
@@ -58,10 +63,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts cross to Python in batches of ``BATCH_ROWS`` rows unless the session asks for another number:
-    a batch of 10,000 long texts is too much memory for a task."""
+    """Whole texts cross to Python in batches of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes unless the session asks for
+    other numbers: a batch of 10,000 long texts is too much memory for a task."""
     if spark.conf.get(BATCH_SIZE) == "10000":
         spark.conf.set(BATCH_SIZE, str(BATCH_ROWS))
+    if spark.conf.get(BATCH_LIMIT) in ("67108864b", "67108864", "64MB"):
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
