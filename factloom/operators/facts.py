@@ -32,14 +32,18 @@ def clean_raw(raw: DataFrame) -> DataFrame:
     )
 
 
-def keyed(raw: DataFrame) -> DataFrame:
-    """Canonical rows with the equivalence columns eq_entity, eq_attribute, eq_value and the fact's period.
+def canonical(raw: DataFrame) -> DataFrame:
+    """Canonical rows with the equivalence columns eq_entity, eq_attribute, eq_value; each row by itself."""
+    c = canonicalize(clean_raw(raw))
+    return c.withColumns({"eq_entity": normalize_token(F.col("canonical_entity")), "eq_attribute": normalize_token(F.col("canonical_attribute")), "eq_value": value_key(c)})
+
+
+def keyed(c: DataFrame) -> DataFrame:
+    """Canonical rows with the fact's period.
 
     Merging in ingest order has a closed form: within an equivalence key an undated row takes the first
     non-blank period of the key, and every other period makes a fact of its own.
     """
-    c = canonicalize(clean_raw(raw))
-    c = c.withColumns({"eq_entity": normalize_token(F.col("canonical_entity")), "eq_attribute": normalize_token(F.col("canonical_attribute")), "eq_value": value_key(c)})
     same = Window.partitionBy("eq_entity", "eq_attribute", "eq_value").orderBy("ingest_ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return c.withColumn("fact_period", F.coalesce("period", F.first("period", ignorenulls=True).over(same)))
 
@@ -58,22 +62,29 @@ FACT_COLUMNS = [
 ]
 
 
+def identified(c: DataFrame) -> DataFrame:
+    """Canonical rows with the id of the fact that each merges into; whole equivalence keys are needed, nothing beyond."""
+    rows = keyed(c)
+    return rows.withColumn("id", F.sha2(identity_key(rows), 256))
+
+
 def claims(raw: DataFrame) -> DataFrame:
     """Canonical rows, one for each usable raw claim, with the id of the fact that each merges into."""
-    rows = keyed(raw)
-    return rows.withColumn("id", F.sha2(identity_key(rows), 256))
+    return identified(canonical(raw))
 
 
 def merge_facts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return merge_claims(claims(raw))
 
 
-def merge_claims(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(facts, evidence). The first row of a fact gives its texts; evidence rows are distinct; confidence is their noisy-or."""
+def merge_claims(rows: DataFrame, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(facts, evidence). The first row of a fact gives its texts; evidence rows are distinct; confidence is their noisy-or.
+    ``carry``: columns that are equal in all rows of a fact and go along with both."""
+    along = [F.first(c).alias(c) for c in carry or []]
     place = ["source_document", "page_number", "evidence_text", "evidence_type"]
     evidence = (
         rows.groupBy(F.col("id").alias("fact_id"), *place)
-        .agg(F.min_by("confidence", "ingest_ord").alias("confidence"), F.min("ingest_ord").alias("ingest_ord"))
+        .agg(F.min_by("confidence", "ingest_ord").alias("confidence"), F.min("ingest_ord").alias("ingest_ord"), *along)
         .withColumn("evidence_id", F.sha2(F.concat_ws("|", "fact_id", *place), 256))
     )
     strength = evidence.groupBy("fact_id").agg(
@@ -81,8 +92,8 @@ def merge_claims(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     facts = (
         rows.groupBy("id")
-        .agg(F.min_by(F.struct(*FACT_COLUMNS, F.col("fact_period").alias("period"), "eq_entity", "eq_attribute", "eq_value"), "ingest_ord").alias("f"), F.min("ingest_ord").alias("ingest_ord"))
-        .select("id", "f.*", "ingest_ord")
+        .agg(F.min_by(F.struct(*FACT_COLUMNS, F.col("fact_period").alias("period"), "eq_entity", "eq_attribute", "eq_value"), "ingest_ord").alias("f"), F.min("ingest_ord").alias("ingest_ord"), *along)
+        .select("id", "f.*", "ingest_ord", *(carry or []))
         .join(strength.withColumnRenamed("fact_id", "id"), "id")
     )
     return facts, evidence

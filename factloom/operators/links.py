@@ -23,7 +23,7 @@ SYSTEM_PROMPT = (
 def allowed_types(f: DataFrame, window: int = relations.PAGE_WINDOW) -> DataFrame:
     """(candidate l, parent r, allowed): the types that the rules allow for each nearby pair, sorted; pairs without any are left out."""
     part = F.when(F.coalesce(relations.hierarchical("l", "r"), F.lit(False)) & ~F.coalesce(relations.sibling(), F.lit(False)), F.lit("PART_OF"))
-    near = relations.candidates(f, window)
+    near = relations.candidates(f, window, same_bucket=True)
     judged = relations.classify(relations.with_transition(near.where("l_canonical_attribute = r_canonical_attribute"), f))
     judged = judged.select(F.col("source_fact_id").alias("l_id"), F.col("target_fact_id").alias("r_id"), F.col("relationship_type").alias("_type"))
     return near.join(judged, ["l_id", "r_id"], "left").select("l_id", "r_id", F.array_sort(F.array_compact(F.array(part, "_type"))).alias("allowed")).where(F.size("allowed") > 0)

@@ -222,30 +222,53 @@ def classify(p: DataFrame) -> DataFrame:
     )
 
 
-def candidates(f: DataFrame, window: int = PAGE_WINDOW) -> DataFrame:
-    """(child side l, parent side r) pairs that share a document within ``window`` pages (negative: any page).
+NEAR = ["id", "canonical_attribute", "revenue", "prefix", "core", "bucket_entity"]
 
-    Three equi-joins on (document, key) with the page band as residual; a single join on an OR would be a nested
-    loop.
+
+def near_ids(f: DataFrame, window: int = PAGE_WINDOW, same_bucket: bool = False) -> DataFrame:
+    """(l_id, r_id): pairs that share a document within ``window`` pages (negative: any page) and may be child and parent or siblings;
+    with ``same_bucket`` also those of one attribute and entity.
+
+    Pages are cut into blocks as wide as the window. A left row stays in its block, a right row goes to its own and both beside it, so the
+    band is part of an equi-join on (document, block, key), and rows meet only within the window's reach. The key is the *wanted* revenue
+    category or component word, so rows of one and the same never meet: pairs grow with facts, not with their square.
     """
-    placed = f.select(*PAIR, "bucket_entity", F.explode("pages").alias("at"))
-    left, right = sides(placed, [*PAIR, "bucket_entity", "at"])
-    near = (F.col("l_at.d") == F.col("r_at.d")) & (F.col("l_id") != F.col("r_id"))
-    if window >= 0:
-        near = near & (F.abs(F.col("l_at.p") - F.col("r_at.p")) <= window)
-    same_bucket = (F.col("l_canonical_attribute") == F.col("r_canonical_attribute")) & (F.col("l_bucket_entity") == F.col("r_bucket_entity"))
-    to_total = left.where(F.col("l_revenue").isin(CHILD_REVENUE)).join(right.where("r_revenue = 'total_revenue'"), near)
-    by_core = left.where("l_core <> ''").join(right, near & (F.col("l_core") == F.col("r_core")))
-    keys = ["l_id", "r_id"]
-    found = [x.select(*keys) for x in (to_total, by_core, left.join(right, near & same_bucket))]
-    ids = reduce(DataFrame.unionByName, found).distinct()
+    placed = f.select(*NEAR, F.explode("pages").alias("_at")).select(*NEAR, F.col("_at.d").alias("d"), F.col("_at.p").alias("p"))
+    own = F.floor(F.col("p") / max(window, 1)) if window >= 0 else F.lit(0)
+    placed = placed.withColumns({"own": own.cast("long"), "prefix": F.coalesce("prefix", F.lit(""))})
+    beside = F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1) if window >= 0 else F.array("own")
+    ways = {
+        "revenue": (placed.where(F.col("revenue").isin("total_revenue", *CHILD_REVENUE)), F.when(F.col("revenue") == "total_revenue", _texts(CHILD_REVENUE)).otherwise(F.array_except(_texts(["total_revenue", *CHILD_REVENUE]), F.array("revenue"))), ["revenue"]),
+    }
+    named = placed.where("core <> ''")
+    mixed = named.groupBy("d", "core").agg(F.min("prefix").alias("low"), F.max("prefix").alias("high")).where("low <> high").select("d", "core")
+    ways["core"] = (named.join(mixed, ["d", "core"], "left_semi"), F.array_except(_texts(["", *COMPONENT_WORDS]), F.array("prefix")), ["prefix", "core"])
+    if same_bucket:
+        ways["bucket"] = (placed, F.array("canonical_attribute"), ["canonical_attribute", "bucket_entity"])
+    found = []
+    for rows, wanted, key in ways.values():
+        left = rows.select(F.col("id").alias("l_id"), F.col("canonical_attribute").alias("l_attribute"), "d", F.col("p").alias("l_p"), F.col("own").alias("block"), F.explode(wanted).alias(key[0]), *key[1:])
+        right = rows.select(F.col("id").alias("r_id"), F.col("canonical_attribute").alias("r_attribute"), "d", F.col("p").alias("r_p"), F.explode(beside).alias("block"), *key)
+        met = left.join(right, ["d", "block", *key]).where(F.col("l_id") != F.col("r_id"))
+        if key != ["canonical_attribute", "bucket_entity"]:
+            met = met.where("l_attribute <> r_attribute")
+        found.append((met.where(F.abs(F.col("l_p") - F.col("r_p")) <= window) if window >= 0 else met).select("l_id", "r_id"))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _texts(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def candidates(f: DataFrame, window: int = PAGE_WINDOW, near: DataFrame | None = None, same_bucket: bool = False) -> DataFrame:
+    """The pairs of ``near`` (else of ``near_ids``) with what predicates need of both sides; child l, parent r."""
     l, r = sides(f, [*PAIR, "bucket_entity"])  # noqa: E741
-    return ids.join(l, "l_id").join(r, "r_id")
+    return (near_ids(f, window, same_bucket) if near is None else near).join(l, "l_id").join(r, "r_id")
 
 
-def part_of(f: DataFrame, summing: DataFrame | None = None, window: int = PAGE_WINDOW) -> DataFrame:
+def part_of(f: DataFrame, summing: DataFrame | None = None, window: int = PAGE_WINDOW, near: DataFrame | None = None) -> DataFrame:
     """PART_OF edges, child to parent; 0.92 where the child is part of the parent's component sum."""
-    eligible = candidates(f, window).where(hierarchical("l", "r") & ~F.coalesce(sibling(), F.lit(False)))
+    eligible = candidates(f, window, near).where(hierarchical("l", "r") & ~F.coalesce(sibling(), F.lit(False)))
     if summing is None:
         summing = document_sums(eligible)
     s = summing.select(F.col("parent_id").alias("r_id"), F.explode("component_ids").alias("l_id"), F.lit(True).alias("_in"))
@@ -404,12 +427,12 @@ def validate(edges: DataFrame, f: DataFrame) -> DataFrame:
 EDGE_COLUMNS = ["source_fact_id", "target_fact_id", "relationship_type", "confidence", "reasoning", "supporting_fact_ids", "supporting_evidence_ids", "component_ids"]
 
 
-def proposed(f: DataFrame, window: int = PAGE_WINDOW, support: DataFrame | None = None) -> DataFrame:
+def proposed(f: DataFrame, window: int = PAGE_WINDOW, support: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
     """Edges of a fact set given by its ``features``, one a type and pair, not yet checked. ``f`` is read several times: write
-    it first. Transition support is looked for in ``support``, else in ``f``."""
+    it first. Transition support is looked for in ``support``, else in ``f``; ``near``: its ``near_ids``, where they are written."""
     empty = F.array().cast("array<string>")
     crossed = classify(with_transition(pairs(f), f if support is None else support)).withColumn("component_ids", empty)
-    return dedupe(crossed.select(*EDGE_COLUMNS).unionByName(computed_support(f).select(*EDGE_COLUMNS)).unionByName(part_of(f, window=window).withColumn("component_ids", empty).select(*EDGE_COLUMNS)))
+    return dedupe(crossed.select(*EDGE_COLUMNS).unionByName(computed_support(f).select(*EDGE_COLUMNS)).unionByName(part_of(f, window=window, near=near).withColumn("component_ids", empty).select(*EDGE_COLUMNS)))
 
 
 def valid(edges: DataFrame, f: DataFrame) -> DataFrame:
@@ -441,16 +464,40 @@ def touched_by(f: DataFrame, fact_ids: DataFrame) -> DataFrame:
     return f.join(ids.distinct(), "id", "left_semi")
 
 
-def replaced(edges: DataFrame, fresh: DataFrame, fact_ids: DataFrame) -> DataFrame:
-    """``edges`` with those at ``fact_ids`` (fact_id) taken from ``fresh``; edges between two other facts stay as they were."""
+def at_facts(rows: DataFrame, fact_ids: DataFrame) -> DataFrame:
+    """Rows (source_fact_id, target_fact_id, ...) with an end in ``fact_ids`` (fact_id)."""
+    ids = fact_ids.select("fact_id").distinct()
+    s = rows.join(ids.select(F.col("fact_id").alias("source_fact_id"), F.lit(True).alias("_s")), "source_fact_id", "left")
+    return s.join(ids.select(F.col("fact_id").alias("target_fact_id"), F.lit(True).alias("_t")), "target_fact_id", "left").where("_s or _t").select(*rows.columns)
+
+
+def explained_by(edges: DataFrame, f: DataFrame, moved: DataFrame) -> DataFrame:
+    """fact_id of facts at stored edges that a changed transition may decide anew: ``moved`` (features, old and new ones) holds the value of
+    one end, or was named as support."""
+    kinds = edges.where(F.col("relationship_type").isin("RECONCILES", "UNRESOLVED_DIFFERENCE", "POTENTIAL_CONTRADICTION"))
+    ends = kinds.select(F.explode(F.array("source_fact_id", "target_fact_id")).alias("id")).distinct()
+    values = ends.join(f.select("id", F.lower(F.trim("value")).alias("name")), "id").where("name <> ''")
+    moving = moved.where("transition").select(F.col("id").alias("s_id"), F.col("blob").alias("s_blob"))
+    held = values.join(holding(values.select("name").distinct(), moving), "name").select(F.col("id").alias("fact_id"))
+    named = kinds.where("relationship_type = 'RECONCILES'").select("source_fact_id", F.explode("supporting_fact_ids").alias("id")).join(moved.select("id"), "id", "left_semi")
+    return held.unionByName(named.select(F.col("source_fact_id").alias("fact_id"))).distinct()
+
+
+def summed_with(f: DataFrame, moved: DataFrame, fact_ids: DataFrame, window: int = PAGE_WINDOW) -> DataFrame:
+    """fact_id of facts whose sums or parts may change with ``fact_ids``: totals of their scopes, and facts near them. ``f`` holds the facts as
+    they are, ``moved`` the changed ones as they were and are."""
+    scope = lambda x: x.select(normalize_token(F.col("canonical_entity")).alias("scope_entity"), "period_key")
+    totals = f.where("revenue = 'total_revenue'").withColumn("scope_entity", normalize_token(F.col("canonical_entity"))).join(scope(moved).distinct(), ["scope_entity", "period_key"], "left_semi").select(F.col("id").alias("fact_id"))
+    both = f.unionByName(moved.join(f.select("id"), "id", "left_anti").select(*f.columns).dropDuplicates(["id"]))
+    pairs = near_ids(touched_by(both, fact_ids), window)
     ids = fact_ids.select("fact_id").distinct()
-    at = lambda e: e.select("id", F.explode(F.array("source_fact_id", "target_fact_id")).alias("fact_id")).join(ids, "fact_id", "left_semi").select("id").distinct()
-    return edges.join(at(edges), "id", "left_anti").unionByName(fresh.join(at(fresh), "id", "left_semi").select(*edges.columns))
+    parents = pairs.join(ids.withColumnRenamed("fact_id", "l_id"), "l_id", "left_semi").select(F.col("r_id").alias("fact_id"))
+    return totals.unionByName(parents).distinct()
 
 
-def candidate_log(f: DataFrame, window: int = PAGE_WINDOW) -> DataFrame:
+def candidate_log(f: DataFrame, window: int = PAGE_WINDOW, near: DataFrame | None = None) -> DataFrame:
     """Rejected PART_OF proposals among nearby facts, given by their ``features``, with reasons."""
-    p = candidates(f, window)
+    p = candidates(f, window, near)
     related = F.coalesce(hierarchical("l", "r") | hierarchical("r", "l"), F.lit(False)) | F.coalesce(sibling(), F.lit(False))
     allowed = F.coalesce(hierarchical("l", "r"), F.lit(False)) & ~F.coalesce(sibling(), F.lit(False))
     reason = first_match([(F.coalesce(sibling(), F.lit(False)), F.lit("Sibling facts cannot be PART_OF each other.")), (F.coalesce(hierarchical("r", "l"), F.lit(False)), F.lit("Parent cannot be PART_OF its child."))], F.lit("Candidate pair is not eligible."))

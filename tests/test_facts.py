@@ -88,7 +88,7 @@ def test_store_search_detail_replace_and_delete(spark, tmp_path):
     store.rebuild()
     assert store.table("facts").where("evidence_count = 2").count() == 1
     assert set(store.timings.stages) >= {"facts", "evidence", "edges", "clusters"} and "facts" in store.timings.render()
-    copy = store.snapshot(f"file://{tmp_path}/snap")
-    assert spark.read.parquet(f"{copy}/facts").count() == store.table("facts").count()
+    store.snapshot("named")
+    assert store.at("named").table("facts").count() == store.table("facts").count()
     store.clear()
     assert store.raw().count() == 0

@@ -138,7 +138,7 @@ def test_commands(spark, tmp_path, capsys):
 
 def test_legacy_and_direct_only(spark, built):
     old = spark.createDataFrame([(2, "E", "a", "v", "d", 1, "text", 0.5)], "ID int, entity string, attribute string, value string, source_document string, page_number int, evidence_text string, confidence double")
-    assert FactStore(spark, f"file://{tempfile.mkdtemp()}/s")._fs() and lookup.legacy_claims(old).first().ingest_ord == 2
+    assert lookup.legacy_claims(old).first().ingest_ord == 2
     store, _ = built
     mixed = store.table("evidence").withColumn("evidence_type", F.when(F.col("page_number") == 1, "SUPPORTING").otherwise("DIRECT"))
     facts, left = lookup.only_direct_evidence(store.table("facts"), mixed)
