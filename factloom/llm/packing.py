@@ -3,8 +3,11 @@
 Documents longer than a sequence are cut into full pieces, which fill sequences of their own; all other
 pieces go to open bins. A packer keeps a fixed number of open bins in a bitset keyed by free space: a piece
 goes to the open bin with the least sufficient space, a bin without space closes, and when one bin too many
-is open the fullest closes first. Each partition packs its own pieces, long ones first, so memory is
-bounded by ``open_bins`` and a lost task repeats its work on the same rows.
+is open the fullest closes first. Each partition packs its own pieces as they arrive, in a pseudo-random
+order; it looks ``WINDOW`` pieces ahead and places the longest of them first. So memory is bounded by
+``open_bins`` and the window, no partition is sorted by length, and a lost task repeats its work on the same
+rows. Pieces are dealt to partitions by their place in the input, not by a key, so no document and no group of
+copies is one task's work.
 
 Defined cases: null or empty text is one piece of one token (the end mark); repeated doc_ids are packed as
 rows of their own; an empty table gives an empty result; extra columns are ignored.
@@ -24,8 +27,9 @@ from pyspark.sql import functions as F
 from .common import keep_only, kept, texts
 
 CAPACITY = 2048
-OPEN_BINS = 65_536
-CACHED_WORDS = 1_000_000
+OPEN_BINS = 1024
+WINDOW = 1024
+CACHED_WORDS = 150_000
 
 
 class BestFit:
@@ -68,7 +72,8 @@ class WordTokenizer:
     The tokenizer lower-cases, drops white space and never joins text across it, so the ids of a text are
     those of its chunks, one after another; a word and the comma or stop after it are apart as well. Only
     blanks and line ends are cut here; the tokenizer treats any other white space inside a chunk itself. A
-    worker keeps its cache from task to task and empties it when it holds ``CACHED_WORDS`` chunks.
+    worker keeps its cache from task to task. A full cache, of ``CACHED_WORDS`` chunks, becomes the old one, from which chunks
+    that are still met are taken over, so memory is bounded and frequent chunks are never encoded again.
     """
 
     @classmethod
@@ -85,9 +90,13 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _learn(self, chunks: set[str]) -> None:
-        cache = self.cache
+        cache, old = self.cache, self.old
+        known = [c for c in chunks if c in old]
+        cache.update((c, old[c]) for c in known)
+        chunks.difference_update(known)
         stems = {c[:-1] if c[-1:] in (",", ".") and c[:-1].isalpha() else c for c in chunks}
         new = [c for c in stems | {",", "."} if c not in cache]
         for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
@@ -108,7 +117,7 @@ class WordTokenizer:
         except KeyError:
             pass
         if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
+            self.cache, self.old = {}, self.cache
         self._learn({c for c in chunks if c not in self.cache})
         return b"".join(map(self.cache.__getitem__, chunks))
 
@@ -140,8 +149,9 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
     return texts(docs).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(items: DataFrame, length_col: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, tie_cols: tuple[str, ...] = ()) -> DataFrame:
-    """``items`` plus ``sequence_id`` and ``offset``; lengths must be 1 to ``capacity``."""
+def pack(items: DataFrame, length_col: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, window: int = WINDOW) -> DataFrame:
+    """``items`` plus ``sequence_id`` and ``offset``; lengths must be 1 to ``capacity``. Rows of a partition are placed as they come, ``window``
+    at a time, the longest first."""
     schema = items.schema
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,21 +160,22 @@ def pack(items: DataFrame, length_col: str, capacity: int = CAPACITY, open_bins:
         base = TaskContext.get().partitionId() << 40
         packer = BestFit(capacity, open_bins)
         for batch in batches:
-            places = [packer.place(n) for n in batch.column(batch.schema.get_field_index(length_col)).to_pylist()]
+            lengths = batch.column(batch.schema.get_field_index(length_col)).to_pylist()
+            places: list[tuple[int, int]] = [(0, 0)] * len(lengths)
+            for low in range(0, len(lengths), window):
+                for i in sorted(range(low, min(low + window, len(lengths))), key=lengths.__getitem__, reverse=True):
+                    places[i] = packer.place(lengths[i])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([base + b for b, _ in places], pa.int64()), pa.array([o for _, o in places], pa.int64())],
                 [*batch.schema.names, "sequence_id", "offset"],
             )
 
-    ordered = items.sortWithinPartitions(F.col(length_col).desc(), *tie_cols)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return ordered.mapInArrow(fit, f"{fields}, sequence_id long, offset long")
+    return items.mapInArrow(fit, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """Tokenize, cut and pack ``docs``; one row per piece."""
-    cut = pieces(docs, vocabulary or tokenizer_path(), capacity)
-    spread = cut.repartition(F.xxhash64("doc_id", "piece"))
-    return pack(spread, "length", capacity, open_bins, ("doc_id", "piece", "ids_crc32")).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
-    )
+    cut = pieces(docs, vocabulary or tokenizer_path(), capacity).withColumn("_at", F.monotonically_increasing_id())
+    spread = cut.repartition("_at").sortWithinPartitions(F.xxhash64("_at"))
+    return pack(spread, "length", capacity, open_bins).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

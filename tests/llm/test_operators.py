@@ -177,6 +177,60 @@ def test_best_fit_rules():
     assert [p.place(n)[0] for n in (6, 7, 3)] == [0, 1, 0]  # 7 opens a second bin; of both it is the fuller one and closes
 
 
+def plain_packing(lengths, capacity, most, window):
+    """(bin, offset) of each piece by trying every open bin."""
+    free, used, out = {}, 0, {}
+    for low in range(0, len(lengths), window):
+        for i in sorted(range(low, min(low + window, len(lengths))), key=lambda i: -lengths[i]):
+            fits = [(space, b) for b, space in free.items() if space >= lengths[i]]
+            if fits:
+                b = min(fits)[1]
+            else:
+                b, used = used, used + 1
+                free[b] = capacity
+            out[i] = (b, capacity - free[b])
+            free[b] -= lengths[i]
+            if not free[b]:
+                del free[b]
+            if len(free) > most:
+                del free[min(free, key=lambda b: free[b])]
+    return out, used
+
+
+@pytest.mark.parametrize("most, window", [(4, 1), (4, 16), (1000, 64)])
+def test_packs_as_a_plain_packer_does(spark, most, window):
+    """The same number of sequences, and the same fill of each: which of two bins of one free space is taken makes no difference."""
+    rng = random.Random(most + window)
+    lengths = [rng.randint(1, 100) for _ in range(700)]
+    df = spark.createDataFrame([(n,) for n in lengths], "n int").coalesce(1)
+    rows = packing.pack(df, "n", 100, most, window).collect()
+    assert [r.n for r in rows] == lengths
+    out, used = plain_packing(lengths, 100, most, window)
+    fill = lambda pairs: sorted(Counter(b for b, n in pairs for _ in range(n)).values())
+    assert len({r.sequence_id for r in rows}) == used
+    assert fill((r.sequence_id, r.n) for r in rows) == fill((out[i][0], n) for i, n in enumerate(lengths))
+
+
+def test_few_sequences(spark):
+    """Within two in a hundred of the lower bound, with the production window and bound."""
+    rng = random.Random(9)
+    lengths = [min(2048, int(rng.lognormvariate(6, 1.2)) + 1) for _ in range(20_000)]
+    rows = packing.pack(spark.createDataFrame([(n,) for n in lengths], "n int").coalesce(1), "n").select("sequence_id").distinct().count()
+    assert rows <= 1.02 * -(-sum(lengths) // 2048)
+
+
+def test_pieces_of_one_id_are_dealt_out(spark):
+    """Nine in ten rows have no id and one text; no task gets more than its share."""
+    same = spark.range(9000, numPartitions=4).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
+    docs = same.unionByName(spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = [r["count"] for r in packing.pack_documents(docs).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(parts) == 10_000 and max(parts) < 2 * 10_000 / len(parts) and len(parts) > 1
+
+
 # ---------------------------------------------------------------- 5
 
 
