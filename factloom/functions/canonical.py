@@ -139,11 +139,11 @@ def canonicalize_date(value: Column) -> Column:
     return F.coalesce(iso, named, numeric, monthly)
 
 
-def canonicalize_money(value: Column, unit: Column) -> Column:
-    """``amount [currency] [scale]``, null for values that are no money or scaled amount."""
+def canonicalize_money(value: Column, unit: Column, code: Column | None = None) -> Column:
+    """``amount [currency] [scale]``, null for values that are no money or scaled amount; ``code``: the currency, where it is known."""
     blob = joined(value, unit)
     amount = F.regexp_extract(F.replace(blob, F.lit(","), F.lit("")), AMOUNT, 0)
-    code, scale = F.nullif(currency_code(value, unit), F.lit("")), F.nullif(canonicalize_unit(unit, value), F.lit(""))
+    code, scale = F.nullif(currency_code(value, unit) if code is None else code, F.lit("")), F.nullif(canonicalize_unit(unit, value), F.lit(""))
     monetary = code.isNotNull() | scale.isNotNull() | word_in(F.lower(blob), "inr|usd|eur|gbp|rs|rupee|crore|lakh|million|billion")
     return F.when((amount != "") & monetary, F.concat_ws(" ", fmt_g(amount.try_cast("double")), code, scale))
 
@@ -163,9 +163,12 @@ def canonicalize_address(value: Column) -> Column:
 
 def canonicalize_value(value: Column, unit: Column, attribute: Column) -> Column:
     t = squash(value)
-    return F.when(t == "", F.lit("")).otherwise(
-        F.coalesce(canonicalize_date(t), canonicalize_money(t, unit), F.when(looks_like_address(t, attribute), canonicalize_address(t)), t)
-    )
+    return chosen_value(t, F.coalesce(canonicalize_date(t), canonicalize_money(t, unit)), looks_like_address(t, attribute), canonicalize_address(t))
+
+
+def chosen_value(t: Column, typed: Column, is_address: Column, address: Column) -> Column:
+    """The date or amount that a value states, else its address, else its words."""
+    return F.when(t == "", F.lit("")).otherwise(F.coalesce(typed, F.when(is_address, address), t))
 
 
 def value_dimension(value: Column, unit: Column) -> Column:
@@ -294,9 +297,9 @@ def canonicalize_entity(entity: Column, attribute: Column, raw_attribute: Column
     )
 
 
-def conflicts(attribute: Column, value: Column, unit: Column) -> Column:
+def conflicts(attribute: Column, headcount: Column, ratio: Column) -> Column:
     """Does the value contradict the metric: no headcount, or a ratio for a revenue level?"""
-    return ((attribute == "employee_count") & ~is_plausible_headcount(value, unit)) | (attribute.isin(LEVEL_ATTRIBUTES) & (value_dimension(value, unit) == "ratio"))
+    return ((attribute == "employee_count") & ~headcount) | (attribute.isin(LEVEL_ATTRIBUTES) & ratio)
 
 
 def canonicalize(facts: DataFrame) -> DataFrame:
@@ -325,19 +328,23 @@ def canonicalize(facts: DataFrame) -> DataFrame:
     person = extract_person(F.col("entity"), F.col("raw_attribute"), F.col("value"))
     f = f.withColumn("value", F.when(F.col("_ceo") & (person != ""), person).otherwise(F.col("value")))
     f = with_attribute(f, "raw_attribute", "entity", "value", "_attr")
-    f = f.withColumn("_value", canonicalize_value(F.col("value"), F.col("unit"), F.col("_attr")))
-    f = f.withColumn("_fallback", to_snake(strip_period_tokens(F.col("raw_attribute"))))
-    demoted = conflicts(F.col("_attr"), F.col("_value"), F.col("unit"))
-    fallback = F.when(F.col("_fallback").isin(TEMPORAL) | conflicts(F.col("_fallback"), F.col("_value"), F.col("unit")), F.lit("value")).otherwise(F.col("_fallback"))
-    f = f.withColumn("canonical_attribute", F.when(demoted, fallback).otherwise(F.col("_attr")))
-    f = f.withColumn("canonical_value", F.when(F.col("canonical_attribute") == F.col("_attr"), F.col("_value")).otherwise(canonicalize_value(F.col("value"), F.col("unit"), F.col("canonical_attribute"))))
+    f = f.withColumns({"_t": squash(F.col("value")), "_code": currency_code(F.col("value"), F.col("unit")), "_fallback": to_snake(strip_period_tokens(F.col("raw_attribute")))})
+    t, unit = F.col("_t"), F.col("unit")
+    f = f.withColumns({"_typed": F.coalesce(canonicalize_date(t), canonicalize_money(t, unit, F.col("_code"))), "_address": canonicalize_address(t)})
+    value_for = lambda attribute: chosen_value(t, F.col("_typed"), looks_like_address(t, F.col(attribute)), F.col("_address"))
+    f = f.withColumn("_value", value_for("_attr"))
+    f = f.withColumns({"_head": is_plausible_headcount(F.col("_value"), unit), "_ratio": value_dimension(F.col("_value"), unit) == "ratio"})
+    wrong = lambda attribute: conflicts(F.col(attribute), F.col("_head"), F.col("_ratio"))
+    fallback = F.when(F.col("_fallback").isin(TEMPORAL) | wrong("_fallback"), F.lit("value")).otherwise(F.col("_fallback"))
+    f = f.withColumn("canonical_attribute", F.when(wrong("_attr"), fallback).otherwise(F.col("_attr")))
+    f = f.withColumn("canonical_value", F.when(F.col("canonical_attribute") == F.col("_attr"), F.col("_value")).otherwise(value_for("canonical_attribute")))
     f = f.withColumn("canonical_entity", canonicalize_entity(F.col("entity"), F.col("canonical_attribute"), F.col("raw_attribute")))
     return f.withColumns(
         {
-            "currency": blank_to_null(currency_code(F.col("value"), F.col("unit"))),
+            "currency": blank_to_null(F.col("_code")),
             "attribute": F.col("canonical_attribute"),
             "entity": F.coalesce(blank_to_null(F.col("entity")), F.col("canonical_entity")),
         }
-    ).drop("_ceo", "_attr", "_value", "_fallback")
+    ).drop("_ceo", "_attr", "_value", "_fallback", "_t", "_code", "_typed", "_address", "_head", "_ratio")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.canonical import CHILD_REVENUE, LEVEL_ATTRIBUTES, NO_HEADCOUNT, canonicalize, dimensions_compatible, value_dimension
 from factloom.functions.text import squash, text, word_in
+from factloom.operators.relations import type_counts
 
 # Fixed values.
 NO_HEADCOUNT_UNITS = ["million", "billion", "crore", "lakh", "%", "inr", "usd", "eur", "gbp", "shares", "equity shares", "options"]
@@ -21,7 +22,8 @@ def _dims(facts: DataFrame) -> DataFrame:
 
 
 def audit(facts: DataFrame, evidence: DataFrame, edges: DataFrame, clusters: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """(metric, value): one conditional aggregate per table, anti-joins for what is missing."""
+    """(metric, value): one conditional aggregate per table, anti-joins for what is missing. Edges of each type and attributes of mixed
+    dimensions follow as metrics of their own (``relationships_by_type.X``, ``mixed_dimension_attribute.X``)."""
     d = facts.withColumn("dim", value_dimension(F.col("canonical_value"), F.col("unit")))
     head, level = F.col("canonical_attribute") == "employee_count", F.col("canonical_attribute").isin(LEVEL_ATTRIBUTES)
     bad_head = word_in(text(F.col("raw_attribute")), NO_HEADCOUNT) | F.lower(F.trim(text(F.col("unit")))).isin(NO_HEADCOUNT_UNITS) | text(F.col("canonical_value")).rlike(RATIO)
@@ -51,7 +53,11 @@ def audit(facts: DataFrame, evidence: DataFrame, edges: DataFrame, clusters: Dat
         count(missing(facts, evidence), "facts_missing_evidence"), count(missing(facts, embeddings), "facts_missing_embedding"),
     ]
     rows = [f.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("long").alias("value")) for c in f.columns])).alias("m")).select("m.*") for f in frames]
-    return reduce(DataFrame.unionByName, rows)
+    named = [
+        type_counts(edges).select(F.concat(F.lit("relationships_by_type."), "relationship_type").alias("metric"), F.col("n").alias("value")),
+        mixed_dimensions(facts).select(F.concat(F.lit("mixed_dimension_attribute."), "canonical_attribute").alias("metric"), F.lit(1).cast("long").alias("value")),
+    ]
+    return reduce(DataFrame.unionByName, [*rows, *named])
 
 
 def missing(facts: DataFrame, other: DataFrame) -> DataFrame:

@@ -147,9 +147,10 @@ def sibling() -> Column:
 
 
 def pairs(f: DataFrame) -> DataFrame:
-    """Unordered pairs of one attribute and one original entity: an equi-join, the smaller id on the left."""
+    """Unordered pairs of one attribute and one original entity that can be compared: an equi-join, the smaller id on the left."""
     left, right = sides(f, [*PAIR, "bucket_entity"])
-    return left.join(right, (F.col("l_canonical_attribute") == F.col("r_canonical_attribute")) & (F.col("l_bucket_entity") == F.col("r_bucket_entity")) & (F.col("l_id") < F.col("r_id")))
+    same = [F.col(f"l_{c}") == F.col(f"r_{c}") for c in ("canonical_attribute", "bucket_entity", "entity_key")]
+    return left.join(right, [*same, F.col("l_id") < F.col("r_id"), dimensions_compatible(*_c("dimension"))])
 
 
 SUPPORTED_BY = ["id", "value", "eq_value", "amount", "amount_unit", "dimension", "period_key"]
@@ -507,6 +508,15 @@ def candidate_log(f: DataFrame, window: int = PAGE_WINDOW, near: DataFrame | Non
     )
 
 
+def proposal_log(rejected: DataFrame, edges: DataFrame, facts: DataFrame) -> DataFrame:
+    """All proposals: those of ``rejected`` (a ``candidate_log``), and the edges that were accepted, with their reasons."""
+    view = edge_view(edges, facts)
+    accepted = view.select(
+        "source_fact_id", "target_fact_id", F.col("source_statement").alias("source_fact"), F.col("target_statement").alias("target_fact"), F.col("relationship_type").alias("proposed_relationship"), F.lit(True).alias("accepted"), F.col("reasoning").alias("reason")
+    )
+    return rejected.unionByName(accepted)
+
+
 def edge_view(edges: DataFrame, facts: DataFrame) -> DataFrame:
     """Edges with both statements, an arrow of them and what the direction means, in listing order."""
     view = facts.select("id", "entity", "attribute", "value", "unit", "period", statement(F.coalesce(F.nullif(F.col("canonical_attribute"), F.lit("")), "attribute"), F.col("value"), F.col("unit")).alias("statement"))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,57 +107,95 @@ def embed_with(texts: DataFrame, id_col: str, text_col: str, make_model: Callabl
     return texts.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, embedding array<float>")
 
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK, VECTOR_BLOCK = 2048, 65_536
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", k: int = 5) -> DataFrame:
     """Exact inner-product neighbours of each query, itself left out: (query_id, id, similarity, rank). Similarities are
-    rounded to nine places, so that equal vectors tie, and ties go by id.
+    rounded to nine places, so that equal vectors tie, and ties go by id. Of rows that share a query id one is asked.
 
-    The stated query set meets all vectors in blocks: at most ``QUERY_BLOCK`` queries are shared at once, a task multiplies
-    them with its batches and keeps its ``k`` best of each, and only those are shuffled. A block more is a pass more.
+    Both sides are dealt to blocks of about ``QUERY_BLOCK`` queries and ``VECTOR_BLOCK`` vectors, and a task multiplies one block of each: it
+    holds the queries, which come first, as a matrix, streams the vectors past them and keeps the ``k`` best. Only those
+    are shuffled again. Nothing passes through the driver but two counts; all vectors may be queries, at the cost of
+    sending every vector to each block of queries.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col(id_col).alias("id"), "embedding").where("id is not null and embedding is not null")
-    q = queries.select(F.col(id_col).alias("query_id"), "embedding").where("query_id is not null and embedding is not null")
+    q = queries.select(F.col(id_col).alias("id"), "embedding").where("id is not null and embedding is not null").dropDuplicates(["id"])
     kind = v.schema["id"].dataType.simpleString()
     schema = f"query_id {kind}, id {kind}, similarity double"
-    blocks = max(1, -(-q.count() // (QUERY_BLOCK // 2)))  # half full on average, so that a block's size is bounded in practice
-    found = []
-    for b in range(blocks):
-        block = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
-        if len(block):
-            shared = spark.sparkContext.broadcast((block["query_id"].to_numpy(), _unit(block["embedding"])))
-            found.append(v.mapInPandas(_best(shared, k), schema))
-    if not found:
-        return spark.createDataFrame([], f"{schema}, rank int")
+    n_q, n_v = q.count(), v.count()
+    wide = max(1, -(-n_q // QUERY_BLOCK))
+    deep = max(1, -(-n_v // VECTOR_BLOCK), -(-min(spark.sparkContext.defaultParallelism, n_v // 256) // wide))
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(deep)).cast("int")  # by place: many rows of one id are no single task's work
+    asked = q.select("id", "embedding", F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), F.lit(wide)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(deep - 1))).alias("p"))
+    met = v.select("id", "embedding", F.lit(1).alias("side"), dealt.alias("p")).select("id", "embedding", "side", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("g"), "p")
+    cells = asked.unionByName(met).repartition(wide * deep, "g", "p").sortWithinPartitions("g", "p", "side").select("g", "p", "side", "id", "embedding")
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best))
-    return ranked.where(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
+    return cells.mapInArrow(_best(k), schema).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(r, np.float64) for r in rows])
+def _unit(rows: pa.Array) -> np.ndarray:
+    m = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
     n = np.sqrt((m * m).sum(1, keepdims=True))
     return m / np.where(n > 0, n, 1.0)
 
 
-def _best(shared, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
-        held: pd.DataFrame | None = None
-        for b in batches:
-            if b.empty:
-                continue
-            s = np.round(q @ _unit(b["embedding"]).T, 9)
-            own = b["id"].to_numpy()
-            s[ids[:, None] == own[None, :]] = -np.inf
-            order = np.argsort(own, kind="stable")  # ties go by id
-            top = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
-            new = pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "id": own[top].ravel(), "similarity": np.take_along_axis(s, top, 1).ravel()})
-            held = new if held is None else pd.concat([held, new])
-            held = held[np.isfinite(held["similarity"])].sort_values(["query_id", "similarity", "id"], ascending=[True, False, True], kind="stable").groupby("query_id", sort=False).head(k)
-        if held is not None:
-            yield held
+def _ids(column: pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist(), str) if pa.types.is_string(column.type) else column.to_numpy(zero_copy_only=False)
+
+
+class _Cell:
+    """One block of queries, and the best of the vectors that have passed."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.k = ids, queries, k
+        self.place = {i: n for n, i in enumerate(ids.tolist())}
+        self.near: np.ndarray | None = None
+        self.similar = np.empty((len(ids), 0))
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        s = np.round(self.queries @ vectors.T, 9)
+        own = [(self.place[i], n) for n, i in enumerate(ids.tolist()) if i in self.place]
+        if own:
+            s[tuple(zip(*own, strict=True))] = -np.inf
+        order = np.argsort(ids, kind="stable")  # ties go by id
+        top = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, : self.k]]
+        near, similar = ids[top], np.take_along_axis(s, top, 1)
+        if self.near is not None:
+            near, similar = np.concatenate([self.near, near], 1), np.concatenate([self.similar, similar], 1)
+        row = np.repeat(np.arange(len(near)), near.shape[1])
+        keep = np.lexsort((near.ravel(), -similar.ravel(), row)).reshape(near.shape)[:, : self.k]
+        self.near, self.similar = near.ravel()[keep], similar.ravel()[keep]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.near is not None:
+            good = np.isfinite(self.similar).ravel()
+            asked = np.repeat(self.ids, self.near.shape[1])[good]
+            yield pa.RecordBatch.from_arrays([pa.array(asked.tolist()), pa.array(self.near.ravel()[good].tolist()), pa.array(self.similar.ravel()[good])], ["query_id", "id", "similarity"])
+
+
+def _best(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, cell, asked = None, None, []
+        for batch in batches:
+            g, p, side = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            ids = _ids(batch.column(3))
+            cuts = [0, *(np.flatnonzero((np.diff(g) != 0) | (np.diff(p) != 0) | (np.diff(side) != 0)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                if low == high:
+                    continue
+                if at != (g[low], p[low]):
+                    if cell:
+                        yield from cell.rows()
+                    at, cell, asked = (g[low], p[low]), None, []
+                rows = _unit(batch.column(4).slice(low, high - low))
+                if side[low] == 0:
+                    asked.append((ids[low:high], rows))
+                elif asked:
+                    cell = cell or _Cell(np.concatenate([i for i, _ in asked]), np.concatenate([m for _, m in asked]), k)
+                    cell.meet(ids[low:high], rows)
+        if cell:
+            yield from cell.rows()
 
     return run

@@ -10,16 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import canonical as C
-from factloom.functions.text import fmt_g
+from factloom.functions.text import fmt_g, merge_reasons
 from factloom.operators import audit as A
 from factloom.operators import facts as O
+from factloom.operators import ids as I
+from factloom.operators import links as N
 from factloom.operators import lookup as L
 from factloom.operators import relations as R
 from factloom.operators import vectors as V
 from factloom.sources import chunks, extract
 from factloom.sources.raw_facts import RAW_FACTS_SQL, raw_facts
 from factloom.store import FactStore, work_folder
+from factloom.streaming.confidence import evidence_of, keep_confidences
 from factloom.streaming.ingest import ingest, raw_stream
+from factloom.tables import KeyedTable
 
 _STORES: dict[tuple[str, str], FactStore] = {}
 
@@ -168,12 +172,6 @@ def canonical_address(spark, sf):
     return table(spark, sf, "part").select("p_partkey", C.canonicalize_value(raw, F.lit(None).cast("string"), F.lit("registered address")).alias("address"))
 
 
-@query("SELECT l, r, CASE l WHEN 'ratio' THEN r = 'ratio' WHEN 'count' THEN r IN ('count', 'plain') WHEN 'plain' THEN r IN ('money', 'scaled', 'plain', 'count') ELSE r IN ('money', 'scaled', 'plain') END AS compatible FROM (VALUES ('money'), ('ratio'), ('count'), ('scaled'), ('plain')) a(l), (VALUES ('money'), ('ratio'), ('count'), ('scaled'), ('plain')) b(r)")
-def value_dimension_matrix(spark, sf):
-    d = spark.createDataFrame([(a, b) for a in C.COMPATIBLE for b in C.COMPATIBLE], "l string, r string")
-    return d.select("l", "r", C.dimensions_compatible(F.col("l"), F.col("r")).alias("compatible"))
-
-
 @query(_CANON + "SELECT ca AS canonical_attribute, vk AS value_key, period, sum(evidence_count)::bigint AS evidence_count, count(*) AS fact_count FROM facts GROUP BY ca, vk, period")
 def fact_clusters(spark, sf):
     return store(spark, sf).table("clusters").select("canonical_attribute", F.col("eq_value").alias("value_key"), "period", "evidence_count", F.size("supporting_fact_ids").cast("long").alias("fact_count"))
@@ -420,12 +418,43 @@ def similar_facts(spark, sf):
     return store(spark, sf).similar(first_total(spark, sf), 10).select("rank", F.round("similarity", 4).alias("similarity"))
 
 
-@query()
+_SPACE = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_LINES = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+
+def _stripped(c: str) -> str:
+    return f"regexp_replace({c}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
+def _window_end(start: str) -> str:
+    """Where the window at ``start`` of text t ends: its last strong break in the later part, else its whole length."""
+    w = f"substr(t, {start} + 1, 1800)"
+    last = lambda b: f"(1801 - strpos(reverse({w}), reverse({b})))"  # noqa: E731  one behind the break
+    cases = " ".join(f"WHEN strpos(reverse({w}), reverse({b})) > 0 AND {last(b)} - length({b}) >= 1080 THEN {start} + {last(b)}" for b in ("chr(10) || chr(10)", "chr(10)", "'. '", "'; '"))
+    return f"(CASE WHEN {start} + 1800 >= length(t) THEN length(t) {cases} ELSE {start} + 1800 END)::bigint"
+
+
+_PIECES = f"""WITH RECURSIVE pages AS (
+  SELECT 'doc_' || doc_id AS d, p::int AS page_number, substr(text, (p - 1) * 4000 + 1, 4000) AS raw FROM (SELECT doc_id, text, unnest(range(1, greatest(ceil(length(text) / 4000.0), 1)::bigint + 1)) AS p FROM documents)
+), clean AS (
+  SELECT d, page_number, {_stripped(f"regexp_replace(array_to_string(list_transform(regexp_split_to_array(raw, '{_LINES}'), lambda x: {_stripped('x')}), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g')")} AS t FROM pages
+), steps(d, page_number, t, k, start, stop) AS (
+  SELECT d, page_number, t, 0, 0::bigint, {_window_end("0")} FROM clean WHERE t <> ''
+  UNION ALL SELECT d, page_number, t, k + 1, start, {_window_end("start")} FROM (SELECT d, page_number, t, k, greatest(stop - 200, start + 1) AS start FROM steps WHERE stop < length(t))
+), pieces AS (SELECT d AS source_document, page_number, k, {_stripped("substr(t, start + 1, stop - start)")} AS text FROM steps)
+"""
+
+
+@query(_PIECES + "SELECT source_document, page_number, text, (row_number() OVER (PARTITION BY source_document ORDER BY page_number, k) - 1)::int AS chunk_index FROM pieces WHERE text <> ''")
 def chunk_documents(spark, sf):
     return chunks.chunk_pages(chunks.text_pages(table(spark, sf, "documents")))
 
 
-_SPACE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+@query(_PIECES + "SELECT source_document, page_number, text, (row_number() OVER (PARTITION BY source_document, page_number ORDER BY k) - 1)::int AS chunk_index FROM pieces WHERE text <> ''")
+def split_text_lateral(spark, sf):
+    """The splitter as a table function in SQL, page by page."""
+    chunks.register_split_text(spark)
+    return spark.sql("SELECT p.source_document, p.page_number, c.text, c.chunk_index FROM {pages} p, LATERAL split_text(p.text, 1800, 200) c", pages=chunks.text_pages(table(spark, sf, "documents")))
 
 
 @query(f"SELECT doc_id, nullif(regexp_replace(substr(text, 11, 60), '^{_SPACE}+|{_SPACE}+$', '', 'g'), '') AS aligned FROM documents")
@@ -500,3 +529,221 @@ def stream_ingest(spark, sf):
     store(spark, sf).raw().repartition(3).write.parquet(f"{folder}/in")
     ingest(raw_stream(spark, f"{folder}/in", 1), s, f"{folder}/progress").awaitTermination()
     return s.rebuild(link=False).table("facts").select("id", "evidence_count")
+
+
+# ---------------------------------------------------------------- stores that grow
+
+
+def _own_store(spark, sf, raw) -> FactStore:
+    s = FactStore(spark, f"{work_folder(spark)}/{uuid.uuid4().hex}")
+    s.append(raw)
+    return s
+
+
+@query(_CANON + EVERY + " SELECT 'fact' AS what, id, evidence_count AS n, round(confidence, 6) AS confidence FROM facts UNION ALL SELECT kind, lid || '|' || rid, 0, 0.0 FROM every WHERE kind <> 'COMPUTED_SUPPORT'")
+def incremental_add(spark, sf):
+    """A layer without the documents on people and boards, to which these are then added; facts and edges equal those of one load."""
+    raw = store(spark, sf).raw()
+    late = F.col("source_document").isin("people.pdf", "board.pdf", "notes.pdf")
+    s = _own_store(spark, sf, raw.where(~late)).rebuild().add(raw.where(late))
+    undirected = F.col("relationship_type").isin(R.UNDIRECTED)
+    pair = F.concat_ws("|", F.when(undirected, F.col("pair_low")).otherwise(F.col("source_fact_id")), F.when(undirected, F.col("pair_high")).otherwise(F.col("target_fact_id")))
+    edges = s.table("edges").where("relationship_type <> 'COMPUTED_SUPPORT'").select(F.col("relationship_type").alias("what"), pair.alias("id"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("confidence"))
+    return s.table("facts").select(F.lit("fact").alias("what"), "id", F.col("evidence_count").alias("n"), F.round("confidence", 6).alias("confidence")).unionByName(edges)
+
+
+@query(_CANON + "SELECT id, evidence_count FROM facts")
+def stream_replay(spark, sf):
+    """Every document comes twice, first with other values, and the second half of the stream is replayed under a new checkpoint; the facts equal
+    those of one load."""
+    raw, folder = store(spark, sf).raw(), f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    s = FactStore(spark, f"{folder}/store")
+    by_document = lambda df: df.repartition(3, "source_document")  # noqa: E731  a document is in one file
+    by_document(raw.withColumns({"value": F.concat(F.lit("9"), "value"), "page_number": F.col("page_number") + 1})).write.parquet(f"{folder}/in/round=1")
+    run = lambda n, k: ingest(raw_stream(spark, f"{folder}/in/round={n}", 1), s, f"{folder}/progress-{k}", name=f"round {n}", replace_documents=True).awaitTermination()
+    run(1, "a")
+    by_document(raw).write.parquet(f"{folder}/in/round=2")
+    run(2, "b")
+    run(1, "c")  # a lost checkpoint: every batch comes again, with numbers that the store knows
+    return s.rebuild(link=False).table("facts").select("id", "evidence_count")
+
+
+@query(_CANON + "SELECT fact_id, round(confidence, 6) AS confidence, evidence_count FROM strength")
+def stream_confidence(spark, sf):
+    """Claims streamed file by file through a state per fact into a keyed table; its last rows are the batch result."""
+    folder = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    claims = evidence_of(store(spark, sf).table("claims"))
+    claims.repartition(3).write.parquet(f"{folder}/in")
+    found = KeyedTable(spark, f"{folder}/confidence", ["fact_id"])
+    keep_confidences(spark, spark.readStream.schema(claims.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), found, f"{folder}/progress").awaitTermination()
+    return found.read().select("fact_id", F.round("confidence", 6).alias("confidence"), "evidence_count")
+
+
+@query("SELECT c_custkey, arg_max(o_totalprice, o_orderkey) AS last_price, max(o_orderkey) AS last_order FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 7 <> 3 OR o_orderkey % 2 = 1 GROUP BY c_custkey")
+def keyed_upsert(spark, sf):
+    """Orders upserted by customer in three steps; each customer's last order stays."""
+    orders = table(spark, sf, "orders").join(table(spark, sf, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey")).where("o_orderkey % 7 <> 3 or o_orderkey % 2 = 1")
+    rows = orders.select("c_custkey", F.col("o_totalprice").alias("last_price"), F.col("o_orderkey").alias("last_order"))
+    t = KeyedTable(spark, f"{work_folder(spark)}/{uuid.uuid4().hex}", ["c_custkey"])
+    low, high = rows.approxQuantile("last_order", [0.4, 0.8], 0.05)
+    for step in (rows.where(F.col("last_order") <= low), rows.where((F.col("last_order") > low) & (F.col("last_order") <= high)), rows.where(F.col("last_order") > high)):
+        t.upsert(step, F.col("last_order"))
+    return t.read()
+
+
+@query(_CANON + "SELECT id, CASE WHEN ca = 'account_balance' THEN row_number() OVER (PARTITION BY ca = 'account_balance' ORDER BY id) ELSE row_number() OVER (PARTITION BY ca = 'account_balance' ORDER BY id) + count(*) FILTER (WHERE ca = 'account_balance') OVER () END AS number FROM facts")
+def gapless_ids(spark, sf):
+    """Balances are numbered first; all other facts follow the largest stored number."""
+    f, folder = store(spark, sf).table("facts").select("id", "canonical_attribute"), f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    stored = I.gapless(f.where("canonical_attribute = 'account_balance'"), ["id"], folder)
+    rest = I.gapless(f.where("canonical_attribute <> 'account_balance'"), ["id"], folder, I.next_number(stored, "number"))
+    return stored.unionByName(rest).select("id", "number")
+
+
+@query("SELECT o_orderkey AS k, o_orderstatus AS status, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS seen FROM orders")
+def table_versions(spark, sf):
+    """A table that gains a column in its second version: rows of the first read as null there; the first version is read as it was."""
+    o = table(spark, sf, "orders")
+    t = KeyedTable(spark, f"{work_folder(spark)}/{uuid.uuid4().hex}", ["k"])
+    first = t.append(o.where("o_orderkey % 2 = 1").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status")))
+    t.append(o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price")))
+    old = t.read(first).select("k", F.lit(1).alias("_old"))
+    return t.read().join(old, "k", "left").select("k", "status", "price", F.coalesce("_old", F.lit(2)).alias("seen"))
+
+
+# ---------------------------------------------------------------- merges, answers, proposals, audits
+
+
+_BALANCE = "CASE WHEN ca = 'account_balance' THEN min(id) OVER (PARTITION BY entity, ca) ELSE id END"
+
+
+@query(
+    _CANON
+    + f", m AS (SELECT id AS old_id, {_BALANCE} AS keeper_id FROM facts), moved AS (SELECT keeper_id AS id, source_document, page_number, evidence_text, max(confidence) AS c FROM evidence JOIN m ON old_id = fact_id GROUP BY ALL) "
+    + "SELECT id, round(1 - product(1 - c), 6) AS confidence, count(*) AS evidence_count FROM moved GROUP BY id"
+)
+def merge_by_mapping(spark, sf):
+    """The balances of a customer become one fact, whatever their values; evidence moves along."""
+    s = store(spark, sf)
+    f, first = s.table("facts"), s.table("facts").where("canonical_attribute = 'account_balance'").groupBy("entity").agg(F.min("id").alias("_first"))
+    keeper = F.when(F.col("canonical_attribute") == "account_balance", F.col("_first")).otherwise(F.col("id"))
+    mapping = f.join(first, "entity", "left").select(F.col("id").alias("old_id"), keeper.alias("keeper_id"))
+    facts, evidence, _ = O.apply_merge(f, s.table("evidence"), s.table("edges"), mapping)
+    n = evidence.groupBy(F.col("fact_id").alias("id")).agg(F.count(F.lit(1)).alias("evidence_count"))
+    return facts.drop("evidence_count").join(n, "id").select("id", F.round("confidence", 6).alias("confidence"), "evidence_count")
+
+
+@query(_CANON + "SELECT fact_id AS id, round(1 - product(1 - confidence), 6) AS confidence FROM evidence GROUP BY fact_id HAVING count(*) FILTER (WHERE source_document <> 'notes.pdf') = 0 UNION ALL SELECT fact_id, round(1 - product(1 - confidence), 6) FROM evidence WHERE source_document <> 'notes.pdf' GROUP BY fact_id")
+def direct_evidence_only(spark, sf):
+    """Notes count as supporting evidence and go; facts with nothing else keep their confidence."""
+    s = store(spark, sf)
+    marked = s.table("evidence").withColumn("evidence_type", F.when(F.col("source_document") == "notes.pdf", "supporting").otherwise(F.col("evidence_type")))
+    return L.only_direct_evidence(s.table("facts"), marked)[0].select("id", F.round("confidence", 6).alias("confidence"))
+
+
+@query(_CANON + EVERY + ", ends AS (SELECT lid AS id FROM every UNION ALL SELECT rid FROM every), n AS (SELECT id, count(*) AS edges_found FROM ends GROUP BY id), e AS (SELECT fact_id AS id, count(*) AS evidence_found FROM evidence WHERE source_document <> 'notes.pdf' GROUP BY fact_id) SELECT f.id, f.evidence_count, coalesce(e.evidence_found, 0) AS evidence_found, coalesce(n.edges_found, 0) AS edges_found FROM facts f LEFT JOIN e USING (id) LEFT JOIN n USING (id) WHERE f.evidence_count <> coalesce(e.evidence_found, 0)")
+def provenance_gaps(spark, sf):
+    """Facts whose stored count is not what is left of the evidence without the notes."""
+    s = store(spark, sf)
+    return A.provenance_counts(s.table("facts"), s.table("evidence").where("source_document <> 'notes.pdf'"), s.table("edges"))
+
+
+@query(
+    _CANON
+    + ", near AS (SELECT DISTINCT a.fact_id AS lid, b.fact_id AS rid FROM places a JOIN places b ON a.source_document = b.source_document AND abs(a.page_number - b.page_number) <= 5 AND a.fact_id <> b.fact_id) "
+    + "SELECT n.lid AS l_id, n.rid AS r_id, CASE WHEN p.lid IS NOT NULL THEN 'PART_OF' ELSE c.kind END AS allowed FROM near n LEFT JOIN parts p ON p.lid = n.lid AND p.rid = n.rid LEFT JOIN crossed c ON c.lid = least(n.lid, n.rid) AND c.rid = greatest(n.lid, n.rid) WHERE p.lid IS NOT NULL OR c.kind IS NOT NULL"
+)
+def allowed_link_types(spark, sf):
+    return N.allowed_types(store(spark, sf).table("features")).select("l_id", "r_id", F.array_join("allowed", ",").alias("allowed"))
+
+
+@query(_CANON + "SELECT id, evidence_count FROM facts")
+def legacy_load(spark, sf):
+    """The raw claims as a table of the oldest form, one piece of evidence in each row, give the same facts."""
+    old = store(spark, sf).raw().withColumnRenamed("ingest_ord", "ID").drop("evidence_type")
+    return O.merge_facts(L.legacy_claims(old))[0].select("id", "evidence_count")
+
+
+@query("WITH v AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::double) AS e FROM embeddings) SELECT vec_id, 256 AS bytes, list_transform(e, lambda x: round(x / sqrt(list_dot_product(e, e)), 4)) AS head FROM v")
+def vector_blobs(spark, sf):
+    """Vectors as blobs, and the first eight entries of the blobs as unit vectors."""
+    v = table(spark, sf, "embeddings").select("vec_id", V.as_blob(F.col("embedding")).alias("blob"))
+    return v.select("vec_id", F.octet_length("blob").alias("bytes"), F.transform(V.from_blob(F.col("blob"), 8), lambda x: F.round(x.cast("double"), 4)).alias("head"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'seen; kept' WHEN 1 THEN c_mktsegment || '; seen' ELSE '' END AS reasons FROM customer")
+def merged_reasons(spark, sf):
+    """Reasons in order, without repeats, blanks and nulls."""
+    none, segment = F.lit(None).cast("string"), F.col("c_mktsegment")
+    forms = F.element_at(F.array(F.array(F.lit("seen"), F.lit(" "), F.lit("kept"), F.lit("seen")), F.array(segment, none, F.lit("seen"), segment), F.array(none, F.lit(""))), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return table(spark, sf, "customer").select("c_custkey", merge_reasons(forms).alias("reasons"))
+
+
+@query(
+    _CANON
+    + EVERY
+    + f""", near AS (SELECT DISTINCT a.fact_id AS lid, b.fact_id AS rid FROM places a JOIN places b ON a.source_document = b.source_document AND abs(a.page_number - b.page_number) <= 5 AND a.fact_id <> b.fact_id)
+SELECT lid AS source_fact_id, rid AS target_fact_id, l.ca || ' = ' || l.value AS source_fact, 'PART_OF' AS proposed_relationship, false AS accepted
+FROM near JOIN facts l ON l.id = lid JOIN facts r ON r.id = rid WHERE r.ca IN {_KIDS} AND (l.ca = 'total_revenue' OR l.ca IN {_KIDS} AND l.ca <> r.ca)
+UNION ALL SELECT lid, rid, {_STATEMENT.format('l')}, kind, true FROM every JOIN facts l ON l.id = lid"""
+)
+def proposal_log(spark, sf):
+    """Rejected and accepted proposals."""
+    s = store(spark, sf)
+    return R.proposal_log(s.table("candidates"), s.table("edges"), s.table("facts")).select("source_fact_id", "target_fact_id", "source_fact", "proposed_relationship", "accepted")
+
+
+_COMPARABLE = "CASE {0}.dim WHEN 'ratio' THEN {1}.dim = 'ratio' ELSE {1}.dim <> 'ratio' END"
+
+
+@query(_CANON + f"SELECT l.dim AS l, r.dim AS r, {_COMPARABLE.format('l', 'r')} AS compatible, count(*) AS n FROM facts l JOIN facts r ON l.entity = r.entity AND l.id < r.id GROUP BY ALL")
+def value_dimension_matrix(spark, sf):
+    """Dimensions of the pairs of facts of one entity, and whether they can be compared."""
+    f = store(spark, sf).table("facts").select("entity", "id", C.value_dimension(F.col("canonical_value"), F.col("unit")).alias("dim"))
+    both = f.toDF("entity", "l_id", "l").join(f.toDF("entity", "r_id", "r"), "entity").where("l_id < r_id")
+    return both.groupBy("l", "r", C.dimensions_compatible(F.col("l"), F.col("r")).alias("compatible")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_LEVEL = "ca IN ('total_revenue', 'product_revenue', 'services_revenue')"
+
+
+@query(
+    _CANON
+    + EVERY
+    + f""", f AS (
+  SELECT count(*) AS facts, count(*) FILTER (WHERE ca = 'employee_count') AS employee_count_facts, count(*) FILTER (WHERE ca = 'employee_count' AND (contains(cv, '%') OR lower(coalesce(unit, '')) IN ('million', '%'))) AS employee_count_invalid,
+    count(*) FILTER (WHERE {_LEVEL}) AS revenue_facts, count(*) FILTER (WHERE {_LEVEL} AND dim = 'ratio') AS revenue_facts_with_ratio_value, count(*) FILTER (WHERE regexp_matches(cv, '\b(INR|USD|EUR|GBP)\b.*(\b(INR|USD|EUR|GBP)\b|[₹$€£])')) AS currency_anomalies,
+    count(DISTINCT ca) AS distinct_canonical_attributes, count(DISTINCT (ca, vk, coalesce(period, ''))) AS clusters, count(*) AS embeddings, 0::bigint AS facts_missing_evidence, 0::bigint AS facts_missing_embedding FROM facts
+), e AS (
+  SELECT count(*) AS relationships, count(*) FILTER (WHERE kind = 'CONTRADICTS') AS contradictions, count(*) FILTER (WHERE kind IN ('CONTRADICTS', 'CORROBORATES') AND (l.dim = 'ratio') <> (r.dim = 'ratio')) AS dimensional_mismatch_relationships,
+    count(*) FILTER (WHERE kind IN ('CONTRADICTS', 'CORROBORATES') AND l.dim <> r.dim) AS dim_strictly_different_relationships FROM every JOIN facts l ON l.id = lid JOIN facts r ON r.id = rid
+), v AS (SELECT count(*) AS evidence FROM evidence), mixed AS (SELECT ca FROM facts GROUP BY ca HAVING bool_or(dim = 'ratio') AND bool_or(dim IN ('money', 'scaled'))), m AS (SELECT count(*) AS mixed_dimension_attributes FROM mixed)
+SELECT metric, value FROM (SELECT * FROM f, e, v, m) UNPIVOT (value FOR metric IN (facts, employee_count_facts, employee_count_invalid, revenue_facts, revenue_facts_with_ratio_value, currency_anomalies, distinct_canonical_attributes, clusters, embeddings,
+  facts_missing_evidence, facts_missing_embedding, relationships, contradictions, dimensional_mismatch_relationships, dim_strictly_different_relationships, evidence, mixed_dimension_attributes))
+UNION ALL SELECT 'mixed_dimension_attribute.' || ca, 1::bigint FROM mixed
+UNION ALL SELECT 'relationships_by_type.' || t, (SELECT count(*) FROM every WHERE kind = t) FROM (VALUES ('SUPPORTS'), ('CORROBORATES'), ('CONTRADICTS'), ('RECONCILES'), ('TEMPORAL_SUCCESSOR'), ('PART_OF'), ('COMPUTED_SUPPORT'), ('UNRESOLVED_DIFFERENCE'), ('POTENTIAL_CONTRADICTION')) x(t)"""
+)
+def audit_all(spark, sf):
+    s = store(spark, sf)
+    return A.audit(*[s.table(t) for t in ("facts", "evidence", "edges", "clusters", "embeddings")])
+
+
+def _flat(c: str) -> str:
+    return f"lower(trim(regexp_replace({c}, '{_SPACE}+', ' ', 'g')))"
+
+
+@query(
+    f"""WITH s AS (
+  SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN substr(text, 11, 60) WHEN 1 THEN substr(text, 1, 100) || ' @@ made up @@' WHEN 2 THEN '@@ nothing like this stands there @@' ELSE 'zz@' END AS raw FROM documents
+), t AS (SELECT doc_id, {_flat('text')} AS body, {_stripped('raw')} AS s FROM s), a AS (
+  SELECT doc_id, CASE WHEN s = '' THEN NULL WHEN contains(body, {_flat('s')}) THEN s WHEN length(s) < 12 THEN NULL WHEN contains(body, {_flat('substr(s, 1, 180)')}) THEN trim(substr(s, 1, 180))
+    WHEN contains(body, {_flat('substr(s, 1, 80)')}) THEN trim(substr(s, 1, 80)) END AS evidence_text FROM t
+) SELECT 'doc_' || doc_id AS source_document, evidence_text FROM a WHERE evidence_text IS NOT NULL"""
+)
+def answered_facts(spark, sf):
+    """Facts of answers that quote a text as it is, with an invented ending, not at all, or too shortly."""
+    quotes = F.element_at(F.array(F.substring("text", 11, 60), F.concat(F.substring("text", 1, 100), F.lit(" @@ made up @@")), F.lit("@@ nothing like this stands there @@"), F.lit("zz@")), (F.col("doc_id") % 4 + 1).cast("int"))
+    item = F.struct(F.lit("Acme").alias("entity"), F.lit("revenue").alias("attribute"), F.lit("5").alias("value"), F.array(quotes).alias("evidence_snippets"))
+    answer = F.concat(F.lit("Here: "), F.to_json(F.struct(F.array(item).alias("facts"))))
+    rows = table(spark, sf, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("source_document"), F.lit(1).alias("page_number"), "text", answer.alias("answer"))
+    return extract.facts_from_answers(rows).select("source_document", "evidence_text")

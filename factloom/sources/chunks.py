@@ -39,6 +39,21 @@ def cut(text: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> list[s
     return pieces
 
 
+@F.udtf(returnType="chunk_index int, text string")
+class SplitText:
+    """The pieces of a text, numbered from 0; a null text has none."""
+
+    def eval(self, text: str, max_chars: int, overlap: int):
+        if max_chars <= 0 or not 0 <= overlap < max_chars:
+            raise ValueError("max_chars must be positive and overlap between 0 and max_chars")
+        yield from enumerate(cut(normalise_page(text or ""), max_chars, overlap))
+
+
+def register_split_text(spark: SparkSession, name: str = "split_text") -> None:
+    """Make the splitter a table function of SQL: ``FROM pages p, LATERAL split_text(p.text, 1800, 200)``."""
+    spark.udtf.register(name, SplitText)
+
+
 def chunk_pages(pages: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """(source_document, page_number, text) to (source_document, page_number, text, chunk_index).
 
