@@ -6,7 +6,8 @@ concatenation of all buckets round robin to the shards, so shard sizes differ by
 
 Defined cases: null ids form a key like any other; repeated rows each get a slot of their own; an empty
 table gives an empty result; columns of any name may ride along (``columns``); the ones added are
-``shard`` and ``slot``, and columns that already have these names ride along with an underscore before them. Records are never dropped. Bucket contents follow from the data, the seed and the
+``shard`` and ``slot``, and columns that already have these names ride along with an underscore before them. Columns that Spark can't hash or
+order (maps, variants, whatever holds them) ride along and don't decide a record's place. Records are never dropped. Bucket contents follow from the data, the seed and the
 bucket count, and each bucket is sorted before it is shuffled, so a re-run task makes the same output.
 """
 
@@ -29,6 +30,15 @@ def record_bytes(df: DataFrame, columns: list[str]) -> Column:
     return sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in long), F.lit(16 * len(columns)).cast("long"))
 
 
+def decides(kind: T.DataType) -> bool:
+    """Can values of this type be hashed and ordered?"""
+    if isinstance(kind, T.ArrayType):
+        return decides(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(decides(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType, T.CalendarIntervalType, T.UserDefinedType))
+
+
 def carried(columns: list[str]) -> list[str]:
     """Names under which ``columns`` ride along."""
     taken, out = {c.lower() for c in columns} | {"shard", "slot"}, []
@@ -51,12 +61,17 @@ def two_pass_shuffle(
     columns = columns or df.columns
     n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(record_bytes(df, columns)), F.lit(0))).first()
     buckets = max(1, math.ceil(n / bucket_rows), math.ceil(size / BUCKET_BYTES))
-    record = F.struct(
-        F.xxhash64(F.lit(seed + 1), F.col(id_col)).alias("_k"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)]
-    )
+    fixed = [F.col(f"`{c}`") for c in columns if decides(df.schema[c].dataType)]
+    own = F.xxhash64(F.lit(seed + 1), F.col(f"`{id_col}`"))
+    record = F.struct(own.alias("_k"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)])
     scattered = df.select(
-        F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), *[F.col(f"`{c}`") for c in columns]), F.lit(buckets)).alias("_bucket"), record.alias("_record")
+        F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), *fixed), F.lit(buckets)).alias("_bucket"), record.alias("_record"), F.struct(own.alias("k"), F.xxhash64(*fixed).alias("h")).alias("_place")
     )
+    if len(fixed) == len(columns):
+        ordered = F.shuffle(F.sort_array(F.collect_list("_record")), seed)
+    else:  # some columns have no order: records follow the order of their places
+        placed = F.transform(F.collect_list("_place"), lambda p, i: F.struct(p.alias("p"), i.alias("i")))
+        ordered = F.transform(F.shuffle(F.sort_array(placed), seed), lambda p: F.get(F.collect_list("_record"), p["i"]))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (  # one row per bucket
         scattered.groupBy("_bucket")
@@ -66,9 +81,8 @@ def two_pass_shuffle(
     shuffled = (
         scattered.repartition(buckets, "_bucket")
         .groupBy("_bucket")
-        .agg(F.sort_array(F.collect_list("_record")).alias("_records"))
+        .agg(ordered.alias("_records"))
         .sortWithinPartitions("_bucket")
-        .select("_bucket", F.shuffle("_records", seed).alias("_records"))
         .select("_bucket", F.posexplode("_records").alias("_pos", "_r"))
     )
     rank = F.col("_offset") + F.col("_pos")

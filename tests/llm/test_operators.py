@@ -461,3 +461,14 @@ def test_a_null_id_is_not_another_documents_minus_one(spark):
     assert got == {(None, 700, 700), (-1, 700, 700), (-1, 5, 0), (4, 5, 0)}
     kept = suffix.drop_later_copies(df, 200, words=False).collect()  # null counts as -1 in the order, so either copy may be the first
     assert sorted(r.text for r in kept) == sorted([same, "short", "other"])
+
+
+def test_shards_take_maps_and_variants(spark):
+    df = spark.sql("select id as doc_id, concat('t', id % 3) as text, map('k', id) as m, parse_json('[1]') as v, array(map(1, id)) as a, id as shard from range(50)")
+    got = sharding.two_pass_shuffle(df, "doc_id", 4, bucket_rows=8)
+    assert got.columns == ["doc_id", "text", "m", "v", "a", "_shard", "shard", "slot"]
+    rows = got.select("doc_id", "m", "a", "shard", "slot").collect()
+    assert sorted(r.doc_id for r in rows) == list(range(50)) and all(r.m == {"k": r.doc_id} and r.a == [{1: r.doc_id}] for r in rows)
+    for k in range(4):
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(len([1 for r in rows if r.shard == k])))
+    assert max(sum(r.shard == k for r in rows) for k in range(4)) - min(sum(r.shard == k for r in rows) for k in range(4)) <= 1
