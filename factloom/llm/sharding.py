@@ -68,25 +68,26 @@ def two_pass_shuffle(
         F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), *fixed), F.lit(buckets)).alias("_bucket"), record.alias("_record"), F.struct(own.alias("k"), F.xxhash64(*fixed).alias("h")).alias("_place")
     )
     if len(fixed) == len(columns):
-        ordered = F.shuffle(F.sort_array(F.collect_list("_record")), seed)
+        gathered, shuffled = [F.sort_array(F.collect_list("_record")).alias("_records")], F.shuffle("_records", seed)
     else:  # some columns have no order: records follow the order of their places
-        placed = F.transform(F.collect_list("_place"), lambda p, i: F.struct(p.alias("p"), i.alias("i")))
-        ordered = F.transform(F.shuffle(F.sort_array(placed), seed), lambda p: F.get(F.collect_list("_record"), p["i"]))
+        gathered = [F.collect_list("_record").alias("_records"), F.sort_array(F.transform(F.collect_list("_place"), lambda p, i: F.struct(p.alias("p"), i.alias("i")))).alias("_places")]
+        shuffled = F.transform(F.shuffle("_places", seed), lambda p: F.get("_records", p["i"]))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (  # one row per bucket
         scattered.groupBy("_bucket")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(F.col("_bucket").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
-    shuffled = (
+    dealt = (
         scattered.repartition(buckets, "_bucket")
         .groupBy("_bucket")
-        .agg(ordered.alias("_records"))
+        .agg(*gathered)
         .sortWithinPartitions("_bucket")
+        .select("_bucket", shuffled.alias("_records"))
         .select("_bucket", F.posexplode("_records").alias("_pos", "_r"))
     )
     rank = F.col("_offset") + F.col("_pos")
-    return shuffled.join(F.broadcast(offsets), F.col("_bucket") == F.col("_of")).select(
+    return dealt.join(F.broadcast(offsets), F.col("_bucket") == F.col("_of")).select(
         *[F.col(f"_r._c{i}").alias(c) for i, c in enumerate(carried(columns))],
         (rank % shards).cast("int").alias("shard"),
         F.floor(rank / shards).cast("long").alias("slot"),
