@@ -92,7 +92,7 @@ def test_neighbours_by_blocks(spark, kind, monkeypatch):
     name = (lambda k: int(k)) if kind == "long" else (lambda k: f"id{k}")
     df = spark.createDataFrame([(name(k), [float(c) for c in v]) for k, v in enumerate(m)] + [(name(999), None)], f"vec_id {kind}, embedding array<float>").repartition(5)
     got = {(r.query_id, r["rank"]): (r.id, round(r.similarity, 9)) for r in vectors.nearest(df, df, k=4).collect()}
-    unit = m.astype(float) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    unit = m.astype(float) / np.maximum(np.linalg.norm(m.astype(float), axis=1, keepdims=True), 1e-300)
     s = np.round(unit @ unit.T, 9)
     expected = {}
     for q in range(230):
