@@ -103,6 +103,14 @@ def provenance_counts(facts: DataFrame, evidence: DataFrame, edges: DataFrame) -
     return facts.join(n, "id", "left").join(e, "id", "left").select("id", "evidence_count", F.coalesce("evidence_found", F.lit(0)).alias("evidence_found"), F.coalesce("edges_found", F.lit(0)).alias("edges_found")).where("evidence_count <> evidence_found")
 
 
+def sound(facts: DataFrame, evidence: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: numbers of self links, of edges of one key and of facts with a wrong count, and ``ok`` where there are none."""
+    counts = [self_links(edges), duplicate_edges(edges), provenance_counts(facts, evidence, edges)]
+    names = ["self_links", "duplicates", "count_mismatches"]
+    rows = reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n") for name, df in zip(names, counts, strict=True)])
+    return rows.agg(*[F.sum(F.when(F.col("what") == name, F.col("n"))).alias(name) for name in names], (F.sum("n") == 0).alias("ok"))
+
+
 def _digest(rows: DataFrame, column: str) -> DataFrame:
     """Order-free digest of a column of strings: how many, and the sums of two parts of their hashes."""
     h = F.sha2(F.col(column), 256)

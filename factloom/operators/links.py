@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from factloom.functions.text import clamp_confidence, text
 from factloom.operators import lookup, relations
 from factloom.sources.extract import json_object
+from factloom.sources.ledger import Ledger
 
 ANSWER = "links array<struct<candidate_id:string,relationship_type:string,confidence:string,reasoning:string>>"
 CANDIDATES_AT_ONCE = 40
@@ -29,11 +30,11 @@ def allowed_types(f: DataFrame, window: int = relations.PAGE_WINDOW) -> DataFram
     return near.join(judged, ["l_id", "r_id"], "left").select("l_id", "r_id", F.array_sort(F.array_compact(F.array(part, "_type"))).alias("allowed")).where(F.size("allowed") > 0)
 
 
-def classify_with_model(f: DataFrame, facts: DataFrame, make_client: Callable[[], object], window: int = relations.PAGE_WINDOW) -> DataFrame:
+def classify_with_model(f: DataFrame, facts: DataFrame, make_client: Callable[[], object], window: int = relations.PAGE_WINDOW, ledger: Ledger | None = None) -> DataFrame:
     """Edges that a model finds: (source_fact_id, target_fact_id, relationship_type, confidence, reasoning).
 
     A request holds one parent and at most ``CANDIDATES_AT_ONCE`` candidates; a parent with more has several. Answers count
-    only for known candidates and allowed types.
+    only for known candidates and allowed types. A ``ledger`` keeps answers, so that none is asked for twice.
     """
     told = facts.select("id", lookup.brief(facts).alias("said"))
     pairs = allowed_types(f, window).join(told.select(F.col("id").alias("l_id"), F.col("said").alias("l_said")), "l_id")
@@ -51,7 +52,8 @@ def classify_with_model(f: DataFrame, facts: DataFrame, make_client: Callable[[]
         for b in batches:
             yield pd.DataFrame({"r_id": b.r_id, "part": b.part, "answer": [client.complete(SYSTEM_PROMPT, t) for t in b.prompt]})
 
-    answers = requests.select("r_id", "part", shown.alias("prompt")).mapInPandas(ask, "r_id string, part long, answer string")
+    prompts = requests.select("r_id", "part", shown.alias("prompt"))
+    answers = prompts.mapInPandas(ask, "r_id string, part long, answer string") if ledger is None else ledger.answer(prompts, "prompt", make_client, SYSTEM_PROMPT)
     links = answers.select("r_id", F.explode(F.from_json(json_object(F.col("answer")), ANSWER)["links"]).alias("x"))
     named = links.select("r_id", F.col("x.candidate_id").alias("l_id"), relations.relationship_type(F.col("x.relationship_type")).alias("relationship_type"), clamp_confidence(F.coalesce(F.nullif("x.confidence", F.lit("")), F.lit("0.7"))).alias("confidence"), text(F.col("x.reasoning")).alias("reasoning"))
     valid = named.join(pairs.select("l_id", "r_id", "allowed"), ["l_id", "r_id"]).where(F.array_contains("allowed", F.col("relationship_type")) & (F.col("l_id") != F.col("r_id")))

@@ -114,24 +114,6 @@ def same_period() -> Column:
     return (a != "") & (a == b)
 
 
-def periods_differ() -> Column:
-    """Unlike same_period: a blank period differs from any."""
-    return ~same_period()
-
-
-def periods_compatible() -> Column:
-    """Blank, or of one year."""
-    year = lambda c: F.regexp_extract(c, r"(?:19|20)\d{2}", 0)
-    a, b = _c("period_key")
-    return (year(a) == "") | (year(b) == "") | (year(a) == year(b))
-
-
-def same_scope() -> Column:
-    """One revenue category, or without any one component word."""
-    (a, b), (p, q) = _c("revenue"), _c("prefix")
-    return F.when(a.isNotNull() | b.isNotNull(), a.eqNullSafe(b)).otherwise(p.eqNullSafe(q))
-
-
 def hierarchical(child: str, parent: str) -> Column:
     """Is the child a component of the parent: revenue categories under the total, or a prefixed attribute under its bare one."""
     c, p = (lambda n: F.col(f"{child}_{n}")), (lambda n: F.col(f"{parent}_{n}"))
@@ -489,7 +471,8 @@ def summed_with(f: DataFrame, moved: DataFrame, fact_ids: DataFrame, window: int
     they are, ``moved`` the changed ones as they were and are."""
     scope = lambda x: x.select(normalize_token(F.col("canonical_entity")).alias("scope_entity"), "period_key")
     totals = f.where("revenue = 'total_revenue'").withColumn("scope_entity", normalize_token(F.col("canonical_entity"))).join(scope(moved).distinct(), ["scope_entity", "period_key"], "left_semi").select(F.col("id").alias("fact_id"))
-    both = f.unionByName(moved.join(f.select("id"), "id", "left_anti").select(*f.columns).dropDuplicates(["id"]))
+    slim = ["id", "canonical_attribute", "canonical_entity", "bucket_entity", "period_key", "revenue", "prefix", "core", "pages"]
+    both = f.select(*slim).unionByName(moved.select(*slim).join(f.select("id"), "id", "left_anti").dropDuplicates(["id"]))
     pairs = near_ids(touched_by(both, fact_ids), window)
     ids = fact_ids.select("fact_id").distinct()
     parents = pairs.join(ids.withColumnRenamed("fact_id", "l_id"), "l_id", "left_semi").select(F.col("r_id").alias("fact_id"))

@@ -48,23 +48,24 @@ def hash_embed(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.select(id_col).distinct().join(entries, id_col, "left").select(id_col, F.when(F.col("m").isNotNull(), vector).otherwise(F.array_repeat(F.lit(0.0).cast("float"), DIM)).alias("embedding"))
 
 
-def _texts(facts: DataFrame) -> DataFrame:
-    return facts.select(F.col("id").alias("fact_id"), embedding_text().alias("_text")).withColumn("text_hash", text_hash(F.col("_text")))
+def _texts(facts: DataFrame, model: str) -> DataFrame:
+    return facts.select(F.col("id").alias("fact_id"), embedding_text().alias("_text")).withColumn("text_hash", text_hash(F.col("_text"), model))
 
 
-def changed_embeddings(facts: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """fact_id, model, dim, text_hash, embedding of the facts without a stored vector of their present text."""
-    t = _texts(facts)
-    todo = t if stored is None else t.join(stored.where(F.col("model") == MODEL).select("fact_id", "text_hash"), ["fact_id", "text_hash"], "left_anti")
-    return hash_embed(todo, "fact_id", "_text").join(todo, "fact_id").select("fact_id", F.lit(MODEL).alias("model"), F.lit(DIM).alias("dim"), "text_hash", "embedding")
+def changed_embeddings(facts: DataFrame, stored: DataFrame | None = None, model: str = MODEL, embed: Callable[[DataFrame, str, str], DataFrame] = hash_embed) -> DataFrame:
+    """fact_id, model, dim, text_hash, embedding of the facts without a stored vector of that model for their present text. ``embed`` takes
+    texts, an id and a text column, and gives (id, embedding)."""
+    t = _texts(facts, model)
+    todo = t if stored is None else t.join(stored.where(F.col("model") == model).select("fact_id", "text_hash"), ["fact_id", "text_hash"], "left_anti")
+    return embed(todo, "fact_id", "_text").join(todo, "fact_id").select("fact_id", F.lit(model).alias("model"), F.size("embedding").alias("dim"), "text_hash", "embedding")
 
 
 def embed_facts(facts: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """fact_id, model, dim, text_hash, embedding; facts whose text is unchanged keep their stored row."""
+    """fact_id, model, dim, text_hash, embedding; facts whose text is unchanged keep their stored rows, of other models too."""
     new = changed_embeddings(facts, stored)
     if stored is None:
         return new
-    return stored.join(new.select("fact_id"), "fact_id", "left_anti").join(facts.select(F.col("id").alias("fact_id")), "fact_id", "left_semi").unionByName(new)
+    return stored.join(new.select("fact_id", "model"), ["fact_id", "model"], "left_anti").join(facts.select(F.col("id").alias("fact_id")), "fact_id", "left_semi").unionByName(new)
 
 
 def as_blob(c: Column) -> Column:

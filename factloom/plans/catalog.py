@@ -361,6 +361,16 @@ def delete_relationships(spark, sf):
     return L.without_relationships(e, e.where("relationship_type = 'CONTRADICTS'").select("id")).groupBy("relationship_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(_CANON + EVERY + " SELECT (SELECT count(*) FROM facts WHERE ca = 'holder') AS self_links, (SELECT count(*) FROM every WHERE kind = 'CONTRADICTS') AS duplicates, (SELECT count(*) FROM facts WHERE id IN (SELECT fact_id FROM evidence WHERE source_document = 'notes.pdf')) AS count_mismatches, false AS ok")
+def layer_soundness(spark, sf):
+    """The layer with links of holders to themselves, every contradiction twice, and without the evidence of the notes."""
+    s = store(spark, sf)
+    e, f = s.table("edges"), s.table("facts")
+    loops = f.where("canonical_attribute = 'holder'").select(F.concat(F.lit("self-"), "id").alias("id"), F.lit("SUPPORTS").alias("relationship_type"), *[F.col("id").alias(c) for c in ("pair_low", "pair_high", "source_fact_id", "target_fact_id")])
+    planted = e.select(*loops.columns).unionByName(e.where("relationship_type = 'CONTRADICTS'").withColumn("id", F.concat(F.lit("again-"), "id")).select(*loops.columns)).unionByName(loops)
+    return A.sound(f, s.table("evidence").where("source_document <> 'notes.pdf'"), planted)
+
+
 @query(_CANON + EVERY + f", ends AS (SELECT lid AS id FROM every UNION ALL SELECT rid FROM every WHERE lid <> rid), n AS (SELECT id, count(*) AS n FROM ends GROUP BY id) SELECT f.id, {_STATEMENT.format('f')} AS fact, f.evidence_count, coalesce(n, 0) AS relationship_count FROM facts f LEFT JOIN n USING (id)")
 def debug_rows(spark, sf):
     s = store(spark, sf)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import clamp_confidence, first_match, optional, strip, text
+from factloom.sources.ledger import Ledger
 
 # Shape of an answer, and prefixes of a snippet that may stand for it.
 ANSWER = "facts array<struct<entity:string,attribute:string,value:string,unit:string,period:string,confidence:string,evidence_text:string,evidence_snippets:array<string>>>"
@@ -26,8 +27,10 @@ class Client(Protocol):
     def complete(self, system_prompt: str, user_prompt: str) -> str: ...
 
 
-def answers(chunks: DataFrame, make_client: Callable[[], Client], system_prompt: str = SYSTEM_PROMPT) -> DataFrame:
-    """Chunks with the model's raw ``answer``."""
+def answers(chunks: DataFrame, make_client: Callable[[], Client], system_prompt: str = SYSTEM_PROMPT, ledger: Ledger | None = None) -> DataFrame:
+    """Chunks with the model's raw ``answer``. With a ``ledger`` nothing that it knows is asked again, whatever fails in between."""
+    if ledger is not None:
+        return ledger.answer(chunks, "text", make_client, system_prompt)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()

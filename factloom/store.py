@@ -24,7 +24,7 @@ RAW_SCHEMA = T.StructType(
 #: What rows of a table are found by. The first five lie in the bucket of their claims' attribute and value, so a claim touches one bucket of each.
 KEYS = {
     "claims": ["eq_attribute", "eq_value"], "facts": ["eq_attribute", "eq_value"], "evidence": ["fact_id"], "features": ["eq_attribute", "eq_value"], "clusters": ["canonical_attribute", "eq_value"],
-    "embeddings": ["fact_id"], "edges": ["id"], "candidates": ["source_fact_id", "target_fact_id"],
+    "embeddings": ["fact_id", "model"], "edges": ["id"], "candidates": ["source_fact_id", "target_fact_id"],
 }
 DERIVED = list(KEYS)
 BY_CLAIM = DERIVED[:5]
@@ -215,6 +215,7 @@ class FactStore:
         facts = own("facts", versions["facts"])
         stored = t["embeddings"].read(old["embeddings"])
         gone = own("facts", old["facts"]).select("id").join(facts.select("id"), "id", "left_anti").select(F.col("id").alias("fact_id"))
+        gone = stored.join(gone, "fact_id", "left_semi").select("fact_id", "model")
         fresh = vectors.changed_embeddings(facts, stored)
         versions["embeddings"] = self._timed("embeddings", lambda: t["embeddings"].replace_keys(fresh, gone))
 
@@ -233,6 +234,15 @@ class FactStore:
             versions["candidates"] = self._timed("candidates", lambda: t["candidates"].replace_keys(log, stale))
         return self._publish(versions)
 
+    def embed(self, model: str = vectors.MODEL, embed=vectors.hash_embed, fact_ids: DataFrame | None = None) -> FactStore:
+        """Vectors of ``model`` for all facts, or those of ``fact_ids`` (fact_id), beside the vectors of other models; facts whose text has not
+        changed since are left out."""
+        facts = self.table("facts")
+        if fact_ids is not None:
+            facts = facts.join(fact_ids.select(F.col("fact_id").alias("id")), "id", "left_semi")
+        fresh = vectors.changed_embeddings(facts, self.table("embeddings"), model, embed)
+        return self._publish({"embeddings": self._timed("embeddings", lambda: self.tables["embeddings"].replace_keys(fresh))})
+
     # ------------------------------------------------------------ reads
 
     def table(self, name: str) -> DataFrame:
@@ -248,8 +258,8 @@ class FactStore:
     def fact(self, fact_id: str) -> DataFrame:
         return facts_ops.fact_detail(self.table("facts"), self.table("evidence"), self.table("edges"), fact_id)
 
-    def similar(self, fact_id: str, k: int = 5) -> DataFrame:
-        return lookup.similar_facts(self.table("facts"), self.table("embeddings"), fact_id, k)
+    def similar(self, fact_id: str, k: int = 5, model: str = vectors.MODEL) -> DataFrame:
+        return lookup.similar_facts(self.table("facts"), self.table("embeddings").where(F.col("model") == model), fact_id, k)
 
     def relationships(self, fact_id: str) -> DataFrame:
         return lookup.relationships_of(self.table("edges"), self.table("facts"), fact_id)

@@ -6,6 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.operators import audit, lookup
 from factloom.store import RAW_SCHEMA, FactStore
 from factloom.tables import KeyedTable
 
@@ -137,3 +138,27 @@ def test_a_batch_counts_once(spark):
     assert store.append_batch(b, "s", 1, replace_documents=True)
     assert sorted((r.source_document, r.page_number) for r in store.raw().collect()) == [("a.pdf", 9), ("b.pdf", 1), ("b.pdf", 1)]
     assert not FactStore(spark, store.path).append_batch(b, "s", 1)  # also after a restart
+
+
+def test_vectors_of_two_models_lie_side_by_side(spark):
+    store = FactStore(spark, folder())
+    store.append(claims(spark, OLD))
+    store.rebuild(link=False)
+    some = store.table("facts").where("canonical_attribute = 'holder'").select(F.col("id").alias("fact_id"))
+    plain = lambda df, i, t: df.select(i, F.array(F.length(t).cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    store.embed("lengths", plain, some)
+    assert {(r.model, r.dim): r["count"] for r in store.table("embeddings").groupBy("model", "dim").count().collect()} == {("hash-384", 384): 6, ("lengths", 2): 2}
+    before = set(store.tables["embeddings"].folders())
+    store.embed("lengths", plain, some)  # nothing has changed
+    assert set(store.tables["embeddings"].folders()) == before
+    one = some.first().fact_id
+    assert store.similar(one, 3, "lengths").count() == 1 and store.similar(one, 3).count() == 3
+    assert lookup.fact_embedding(store.table("embeddings"), one).count() == 2
+    store.rebuild(link=False)
+    assert store.table("embeddings").count() == 8  # a rebuild keeps the other model's vectors
+
+
+def test_audits_side_by_side(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "metric string, value long")
+    got = audit.diff(rows(("facts", 3), ("old", 1)), rows(("facts", 5), ("new", 2)))
+    assert sorted(tuple(r) for r in got.select("metric", "delta").collect()) == [("facts", 2), ("new", 2), ("old", -1)]
