@@ -29,7 +29,7 @@ from .common import keep_only, kept, texts
 CAPACITY = 2048
 OPEN_BINS = 1024
 WINDOW = 1024
-CACHED_WORDS = 150_000
+CACHED_WORDS = 400_000
 
 
 class BestFit:
