@@ -316,7 +316,8 @@ def _span_batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
 
 
 def repeated_windows(rows: DataFrame, width: int = WIDTH, later_only: bool = False, unit: Unit = BYTES) -> DataFrame:
-    """Spans (doc, h, low, high) of starts of repeated windows; with ``later_only`` of those with an earlier copy."""
+    """(doc, h, spans): spans (low, high) of starts of repeated windows; with ``later_only`` of those with an earlier copy. A document that
+    repeats one context many times is one row for it."""
     found = materialize(runs(rows, width, unit), "runs")
     shared = found.groupBy("anchor").agg(F.sum(F.size("lows")).alias("n")).where("n > 1").select("anchor")
     found = materialize(found.join(shared, "anchor", "left_semi"), "runs")
@@ -327,12 +328,12 @@ def repeated_windows(rows: DataFrame, width: int = WIDTH, later_only: bool = Fal
         "contexts",
     )
     # equal contexts
-    places = found.join(contexts.where("copies > 1").select("anchor", "k1", "k2", "first"), ["anchor", "k1", "k2"]).select(
-        "doc", "h", "windows", "first", F.explode("lows").alias("low")
-    )
+    places = found.join(contexts.where("copies > 1").select("anchor", "k1", "k2", "first"), ["anchor", "k1", "k2"])
+    lows = F.col("lows")
     if later_only:
-        places = places.where(~((F.col("doc") == F.col("first.doc")) & (F.col("h") == F.col("first.h")) & (F.col("low") == F.col("first.low"))))
-    spans = places.select("doc", "h", "low", (F.col("low") + F.col("windows") - 1).alias("high"))
+        own = (F.col("doc") == F.col("first.doc")) & (F.col("h") == F.col("first.h"))
+        lows = F.filter("lows", lambda low: ~(own & (low == F.col("first.low"))))
+    spans = places.select("doc", "h", F.transform(lows, lambda low: F.struct(low.alias("low"), (low + F.col("windows") - 1).alias("high"))).alias("spans")).where(F.size("spans") > 0)
 
     # one anchor, several contexts
     several = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("least")).where("kinds > 1")
@@ -344,7 +345,8 @@ def repeated_windows(rows: DataFrame, width: int = WIDTH, later_only: bool = Fal
     bytes_of = materialize(context_bytes(rows, wanted, width, unit), "bytes")
     small = bytes_of.where(F.col("kinds") <= MOST_CONTEXTS).repartition("anchor").sortWithinPartitions("anchor", "doc", "h", "low")
     large = bytes_of.where(F.col("kinds") > MOST_CONTEXTS)
-    return spans.unionByName(small.mapInArrow(_blocks(width, later_only, unit), SPAN)).unionByName(_refined(large, width, later_only, unit))
+    rest = small.mapInArrow(_blocks(width, later_only, unit), SPAN).unionByName(_refined(large, width, later_only, unit))
+    return spans.unionByName(rest.select("doc", "h", F.array(F.struct("low", "high")).alias("spans")))
 
 
 def context_bytes(rows: DataFrame, wanted: DataFrame, width: int, unit: Unit = BYTES) -> DataFrame:
@@ -508,9 +510,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, later_only: bool = False
     it removes nothing. Only rows with something repeated are shuffled; the others are described where they are read.
     """
     rows = keyed(docs)
-    spans = repeated_windows(rows, width, later_only, WORDS if words else BYTES).withColumn("cut", F.lit(True))
+    marked = lambda found, cut: found.select("doc", "h", F.transform("spans", lambda s: F.struct(F.lit(cut).alias("cut"), s["low"].alias("low"), s["high"].alias("high"))).alias("spans"))
+    spans = marked(repeated_windows(rows, width, later_only, WORDS if words else BYTES), True)
     if passage:
-        spans = spans.unionByName(repeated_windows(rows, passage, unit=WORDS).withColumn("cut", F.lit(False)))
+        spans = spans.unionByName(marked(repeated_windows(rows, passage, unit=WORDS), False))
     spans = materialize(spans, "spans")
     possible = id_filter(spans.select("doc").distinct())
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", *(["h", "kept"] if keep_text else [])]
@@ -549,7 +552,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, later_only: bool = False
         for batch in batches:
             yield from describe((d.as_py(), h.as_py(), t.as_py(), s.as_py() or []) for d, h, t, s in zip(*batch.columns, strict=True))
 
-    listed = spans.groupBy("doc", "h").agg(F.collect_list(F.struct("cut", "low", "high")).alias("spans"))  # bounded by the text's length
+    listed = spans.groupBy("doc", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # bounded by the text's length
     some = rows.mapInArrow(sieve, "doc long, h long, text string").join(listed, ["doc", "h"], "left").select("doc", "h", "text", "spans")
     return rows.mapInArrow(untouched, schema).unionByName(some.mapInArrow(touched, schema))
 
