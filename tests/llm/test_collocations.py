@@ -11,6 +11,11 @@ from factloom.llm import collocations as C
 from .conftest import DOCS, texts
 
 
+@pytest.fixture(autouse=True)
+def few_parts(monkeypatch):
+    monkeypatch.setattr(C, "PARTS", 4)
+
+
 def plain(rows, support, longest=5, top=2000, percent=100):
     """(lang, text) rows to the result, by counting every phrase."""
     n, f = Counter(), Counter()
