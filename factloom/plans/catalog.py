@@ -674,11 +674,12 @@ def legacy_load(spark, sf):
     return O.merge_facts(L.legacy_claims(old))[0].select("id", "evidence_count")
 
 
-@query("WITH v AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::double) AS e FROM embeddings) SELECT vec_id, 256 AS bytes, list_transform(e, lambda x: round(x / sqrt(list_dot_product(e, e)), 4)) AS head FROM v")
+@query("WITH v AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::double) AS e FROM embeddings) SELECT vec_id, 256 AS bytes, round(e[1] / sqrt(list_dot_product(e, e)), 4) AS first_entry, round(e[8] / sqrt(list_dot_product(e, e)), 4) AS last_entry FROM v")
 def vector_blobs(spark, sf):
     """Vectors as blobs, and the first eight entries of the blobs as unit vectors."""
     v = table(spark, sf, "embeddings").select("vec_id", V.as_blob(F.col("embedding")).alias("blob"))
-    return v.select("vec_id", F.octet_length("blob").alias("bytes"), F.transform(V.from_blob(F.col("blob"), 8), lambda x: F.round(x.cast("double"), 4)).alias("head"))
+    head = v.select("vec_id", F.octet_length("blob").alias("bytes"), V.from_blob(F.col("blob"), 8).cast("array<double>").alias("head"))
+    return head.select("vec_id", "bytes", F.round(F.get("head", F.lit(0)), 4).alias("first_entry"), F.round(F.get("head", F.lit(7)), 4).alias("last_entry"))
 
 
 @query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'seen; kept' WHEN 1 THEN c_mktsegment || '; seen' ELSE '' END AS reasons FROM customer")
