@@ -466,14 +466,14 @@ def explained_by(edges: DataFrame, f: DataFrame, moved: DataFrame) -> DataFrame:
     return held.unionByName(named.select(F.col("source_fact_id").alias("fact_id"))).distinct()
 
 
-def summed_with(f: DataFrame, moved: DataFrame, fact_ids: DataFrame, window: int = PAGE_WINDOW) -> DataFrame:
+def summed_with(f: DataFrame, moved: DataFrame, fact_ids: DataFrame, window: int = PAGE_WINDOW, write=lambda name, df: df) -> DataFrame:
     """fact_id of facts whose sums or parts may change with ``fact_ids``: totals of their scopes, and facts near them. ``f`` holds the facts as
-    they are, ``moved`` the changed ones as they were and are."""
+    they are, ``moved`` the changed ones as they were and are; ``write`` may store what is read several times."""
     scope = lambda x: x.select(normalize_token(F.col("canonical_entity")).alias("scope_entity"), "period_key")
     totals = f.where("revenue = 'total_revenue'").withColumn("scope_entity", normalize_token(F.col("canonical_entity"))).join(scope(moved).distinct(), ["scope_entity", "period_key"], "left_semi").select(F.col("id").alias("fact_id"))
     slim = ["id", "canonical_attribute", "canonical_entity", "bucket_entity", "period_key", "revenue", "prefix", "core", "pages"]
     both = f.select(*slim).unionByName(moved.select(*slim).join(f.select("id"), "id", "left_anti").dropDuplicates(["id"]))
-    pairs = near_ids(touched_by(both, fact_ids), window)
+    pairs = near_ids(write("around", touched_by(write("both", both), fact_ids)), window)
     ids = fact_ids.select("fact_id").distinct()
     parents = pairs.join(ids.withColumnRenamed("fact_id", "l_id"), "l_id", "left_semi").select(F.col("r_id").alias("fact_id"))
     return totals.unionByName(parents).distinct()

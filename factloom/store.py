@@ -223,7 +223,7 @@ class FactStore:
             features, edges = t["features"].read(versions["features"]), t["edges"].read(old["edges"])
             moved = own("features", old["features"]).unionByName(own("features", versions["features"])).join(changed.withColumnRenamed("fact_id", "id"), "id", "left_semi")
             moved = self._scratch("moved", moved)
-            again = relations.explained_by(edges, features, moved).unionByName(relations.summed_with(features, moved, changed)).unionByName(changed)
+            again = relations.explained_by(edges, features, moved).unionByName(relations.summed_with(features, moved, changed, write=self._scratch)).unionByName(changed)
             again = self._scratch("again", again.distinct())
             near = self._scratch("near", relations.touched_by(features, again))
             pairs = self._scratch("near_pairs", relations.near_ids(near))
