@@ -109,6 +109,7 @@ def embed_with(texts: DataFrame, id_col: str, text_col: str, make_model: Callabl
 
 
 QUERY_BLOCK, VECTOR_BLOCK = 2048, 65_536
+VECTORS_AT_ONCE = 1024  # that meet a block of queries, so that similarities held at once are QUERY_BLOCK x VECTORS_AT_ONCE
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", k: int = 5) -> DataFrame:
@@ -190,12 +191,14 @@ def _best(k: int):
                     if cell:
                         yield from cell.rows()
                     at, cell, asked = (g[low], p[low]), None, []
-                rows = _unit(batch.column(4).slice(low, high - low))
-                if side[low] == 0:
-                    asked.append((ids[low:high], rows))
-                elif asked:
-                    cell = cell or _Cell(np.concatenate([i for i, _ in asked]), np.concatenate([m for _, m in asked]), k)
-                    cell.meet(ids[low:high], rows)
+                for start in range(low, high, VECTORS_AT_ONCE):
+                    stop = min(start + VECTORS_AT_ONCE, high)
+                    rows = _unit(batch.column(4).slice(start, stop - start))
+                    if side[low] == 0:
+                        asked.append((ids[start:stop], rows))
+                    elif asked:
+                        cell = cell or _Cell(np.concatenate([i for i, _ in asked]), np.concatenate([m for _, m in asked]), k)
+                        cell.meet(ids[start:stop], rows)
         if cell:
             yield from cell.rows()
 

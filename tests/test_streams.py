@@ -3,9 +3,11 @@
 import json
 import random
 import tempfile
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +104,21 @@ def test_neighbours_by_blocks(spark, kind, monkeypatch):
     assert vectors.nearest(df, df.limit(0)).count() == 0
 
 
+def test_similarities_held_at_once_are_bounded():
+    m = np.random.default_rng(1).normal(size=(10_000, 8)).astype(np.float32)
+
+    def block(side, rows):
+        same = pa.array(np.zeros(len(rows), np.int32))
+        return pa.RecordBatch.from_arrays([same, same, pa.array(np.full(len(rows), side, np.int32)), pa.array(np.arange(len(rows))), pa.array(list(rows), pa.list_(pa.float32()))], ["g", "p", "side", "id", "embedding"])
+
+    cells = [block(0, m[:1024]), block(1, m)]
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in vectors._best(5)(iter(cells)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 5 * 1024 and most < 60e6  # all similarities of the block alone were 82 MB, held three times
+
+
 def test_splitter_in_sql(spark):
     chunks.register_split_text(spark)
     rows = [("a", "b" * 4000), ("b", None), ("c", " \n "), ("d", "x" * 1200 + ". " + "y" * 1000)]
