@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns that must match Unicode word characters, digits and spaces.
@@ -13,6 +13,8 @@ PERIOD = r"(?iuU)\b(?:(fy|cy|ay)\s*)?(\d{4})(?:\s*[-/]\s*\d{2,4})?\b|\bq[1-4](?:
 PERIOD_PLAIN_QUARTER = r"(?iuU)\b(?:(fy|cy|ay)\s*)?(\d{4})(?:\s*[-/]\s*\d{2,4})?\b|\bq[1-4]\b"
 AMOUNT = r"(?U)[-+]?\d+(?:,\d{3})*(?:\.\d+)?"
 SPACE = r"(?U)\s+"
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"  # what \s is in SPACE
+UNEVEN_SPACE = r"(?U)\s{2,}|[\s&&[^ ]]"  # all of SPACE but single blanks, so that most texts have no match
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -75,11 +77,11 @@ def text(c: Column) -> Column:
 
 def squash(c: Column) -> Column:
     """White space runs become one blank, ends are trimmed."""
-    return F.trim(F.regexp_replace(text(c), SPACE, " "))
+    return F.trim(F.regexp_replace(text(c), UNEVEN_SPACE, " "))
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(text(c), r"(?U)^\s+|\s+$", "")
+    return F.trim(text(c), F.lit(WHITE))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -87,7 +89,7 @@ def blank_to_null(c: Column) -> Column:
 
 
 def normalize_token(c: Column) -> Column:
-    return squash(F.translate(F.lower(text(c)), "_-", "  "))
+    return squash(F.replace(F.replace(F.lower(text(c)), F.lit("_"), F.lit(" ")), F.lit("-"), F.lit(" ")))
 
 
 def strip_period_tokens(c: Column, pattern: str = PERIOD) -> Column:
@@ -149,3 +151,12 @@ def like_contains(c: Column, query: str) -> Column:
     up, low = string.ascii_uppercase, string.ascii_lowercase
     pattern = query.translate(str.maketrans(up, low)).replace("\\", "\\\\")
     return F.translate(text(c), up, low).like(f"%{pattern}%")
+
+
+SPREAD = 4
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows in equal parts, ``SPREAD`` a core, ahead of expressions that cost far more than reading: files are few and of unequal size, and
+    splits are cut by bytes, so a file's rows would be one task's work."""
+    return rows.repartition(SPREAD * rows.sparkSession.sparkContext.defaultParallelism)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.canonical import canonicalize, normalized_value_key
-from factloom.functions.text import blank_to_null, clamp_confidence, normalize_token, optional, strip, text
+from factloom.functions.text import blank_to_null, clamp_confidence, normalize_token, optional, spread, strip, text
 
 EVIDENCE_TYPES = ["DIRECT", "SUPPORTING"]
 
@@ -34,7 +34,7 @@ def clean_raw(raw: DataFrame) -> DataFrame:
 
 def canonical(raw: DataFrame) -> DataFrame:
     """Canonical rows with the equivalence columns eq_entity, eq_attribute, eq_value; each row by itself."""
-    c = canonicalize(clean_raw(raw))
+    c = canonicalize(clean_raw(spread(raw)))
     return c.withColumns({"eq_entity": normalize_token(F.col("canonical_entity")), "eq_attribute": normalize_token(F.col("canonical_attribute")), "eq_value": value_key(c)})
 
 
