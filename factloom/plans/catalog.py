@@ -29,12 +29,13 @@ _STORES: dict[tuple[str, str], FactStore] = {}
 
 
 def store(spark: SparkSession, sf_dir: str) -> FactStore:
-    """The fact layer of a data folder, built once per application."""
+    """The fact layer of a data folder. Each of its tables is built once per application, when a query first reads it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
         s = FactStore(spark, f"{work_folder(spark)}/{uuid.uuid4().hex}")
         s.append(raw_facts(spark, sf_dir))
-        _STORES[key] = s.rebuild()
+        s.on_demand = True
+        _STORES[key] = s
     return _STORES[key]
 
 
@@ -538,7 +539,7 @@ def stream_ingest(spark, sf):
     s = FactStore(spark, f"{folder}/store")
     store(spark, sf).raw().repartition(3).write.parquet(f"{folder}/in")
     ingest(raw_stream(spark, f"{folder}/in", 1), s, f"{folder}/progress").awaitTermination()
-    return s.rebuild(link=False).table("facts").select("id", "evidence_count")
+    return s.complete("facts").table("facts").select("id", "evidence_count")
 
 
 # ---------------------------------------------------------------- stores that grow
@@ -575,7 +576,7 @@ def stream_replay(spark, sf):
     by_document(raw).write.parquet(f"{folder}/in/round=2")
     run(2, "b")
     run(1, "c")  # a lost checkpoint: every batch comes again, with numbers that the store knows
-    return s.rebuild(link=False).table("facts").select("id", "evidence_count")
+    return s.complete("facts").table("facts").select("id", "evidence_count")
 
 
 @query(_CANON + "SELECT fact_id, round(confidence, 6) AS confidence, evidence_count FROM strength")
@@ -671,7 +672,7 @@ def allowed_link_types(spark, sf):
 def legacy_load(spark, sf):
     """The raw claims as a table of the oldest form, one piece of evidence in each row, give the same facts."""
     old = store(spark, sf).raw().withColumnRenamed("ingest_ord", "ID").drop("evidence_type")
-    return O.merge_facts(L.legacy_claims(old))[0].select("id", "evidence_count")
+    return _own_store(spark, sf, L.legacy_claims(old)).complete("facts").table("facts").select("id", "evidence_count")
 
 
 @query("WITH v AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::double) AS e FROM embeddings) SELECT vec_id, 256 AS bytes, round(e[1] / sqrt(list_dot_product(e, e)), 4) AS first_entry, round(e[8] / sqrt(list_dot_product(e, e)), 4) AS last_entry FROM v")

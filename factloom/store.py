@@ -28,6 +28,8 @@ KEYS = {
 }
 DERIVED = list(KEYS)
 BY_CLAIM = DERIVED[:5]
+#: The table that each follows from; facts come with their evidence, edges with their candidates.
+FOLLOWS = {"claims": None, "facts": "claims", "evidence": "facts", "features": "evidence", "clusters": "evidence", "edges": "features", "candidates": "edges", "embeddings": "facts"}
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -71,7 +73,7 @@ class FactStore:
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets, self.timings = spark, path.rstrip("/"), buckets, Timings()
+        self.spark, self.path, self.buckets, self.timings, self.on_demand = spark, path.rstrip("/"), buckets, Timings(), False
         self.files = Files(spark, self.path)
         self.raw_table = KeyedTable(spark, f"{self.path}/raw", ["source_document"], buckets)
         self.tables = {name: KeyedTable(spark, f"{self.path}/{name}", key, buckets) for name, key in KEYS.items()}
@@ -145,18 +147,23 @@ class FactStore:
         self._timed(name, lambda: df.write.parquet(path))
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _derive(self, claims: DataFrame, touched: list[int] | None, versions: dict[str, int]) -> None:
-        """Claims of ``touched`` buckets (all), and the facts, evidence, features and clusters that follow from them."""
+    def _derive(self, claims: DataFrame | None, touched: list[int] | None, versions: dict[str, int], names: list[str] = BY_CLAIM) -> None:
+        """Claims of ``touched`` buckets (all), where they are not written yet, and those of ``names`` that follow from them: facts and evidence,
+        features, clusters."""
         t = self.tables
         put = lambda name, rows: versions.update({name: self._timed(name, lambda: t[name].replace_buckets(rows, touched))})
         got = lambda name: t[name].read(versions[name], touched, with_bucket=True)
-        put("claims", t["claims"].bucketed(claims))
-        facts, evidence = facts_ops.merge_claims(got("claims"), carry=[BUCKET])
-        put("facts", facts)
-        put("evidence", evidence)
-        put("features", relations.features(got("facts"), got("evidence")))
-        clusters = facts_ops.clusters(got("facts"), got("evidence"))
-        put("clusters", clusters.withColumn(BUCKET, t["clusters"].bucket_of(normalize_token(F.col("canonical_attribute")), F.col("eq_value"))))
+        if claims is not None:
+            put("claims", t["claims"].bucketed(claims))
+        if "facts" in names:
+            facts, evidence = facts_ops.merge_claims(got("claims"), carry=[BUCKET])
+            put("facts", facts)
+            put("evidence", evidence)
+        if "features" in names:
+            put("features", relations.features(got("facts"), got("evidence")))
+        if "clusters" in names:
+            clusters = facts_ops.clusters(got("facts"), got("evidence"))
+            put("clusters", clusters.withColumn(BUCKET, t["clusters"].bucket_of(normalize_token(F.col("canonical_attribute")), F.col("eq_value"))))
 
     def rebuild(self, link: bool = True) -> FactStore:
         """Canonicalise, merge, link, cluster and embed all raw claims. Each table is written once and read from there."""
@@ -165,9 +172,30 @@ class FactStore:
         self._derive(facts_ops.claims(self.raw()), None, versions)
         if link:
             self._relink(versions)
+        self._embed(versions, stored)
+        return self._publish(versions)
+
+    def complete(self, *names: str) -> FactStore:
+        """Those of the named tables (all) that this version lacks, and what they follow from; together they are what ``rebuild`` makes."""
+        lacking, todo = set(), list(names or DERIVED)
+        while todo:
+            name = todo.pop()
+            if not self.has(name):
+                lacking.add(name)
+                todo += [FOLLOWS[name]] if FOLLOWS[name] else []
+        if not lacking:
+            return self
+        versions = dict(self.manifest()["tables"])
+        self._derive(facts_ops.claims(self.raw()) if "claims" in lacking else None, None, versions, [n for n in BY_CLAIM if n in lacking])
+        if "edges" in lacking:
+            self._relink(versions)
+        if "embeddings" in lacking:
+            self._embed(versions)
+        return self._publish(versions)
+
+    def _embed(self, versions: dict[str, int], stored: DataFrame | None = None) -> None:
         embedded = vectors.embed_facts(self.tables["facts"].read(versions["facts"]), stored)
         versions["embeddings"] = self._timed("embeddings", lambda: self.tables["embeddings"].replace_buckets(embedded))
-        return self._publish(versions)
 
     def _relink(self, versions: dict[str, int]) -> None:
         features = self.tables["features"].read(versions["features"])
@@ -246,7 +274,11 @@ class FactStore:
     # ------------------------------------------------------------ reads
 
     def table(self, name: str) -> DataFrame:
-        self.manifest_must_exist()
+        """A derived table; a store ``on_demand`` builds it where no query has asked for it yet."""
+        if self.on_demand:
+            self.complete(name)
+        else:
+            self.manifest_must_exist()
         return self.tables[name].read(self.manifest()["tables"][name])
 
     def has(self, name: str) -> bool:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom import __main__ as command
 from factloom import report
+from factloom.operators import facts as facts_ops
 from factloom.operators import links, lookup, relations, vectors
 from factloom.sources import clients
 from factloom.store import RAW_SCHEMA, FactStore
@@ -143,3 +144,22 @@ def test_legacy_and_direct_only(spark, built):
     mixed = store.table("evidence").withColumn("evidence_type", F.when(F.col("page_number") == 1, "SUPPORTING").otherwise("DIRECT"))
     facts, left = lookup.only_direct_evidence(store.table("facts"), mixed)
     assert left.where("page_number = 1").count() == 0 and facts.count() == store.table("facts").count()
+
+
+def test_tables_come_when_they_are_read(spark, built):
+    whole, _ = built
+    part = FactStore(spark, f"file://{tempfile.mkdtemp()}/s")
+    part.append(whole.raw())
+    part.on_demand = True
+    assert set(part.manifest()["tables"]) == {"raw"}
+    part.table("facts")
+    assert set(part.manifest()["tables"]) == {"raw", "claims", "facts", "evidence"}
+    part.complete()
+    for name in ("claims", "facts", "evidence", "features", "clusters", "edges", "candidates", "embeddings"):
+        a, b = (x.table(name).select(*sorted(c for c in x.table(name).columns)) for x in (part, whole))
+        assert a.count() == b.count(), name
+    assert part.table("edges").select("id").exceptAll(whole.table("edges").select("id")).count() == 0
+
+
+def test_canonical_work_is_spread_whatever_the_files(spark):
+    assert facts_ops.canonical(claims(spark, OLD).coalesce(1)).rdd.getNumPartitions() > 4
