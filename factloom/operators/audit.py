@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.canonical import CHILD_REVENUE, LEVEL_ATTRIBUTES, NO_HEADCOUNT, canonicalize, dimensions_compatible, value_dimension
-from factloom.functions.text import squash, text, word_in
+from factloom.functions.text import spread, squash, text, word_in
 from factloom.operators.relations import type_counts
 
 # Fixed values.
@@ -74,7 +74,7 @@ def mixed_dimensions(facts: DataFrame) -> DataFrame:
 def integrity(facts: DataFrame) -> DataFrame:
     """Stored value and attribute against what the originals give now, and children that repeat a total's value."""
     originals = facts.select("id", F.col("canonical_attribute").alias("stored_attribute"), F.col("value").alias("stored_value"), *[F.col(f"original_{c}") for c in ("entity", "attribute", "value", "period")])
-    again = canonicalize(originals.withColumns({"entity": F.col("original_entity"), "attribute": F.col("original_attribute"), "value": F.col("original_value"), "period": F.col("original_period"), "unit": F.lit(None).cast("string")}))
+    again = canonicalize(spread(originals).withColumns({"entity": F.col("original_entity"), "attribute": F.col("original_attribute"), "value": F.col("original_value"), "period": F.col("original_period"), "unit": F.lit(None).cast("string")}))
     norm = lambda c: F.lower(squash(F.col(c)))
     totals = facts.where("canonical_attribute = 'total_revenue'").select(F.lower(squash(F.col("value"))).alias("_total")).distinct()
     checked = again.join(totals, norm("stored_value") == F.col("_total"), "left")
