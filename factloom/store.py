@@ -28,8 +28,8 @@ KEYS = {
 }
 DERIVED = list(KEYS)
 BY_CLAIM = DERIVED[:5]
-#: The table that each follows from; facts come with their evidence, edges with their candidates.
-FOLLOWS = {"claims": None, "facts": "claims", "evidence": "facts", "features": "evidence", "clusters": "evidence", "edges": "features", "candidates": "edges", "embeddings": "facts"}
+#: The table that each follows from; facts come with their evidence.
+FOLLOWS = {"claims": None, "facts": "claims", "evidence": "facts", "features": "evidence", "clusters": "evidence", "edges": "features", "candidates": "features", "embeddings": "facts"}
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -187,8 +187,8 @@ class FactStore:
             return self
         versions = dict(self.manifest()["tables"])
         self._derive(facts_ops.claims(self.raw()) if "claims" in lacking else None, None, versions, [n for n in BY_CLAIM if n in lacking])
-        if "edges" in lacking:
-            self._relink(versions)
+        if lacking & {"edges", "candidates"}:
+            self._relink(versions, lacking)
         if "embeddings" in lacking:
             self._embed(versions)
         return self._publish(versions)
@@ -197,12 +197,14 @@ class FactStore:
         embedded = vectors.embed_facts(self.tables["facts"].read(versions["facts"]), stored)
         versions["embeddings"] = self._timed("embeddings", lambda: self.tables["embeddings"].replace_buckets(embedded))
 
-    def _relink(self, versions: dict[str, int]) -> None:
+    def _relink(self, versions: dict[str, int], names=("edges", "candidates")) -> None:
         features = self.tables["features"].read(versions["features"])
         near = self._scratch("near_pairs", relations.near_ids(features))
-        edges = relations.valid(self._scratch("proposed", relations.proposed(features, near=near)), features)
-        versions["edges"] = self._timed("edges", lambda: self.tables["edges"].replace_buckets(edges))
-        versions["candidates"] = self._timed("candidates", lambda: self.tables["candidates"].replace_buckets(relations.candidate_log(features, near=near)))
+        if "edges" in names:
+            edges = relations.valid(self._scratch("proposed", relations.proposed(features, near=near)), features)
+            versions["edges"] = self._timed("edges", lambda: self.tables["edges"].replace_buckets(edges))
+        if "candidates" in names:
+            versions["candidates"] = self._timed("candidates", lambda: self.tables["candidates"].replace_buckets(relations.candidate_log(features, near=near)))
 
     def relink(self) -> FactStore:
         """All relationships anew, from the facts as they are."""
@@ -219,6 +221,8 @@ class FactStore:
         facts whose disagreement a changed transition explains. The result equals a rebuild.
         """
         self.manifest_must_exist()
+        if self.on_demand:
+            self.complete()
         t, old = self.tables, self.manifest()["tables"]
         rows = conform(raw, RAW_SCHEMA)
         versions = {"raw": self._timed("raw", lambda: self.raw_table.replace_keys(rows) if replace_documents else self.raw_table.append(rows))}

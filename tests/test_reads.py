@@ -154,6 +154,8 @@ def test_tables_come_when_they_are_read(spark, built):
     assert set(part.manifest()["tables"]) == {"raw"}
     part.table("facts")
     assert set(part.manifest()["tables"]) == {"raw", "claims", "facts", "evidence"}
+    part.table("candidates")
+    assert not part.has("edges") and not part.has("clusters")
     part.complete()
     for name in ("claims", "facts", "evidence", "features", "clusters", "edges", "candidates", "embeddings"):
         a, b = (x.table(name).select(*sorted(c for c in x.table(name).columns)) for x in (part, whole))
