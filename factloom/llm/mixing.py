@@ -31,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep_only, kept, materialize, own_names, release_memory, texts
-from .quality import AGAIN, HELD_WORDS, TEXTS_AT_ONCE, TRAIN_BYTES, TRAIN_ROWS, WORDS_AT_ONCE, Embeddings, as_features, feature_blocks, word_counts, word_parts
+from .quality import AGAIN, TRAIN_BYTES, TRAIN_ROWS, WORDS_AT_ONCE, Embeddings, as_features, feature_blocks, word_counts, word_parts
 
 DOMAINS = ["clean", "toxic", "junk"]
 WEIGHTS = {"clean": 0.93, "toxic": 0.06, "junk": 0.01}
 ANCHOR = "clean"
 STEPS, TOLERANCE, RIDGE = 200, 1e-2, 0.01
+HELD_WORDS, TEXTS_AT_ONCE = 60_000, 50  # smaller than the quality classifier's: the pipeline's executors come here with full heaps
 
 
 def domain_sample(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> DataFrame:
