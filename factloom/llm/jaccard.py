@@ -215,8 +215,9 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int = N, percent: int = PERCENT
             yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
 
     named = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(sieve, "id long, text string")
-    with_b = pairs.join(named.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    with_both = with_b.join(named.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    # merge joins: behind a broadcast one sieve and compare would stand in one task, with a Python worker each
+    with_b = pairs.join(named.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+    with_both = with_b.join(named.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 

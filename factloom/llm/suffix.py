@@ -502,6 +502,27 @@ def byte_cuts(raw: bytes, spans: list[tuple[int, int]], width: int, words: bool)
     return [(starts[a], starts[b]) for a, b in cuts]
 
 
+def without(raw: bytes, cuts: list[tuple[int, int]]) -> bytes:
+    ends = [0, *(x for cut in cuts for x in cut), len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)) if cuts else raw
+
+
+def with_spans(rows: DataFrame, spans: DataFrame, possible: Callable[[np.ndarray], np.ndarray], how: str) -> DataFrame:
+    """doc, h, text and spans of the ``rows`` that ``possible`` lets through; few more than have spans.
+
+    A merge join: behind a broadcast one the sieve and the caller's function would stand in one task, with a Python worker
+    each, and executors keep every worker they have once started.
+    """
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
+        for batch in batches:
+            yield batch.filter(pa.array(possible(batch.column(0).to_numpy())))
+
+    listed = spans.groupBy("doc", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # bounded by the text's length
+    return rows.mapInArrow(sieve, "doc long, h long, text string").join(listed.hint("merge"), ["doc", "h"], how).select("doc", "h", "text", "spans")
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, later_only: bool = False, keep_text: bool = False, words: bool = False, passage: int = 0) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, and with ``keep_text`` h and kept (bytes) of every row.
 
@@ -525,8 +546,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, later_only: bool = False
         for doc, h, text, found in items:
             raw = text.encode()
             cuts = byte_cuts(raw, [(x["low"], x["high"]) for x in found if x["cut"]], width, words)
-            ends = [0, *(x for cut in cuts for x in cut), len(raw)]
-            kept = b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)) if cuts else raw
+            kept = without(raw, cuts)
             runs_ = len(covered([(x["low"], x["high"]) for x in found if not x["cut"]], passage))
             out.append((None if h & 1 else doc, len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), runs_, *((h, kept) if keep_text else ())))
             size += len(kept) * keep_text + 200
@@ -542,19 +562,12 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, later_only: bool = False
             part = batch.filter(pa.array(~possible(batch.column(0).to_numpy())))
             yield from describe((d.as_py(), h.as_py(), t.as_py(), []) for d, h, t in zip(*part.columns, strict=True))
 
-    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_only()
-        for batch in batches:
-            yield batch.filter(pa.array(possible(batch.column(0).to_numpy())))
-
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only()
         for batch in batches:
             yield from describe((d.as_py(), h.as_py(), t.as_py(), s.as_py() or []) for d, h, t, s in zip(*batch.columns, strict=True))
 
-    listed = spans.groupBy("doc", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # bounded by the text's length
-    some = rows.mapInArrow(sieve, "doc long, h long, text string").join(listed, ["doc", "h"], "left").select("doc", "h", "text", "spans")
-    return rows.mapInArrow(untouched, schema).unionByName(some.mapInArrow(touched, schema))
+    return rows.mapInArrow(untouched, schema).unionByName(with_spans(rows, spans, possible, "left").mapInArrow(touched, schema))
 
 
 def drop_later_copies(docs: DataFrame, width: int = PASSAGE, words: bool = True) -> DataFrame:
@@ -564,8 +577,20 @@ def drop_later_copies(docs: DataFrame, width: int = PASSAGE, words: bool = True)
     """
     id_, th, doc, h, kept = own_names(docs, "id", "th", "doc", "h", "kept")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    changed = remove_repeats(docs, width, later_only=True, keep_text=True, words=words).where("n_removed > 0")
-    whole = changed.mapInArrow(_decoded, "doc long, h long, kept string").dropDuplicates(["doc", "h"]).toDF(doc, h, kept)
+    rows = keyed(docs)
+    spans = materialize(repeated_windows(rows, width, True, WORDS if words else BYTES), "spans")
+    changed = with_spans(rows, spans, id_filter(spans.select("doc").distinct()), "inner")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
+        for batch in batches:
+            left = []
+            for t, found in zip(batch.column(2), batch.column(3), strict=True):
+                raw = t.as_py().encode()
+                left.append(without(raw, byte_cuts(raw, [(x["low"], x["high"]) for x in found.as_py()], width, words)).decode(errors="ignore"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(left, pa.string())], ["doc", "h", "kept"])
+
+    whole = changed.mapInArrow(cut, "doc long, h long, kept string").dropDuplicates(["doc", "h"]).toDF(doc, h, kept)
     joined = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn(th, marked_hash(F.col("doc_id"), text)).join(
         whole, (F.col(id_) == F.col(doc)) & (F.col(th) == F.col(h)), "left"
     )
@@ -575,14 +600,6 @@ def drop_later_copies(docs: DataFrame, width: int = PASSAGE, words: bool = True)
     return new.where(F.col(kept).isNull() | (F.col(kept) != "")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = {n: i for i, n in enumerate(batch.schema.names)}
-        ids = [-1 if d is None else d for d in batch.column(at["doc_id"]).to_pylist()]
-        kept = [b.as_py().decode(errors="ignore") for b in batch.column(at["kept"])]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(at["h"]), pa.array(kept, pa.string())], ["doc", "h", "kept"])
-
-
 def remove_repeats_sql(width: int = WIDTH, passage: int = PASSAGE, part: int = 1000) -> str:
     """The result of ``remove_repeats`` with passages, in SQL by counting every window; texts are cut into parts only to reach their places fast."""
 

@@ -1,9 +1,11 @@
 """The pipeline's stages, each on its predecessor's rows."""
 
+import re
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factloom.llm import common, jaccard, mixing, packing, quality, queries, sharding, suffix
+from factloom.llm import common, components, jaccard, mixing, packing, quality, queries, sharding, suffix
 
 from .test_operators import check_packing, plain_links, plain_words
 
@@ -75,3 +77,37 @@ def test_registered():
 
 def test_whole_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def functions_in_a_task(df) -> int:
+    """The most Python functions that follow each other without an exchange; each takes a worker of its own."""
+    most, above = 0, []
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        if not (m := re.match(r"([ :]*(?:\+- |:- )?)(?:\*\(\d+\) )?(\w+)", line)):
+            continue
+        depth, node = len(m[1]), m[2]
+        above = [x for x in above if x[0] < depth]
+        count = above[-1][1] if above else 0
+        count = 0 if "Exchange" in node else count + (node == "MapInArrow")
+        above.append((depth, count))
+        most = max(most, count)
+    return most
+
+
+def test_a_task_runs_one_python_function(spark, docs, monkeypatch):
+    counts = []
+
+    def noted(df, tag, *more):
+        counts.append((tag, functions_in_a_task(df)))
+        return common.materialize(df, tag, *more)
+
+    for module in (jaccard, suffix, components, mixing):
+        monkeypatch.setattr(module, "materialize", noted)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 32)], "doc_id long, quality int, toxic int")
+    stored = common.materialize(docs, "t")
+    for name, stage in (
+        ("quality", lambda d: quality.drop_rejected(d, labels)), ("near", jaccard.keep_first), ("later", suffix.drop_later_copies),
+        ("mix", lambda d: mixing.mix(d, labels)), ("pack", packing.pack_documents), ("op5", lambda d: suffix.remove_repeats(d, passage=suffix.PASSAGE)),
+    ):
+        counts.append((name, functions_in_a_task(stage(stored))))
+    assert {c for _, c in counts} == {0, 1}, [x for x in counts if x[1] > 1]
