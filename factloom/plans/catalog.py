@@ -581,7 +581,7 @@ def stream_replay(spark, sf):
 
 @query(_CANON + "SELECT fact_id, round(confidence, 6) AS confidence, evidence_count FROM strength")
 def stream_confidence(spark, sf):
-    """Claims streamed file by file through a state per fact into a keyed table; its last rows are the batch result."""
+    """Claims streamed file by file through a state of evidence into a keyed table of facts; its last rows are the batch result."""
     folder = f"{work_folder(spark)}/{uuid.uuid4().hex}"
     claims = evidence_of(store(spark, sf).table("claims"))
     claims.repartition(3).write.parquet(f"{folder}/in")

@@ -2,47 +2,16 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-
-from factloom.tables import KeyedTable
-
-CHANGED = "fact_id string, confidence double, evidence_count long, batch_ord long"
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-class NoisyOr(StatefulProcessor):
-    """State of a fact: each piece of evidence with the confidence of its first claim, and the sum of log(1 - c) over those below 1. A
-    batch touches only the evidence that it brings, however much a fact has."""
+from pyspark.sql.streaming import StreamingQuery
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "evidence_id string", "ingest_ord long, confidence double")
-        self.total = handle.getValueState("total", "log_rest double, certain long, n long, last long")
+from factloom.operators.facts import noisy_or
+from factloom.tables import Files, KeyedTable
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        log_rest, certain, n, last = self.total.get() if self.total.exists() else (0.0, 0, 0, -1)
-        for batch in rows:
-            for evidence, order, c in zip(batch.evidence_id, batch.ingest_ord, batch.confidence, strict=True):
-                c, order, at = min(max(float(c), 0.0), 1.0), int(order), (evidence,)
-                if self.seen.containsKey(at):
-                    first, before = self.seen.getValue(at)
-                    if first <= order:
-                        continue
-                    log_rest, certain = (log_rest, certain - 1) if before >= 1 else (log_rest - math.log1p(-before), certain)
-                    n -= 1
-                self.seen.updateValue(at, (order, c))
-                log_rest, certain, n = (log_rest, certain + 1, n + 1) if c >= 1 else (log_rest + math.log1p(-c), certain, n + 1)
-        last += 1
-        self.total.update((log_rest, certain, n, last))
-        yield pd.DataFrame({"fact_id": [key[0]], "confidence": [1.0 if certain else -math.expm1(log_rest)], "evidence_count": [n], "batch_ord": [last]})
-
-    def close(self) -> None:
-        pass
+EVIDENCE = ["fact_id", "evidence_id", "ingest_ord", "confidence"]
+#: A bucket of the state that lies in more commits than this is written anew as one.
+COMMITS = 16
 
 
 def evidence_of(claims: DataFrame) -> DataFrame:
@@ -51,13 +20,38 @@ def evidence_of(claims: DataFrame) -> DataFrame:
     return claims.select(F.col("id").alias("fact_id"), F.sha2(F.concat_ws("|", "id", *place), 256).alias("evidence_id"), "ingest_ord", "confidence")
 
 
+def first_claims(evidence: DataFrame) -> DataFrame:
+    """Each piece of evidence once, with the confidence of its first claim."""
+    return evidence.groupBy("fact_id", "evidence_id").agg(F.min("ingest_ord").alias("ingest_ord"), F.min_by("confidence", "ingest_ord").alias("confidence"))
+
+
 def confidences(evidence: DataFrame) -> DataFrame:
-    """A stream of evidence to a stream of the facts that changed, with confidence and number of pieces of evidence."""
-    return evidence.groupBy("fact_id").transformWithStateInPandas(NoisyOr(), CHANGED, "Update", "None")
+    """Facts of the evidence, with confidence and number of pieces of evidence."""
+    return first_claims(evidence).groupBy("fact_id").agg(noisy_or(F.col("confidence")).alias("confidence"), F.count(F.lit(1)).alias("evidence_count"))
+
+
+def of_facts(evidence: DataFrame, facts: DataFrame) -> DataFrame:
+    """The evidence of ``facts`` (fact_id), dealt out by piece and not by fact, as a fact may have any number of pieces."""
+    named = facts.select(F.col("fact_id").alias("_fact")).distinct()
+    return evidence.join(named, F.col("fact_id").eqNullSafe(F.col("_fact")), "left_semi").repartition("fact_id", "evidence_id")
 
 
 def keep_confidences(spark: SparkSession, evidence: DataFrame, table: KeyedTable, checkpoint: str, **trigger) -> StreamingQuery:
-    """Upsert changed facts into a table keyed by fact_id. A replayed batch upserts the same rows again."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    write = lambda batch, _: table.upsert(batch, F.col("batch_ord"))
-    return confidences(evidence).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    """Upsert the facts that a batch changes into a table keyed by fact_id.
+
+    The state is a keyed table of evidence beside the stream's progress: a batch appends what it brings, and its facts are computed from
+    all that the buckets it touches hold of them. Evidence that stands there twice counts once, so a replayed batch upserts the same rows again.
+    """
+    seen = KeyedTable(spark, f"{checkpoint.rstrip('/')}/evidence", ["fact_id"], table.buckets)
+    if seen.latest() is None and Files(spark, checkpoint).names("commits"):
+        raise ValueError(f"{checkpoint} has finished batches without their evidence: stream into a new checkpoint")
+
+    def write(batch: DataFrame, number: int) -> None:
+        if full := [int(b) for b, commits in seen.manifest()["live"].items() if len(commits) > COMMITS]:
+            seen.replace_buckets(first_claims(seen.read(buckets=full)), full)
+        before = seen.latest()
+        seen.append(batch.select(*EVIDENCE))
+        changed = confidences(of_facts(seen.read(buckets=seen.touched(before)), seen.read(since=before)))
+        table.replace_keys(changed.withColumn("batch_ord", F.lit(number).cast("long")))
+
+    return evidence.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

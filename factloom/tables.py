@@ -93,22 +93,26 @@ class KeyedTable:
 
     # ------------------------------------------------------------ reading
 
-    def folders(self, version: int | None = None, buckets: list[int] | None = None) -> list[str]:
-        live = self.manifest(version)["live"]
-        return [f"data/{COMMIT}={c}/{BUCKET}={b}" for b, commits in live.items() if buckets is None or int(b) in buckets for c in commits]
+    def folders(self, version: int | None = None, buckets: list[int] | None = None, since: int | None = None) -> list[str]:
+        live, known = self.manifest(version)["live"], self.manifest(since)["live"] if since is not None else {}
+        return [f"data/{COMMIT}={c}/{BUCKET}={b}" for b, commits in live.items() if buckets is None or int(b) in buckets for c in commits if c not in known.get(b, [])]
+
+    def touched(self, since: int | None) -> list[int]:
+        """Buckets that were written after version ``since`` (all)."""
+        return sorted({int(f.rsplit("=", 1)[1]) for f in self.folders(since=since)})
 
     def size(self, version: int | None = None, buckets: list[int] | None = None) -> int:
         """Bytes that a read of these buckets may take at most."""
         return sum(self.files.size(f) for f in self.folders(version, buckets))
 
-    def read(self, version: int | None = None, buckets: list[int] | None = None, with_bucket: bool = False) -> DataFrame:
-        """The rows of a version (the latest), of some buckets or all."""
+    def read(self, version: int | None = None, buckets: list[int] | None = None, with_bucket: bool = False, since: int | None = None) -> DataFrame:
+        """The rows of a version (the latest), of some buckets or all; with ``since`` those of commits that this earlier version doesn't name."""
         m = self.manifest(version)
         if m["schema"] is None:
             raise ValueError(f"{self.path} holds nothing yet")
         schema = T.StructType.fromJson(json.loads(m["schema"]))
         whole = T.StructType([*schema.fields, T.StructField(COMMIT, T.StringType()), T.StructField(BUCKET, T.IntegerType())])
-        paths = [f"{self.path}/{f}" for f in self.folders(version, buckets)]
+        paths = [f"{self.path}/{f}" for f in self.folders(version, buckets, since)]
         rows = self.spark.read.schema(whole).option("basePath", f"{self.path}/data").parquet(*paths) if paths else self.spark.createDataFrame([], whole)
         return rows.drop(*([COMMIT] if with_bucket else [COMMIT, BUCKET]))
 
